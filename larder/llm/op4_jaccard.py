@@ -4,7 +4,9 @@ Shingles are ordered by document frequency, then hash. Two sets of similarity t
 shingles of their prefixes of length n - ceil(t n) + k, for every k (AdaptJoin). Each set picks the k
 that makes scanning plus verifying cheapest for the frequencies in its own prefix; a pair is verified
 if it shares min(k of both) prefix shingles. Shingles of one document alone lead every prefix and
-need not be sent anywhere: only shared ones travel on.
+need not be sent anywhere: only shared ones travel on. A shared shingle speaks for a pair only where
+what follows it in both sets still suffices: the j-th common shingle (j up to k) at places p and q
+leaves at most j + min(n - p, m - q) in common.
 
 Exact copies (equal sets) are one class from the start. Stars verified against one common partner
 join most near copies; after that only pairs from different components are candidates, so a large
@@ -29,8 +31,8 @@ from larder.llm.text import mix, slices, words
 WIDTH = 5
 PER_BUCKET, PER_CHUNK = 500_000, 1_500_000
 LONGEST = 16
-#: Cost of a verification against reading one posting.
-VERIFY_COST = 20.0
+#: Cost of a verification against sending one candidate from a list.
+VERIFY_COST = 6.0
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
@@ -176,7 +178,7 @@ def choose_prefix(df: np.ndarray, n: int, percent: int) -> tuple[int, int]:
     top = min(LONGEST, len(df) - least + 1, n)
     ks = np.arange(1, max(top, 1) + 1)
     scanned = np.cumsum(df.astype(np.float64) - 1)[least - 2 + ks]
-    k = int(ks[np.argmin(scanned * (1 + VERIFY_COST / ks))])
+    k = int(ks[np.argmin(scanned * (ks + VERIFY_COST / ks))])  # a candidate comes up to k times, one in k is verified
     return k, least + k - 1
 
 
@@ -197,7 +199,7 @@ def prefixes(percent: int, buckets: int):
         order = np.lexsort((h, df, owner))
         h, owner, df = h[order], owner[order], df[order]
         edges = np.searchsorted(owner, np.arange(len(ids) + 1))
-        out, ph, pv, pn, pk = [], [], [], [], []
+        out, ph, pv, pn, pk, pp = [], [], [], [], [], []
         for i in np.flatnonzero(np.diff(edges)):
             a, b = edges[i], edges[i + 1]
             k, q = choose_prefix(df[a:b], int(sizes[i]), percent)
@@ -206,9 +208,10 @@ def prefixes(percent: int, buckets: int):
                 pv.append(np.full(q, ids[i]))
                 pn.append(np.full(q, sizes[i]))
                 pk.append(np.full(q, k))
+                pp.append(int(sizes[i]) - (b - a) + 1 + np.arange(q))
                 out.append((-1, int(ids[i]), int(sizes[i]), np.sort(h[a:b]).tobytes(), b""))
         if ph:
-            packed = np.stack([np.concatenate(ph).view(np.int64), *(np.concatenate(c).astype(np.int64) for c in (pv, pn, pk))], axis=1)
+            packed = np.stack([np.concatenate(ph).view(np.int64), *(np.concatenate(c).astype(np.int64) for c in (pv, pn, pk, pp))], axis=1)
             bucket = high_bits(np.ascontiguousarray(packed[:, 0]).view(np.uint64), buckets)
             order = np.argsort(bucket, kind="stable")
             packed, bucket = packed[order], bucket[order]
@@ -220,8 +223,8 @@ def prefixes(percent: int, buckets: int):
 
 
 def _lists(table: pa.Table) -> np.ndarray:
-    """Postings of a bucket as rows (hash, vertex, n, k, component), by hash, then vertex; only lists of two or more."""
-    p = np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 5) for x in table.column("x").to_pylist()])
+    """Postings of a bucket as rows (hash, vertex, n, k, place, component), by hash, then vertex; only lists of two or more."""
+    p = np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 6) for x in table.column("x").to_pylist()])
     p = p[np.lexsort((p[:, 1], p[:, 0]))]
     p = p[np.concatenate(([True], (p[1:, :2] != p[:-1, :2]).any(axis=1)))]
     same = p[1:, 0] == p[:-1, 0]
@@ -229,6 +232,14 @@ def _lists(table: pa.Table) -> np.ndarray:
     return p[keep]
 
 
+def can_link(p: np.ndarray, q: np.ndarray, percent: int) -> np.ndarray:
+    """Whether postings of one shingle, from different components, can be among the first k common ones of a link."""
+    n, m = p[..., 2], q[..., 2]
+    least = -(-percent * (n + m) // (100 + percent))
+    rest = np.minimum(n - p[..., 4], m - q[..., 4])
+    return (p[..., 5] != q[..., 5]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (np.minimum(p[..., 3], q[..., 3]) + rest >= least)
+
+
 def stars(salt: int, percent: int):
     """Each member of a list with the list's first member (in a salted order) of another component, and how often."""
 
@@ -238,7 +249,7 @@ def stars(salt: int, percent: int):
         p = p[order]
         first = np.concatenate(([True], p[1:, 0] != p[:-1, 0]))[: len(p)]
         anchor = p[np.maximum.accumulate(np.where(first, np.arange(len(p)), 0))] if len(p) else p
-        ok = (anchor[:, 4] != p[:, 4]) & (100 * np.minimum(anchor[:, 2], p[:, 2]) >= percent * np.maximum(anchor[:, 2], p[:, 2]))
+        ok = can_link(anchor, p, percent)
         pairs, n = np.unique(np.stack([p[ok, 1], anchor[ok, 1]], axis=1), axis=0, return_counts=True)
         return pa.table([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(n.astype(np.int64)), pa.array(np.ones(len(n), np.int64))], names=["a", "b", "n", "k"])
 
@@ -254,11 +265,11 @@ def crossings(percent: int):
         found = []
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             own = p[a:b]
-            if (own[:, 4] == own[0, 4]).all():
+            if (own[:, 5] == own[0, 5]).all():
                 continue
             for i in range(len(own) - 1):
                 rest = own[i + 1 :]
-                ok = (rest[:, 4] != own[i, 4]) & (100 * np.minimum(rest[:, 2], own[i, 2]) >= percent * np.maximum(rest[:, 2], own[i, 2]))
+                ok = can_link(own[i], rest, percent)
                 if ok.any():
                     found.append(np.stack([np.full(ok.sum(), own[i, 1]), rest[ok, 1], np.minimum(rest[ok, 3], own[i, 3])], axis=1))
         pairs = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
@@ -311,7 +322,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH, key:
         lists = parts.where("bucket >= 0").select("bucket", "x")
         if links is None:
             return lists.mapInArrow(widen, "bucket long, x binary")
-        flat = lists.mapInArrow(flatten, "bucket long, h long, vertex long, n long, k long")
+        flat = lists.mapInArrow(flatten, "bucket long, h long, vertex long, n long, k long, place long")
         known = connected_components(links)
         return (
             flat.join(known.withColumnRenamed("node", "vertex"), "vertex", "left")
@@ -344,11 +355,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH, key:
 
 
 def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings (hash, vertex, n, k) -> with the vertex as component."""
+    """Postings (hash, vertex, n, k, place) -> with the vertex as component."""
     for batch in batches:
         out = []
         for x in batch.column("x").to_pylist():
-            p = np.frombuffer(x, "<i8").reshape(-1, 4)
+            p = np.frombuffer(x, "<i8").reshape(-1, 5)
             out.append(np.concatenate([p, p[:, 1:2]], axis=1).tobytes())
         yield pa.record_batch([batch.column("bucket"), pa.array(out, pa.binary())], names=["bucket", "x"])
 
@@ -356,12 +367,12 @@ def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for bucket, x in zip(batch.column("bucket").to_pylist(), batch.column("x").to_pylist(), strict=True):
-            p = np.frombuffer(x, "<i8").reshape(-1, 4)
-            yield pa.record_batch([pa.array(np.full(len(p), bucket)), *(pa.array(p[:, i].copy()) for i in range(4))], names=["bucket", "h", "vertex", "n", "k"])
+            p = np.frombuffer(x, "<i8").reshape(-1, 5)
+            yield pa.record_batch([pa.array(np.full(len(p), bucket)), *(pa.array(p[:, i].copy()) for i in range(5))], names=["bucket", "h", "vertex", "n", "k", "place"])
 
 
 def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["h", "vertex", "n", "k", "component"]
+    names = ["h", "vertex", "n", "k", "place", "component"]
     for batch in batches:
         bucket = batch.column("bucket").to_numpy()
         p = np.stack([batch.column(c).to_numpy() for c in names], axis=1)
