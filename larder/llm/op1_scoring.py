@@ -3,8 +3,8 @@
 The target model counts the target documents, the background model all documents; both are bigrams
 that back off to unigrams with the same smoothing over one vocabulary, the corpus's words. A document's
 own counts are left out of both models while it is scored. Documents are dealt to chunks; each chunk
-asks, by hash bucket, for the counts of its distinct n-grams and gets them back, so no task or driver
-holds a model. What is gathered is one entry per distinct n-gram of each chunk.
+asks, by hash bucket, for the counts of its distinct n-grams and gets them back in the same order, so
+no task or driver holds a model. What is gathered is one entry per distinct n-gram of each chunk.
 """
 
 from __future__ import annotations
@@ -18,98 +18,105 @@ from pyspark.sql import functions as F
 
 from larder.llm.op4_jaccard import high_bits, pack6, unpack6
 from larder.llm.storage import cut
-from larder.llm.text import mix, words
+from larder.llm.text import mix, slices, words
 
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 6 << 20
 PER_BUCKET = 1_000_000
 ALPHA, BACKOFF = 0.1, 2.0
 _ONE, _TWO = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A99)
 
 
-def grams(texts: pa.Array):
-    """Per token its unigram key and, but for first words (0), the key of the bigram it ends; word ranges."""
+def grams(texts: pa.Array, buckets: int):
+    """Per token its unigram key and, but for first words (0), the key of the bigram it ends; word ranges.
+
+    The lowest bit tells bigrams from unigrams; bits between the bucket's and the low 48 are dropped.
+    """
     w = words(texts, lower=True)
-    one = mix(w.hashes * _ONE + np.uint64(1))
+    shift = np.uint64(64 - (buckets.bit_length() - 1))
+    trim = lambda h: (h >> shift << shift) | (h & np.uint64(2**48 - 1))
+    one = trim(mix(w.hashes * _ONE + np.uint64(1)) & ~np.uint64(1))
     two = np.zeros(len(one), np.uint64)
-    two[1:] = mix(w.hashes[:-1] * _TWO + w.hashes[1:])
+    two[1:] = trim(mix(w.hashes[:-1] * _TWO + w.hashes[1:]) | np.uint64(1))
     two[w.first[:-1][np.diff(w.first) > 0]] = 0
     return one, two, w.first
 
 
+def count(table: pa.Table, buckets: int):
+    """A chunk's distinct keys in order, their counts and counts in target documents; grams of each batch."""
+    parts, marks, read = [], [], []
+    for batch in table.to_batches():
+        one, two, first = grams(batch.column("text"), buckets)
+        read.append((batch, one, two, first))
+        target = np.repeat(batch.column("is_target").to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
+        parts += [one, two[two != 0]]
+        marks += [target, target[two != 0]]
+    keys, hits = np.concatenate(parts), np.concatenate(marks)
+    hit = np.sort(keys[hits])
+    keys.sort()
+    edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else np.zeros(1, np.int64)
+    unique = keys[edges[:-1]]
+    return unique, np.diff(edges), np.searchsorted(hit, unique, "right") - np.searchsorted(hit, unique, "left"), read
+
+
+ENTRIES = "bucket long, chunk long, keys binary, n binary, t binary"
+
+
+def entries(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["bucket", "chunk", "keys", "n", "t"])
+
+
+def planes(v: np.ndarray) -> bytes:
+    """Counts by byte, lowest bytes first: the empty high bytes cost nothing once compressed."""
+    return np.ascontiguousarray(v.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unplanes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
 def chunk_counts(buckets: int):
     """A chunk's documents -> for each bucket its distinct keys, their counts and counts in target documents."""
 
     def run(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py()
-        parts, marks = [], []
-        for batch in table.to_batches():
-            one, two, first = grams(batch.column("text"))
-            target = np.repeat(batch.column("is_target").to_numpy(zero_copy_only=False), np.diff(first))
-            parts += [one, two[two != 0]]
-            marks += [target, target[two != 0]]
-        keys, mark = np.concatenate(parts), np.concatenate(marks)
-        kind = np.concatenate([np.full(len(p), k % 2, bool) for k, p in enumerate(parts)])
-        keys = keys & ~np.uint64(1) | kind.astype(np.uint64)  # the lowest bit tells bigrams from unigrams
-        order = np.argsort(keys)
-        keys, mark = keys[order], mark[order]
-        edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else np.zeros(1, np.int64)
-        unique, n = keys[edges[:-1]], np.diff(edges).astype("<u4")
-        hits = np.concatenate(([0], np.cumsum(mark)))
-        t = (hits[edges[1:]] - hits[edges[:-1]]).astype("<u4")
+        unique, n, t, _ = count(table, buckets)
         cuts = np.searchsorted(high_bits(unique, buckets), np.arange(buckets + 1))
-        rows = [(k, cuts[k], cuts[k + 1]) for k in np.flatnonzero(np.diff(cuts))]
-        return pa.table(
-            [
-                pa.array([int(k) for k, _, _ in rows], pa.int64()),
-                pa.array(np.full(len(rows), chunk), pa.int64()),
-                *(pa.array([f(v[a:b]) for _, a, b in rows], pa.binary()) for f, v in ((pack6, unique), (np.ndarray.tobytes, n), (np.ndarray.tobytes, t))),
-            ],
-            names=["bucket", "chunk", "keys", "n", "t"],
-        )
+        return entries([(int(k), chunk, pack6(unique[a:b]), planes(n[a:b]), planes(t[a:b])) for k in np.flatnonzero(np.diff(cuts)) for a, b in [cuts[k : k + 2]]])
 
     return run
 
 
 def answer(table: pa.Table) -> pa.Table:
-    """Keys of a bucket from all chunks -> per chunk the corpus's counts of its keys; chunk -1: words, tokens, target tokens."""
-    parts = sorted(table.to_pylist(), key=lambda r: r["chunk"])
+    """Keys of a bucket from all chunks -> per chunk the corpus's counts of its keys, in their order."""
+    parts = sorted(table.select(["bucket", "chunk", "keys", "n", "t"]).to_pylist(), key=lambda r: r["chunk"])
     keys = [unpack6(r["keys"]) for r in parts]
     unique, at = np.unique(np.concatenate(keys), return_inverse=True)
-    sums = [np.bincount(at, np.concatenate([np.frombuffer(r[c], "<u4") for r in parts])).astype("<u8") for c in ("n", "t")]
-    rows, done = [], 0
-    for r, own in zip(parts, keys, strict=True):
-        here = at[done : done + len(own)]
-        done += len(own)
-        rows.append((r["bucket"], r["chunk"], r["keys"], sums[0][here].tobytes(), sums[1][here].tobytes()))
-    single = unique & np.uint64(1) == 0
-    total = np.array([single.sum(), sums[0][single].sum(), sums[1][single].sum()], "<u8")
-    rows.append((parts[0]["bucket"], -1, b"", total.tobytes(), b""))
-    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "chunk", "keys", "n", "t"])
+    n, t = (np.bincount(at, np.concatenate([unplanes(r[c]) for r in parts])) for c in ("n", "t"))
+    cuts = np.cumsum([0, *map(len, keys)])
+    return entries([(r["bucket"], r["chunk"], b"", planes(n[at[a:b]]), planes(t[at[a:b]])) for r, a, b in zip(parts, cuts[:-1], cuts[1:], strict=True)])
 
 
 def losses(vocabulary: int, tokens: tuple[int, int], buckets: int):
     """A chunk's documents and its answered counts -> one scored row per document."""
     names = ["doc_id", "is_target", "n_tokens", "target_loss", "background_loss"]
+    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.float64())
 
     def own_counts(keys: np.ndarray) -> np.ndarray:
         _, at, n = np.unique(keys, return_inverse=True, return_counts=True)
         return n[at]
 
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        rows = sorted(counts.to_pylist(), key=lambda r: r["bucket"])
-        shift = np.uint64(64 - (buckets.bit_length() - 1))
-        trim = lambda h: (h >> shift << shift) | (h & np.uint64(2**48 - 1))
-        known = np.concatenate([unpack6(r["keys"]) | np.uint64(r["bucket"]) << shift for r in rows] or [np.zeros(0, np.uint64)])
-        order = np.argsort(known)
-        known = known[order]
-        n, t = (np.concatenate([np.frombuffer(r[c], "<u8") for r in rows] or [np.zeros(0, "<u8")])[order].astype(float) for c in ("n", "t"))
+        if not docs.num_rows:
+            return pa.table([pa.array([], k) for k in kinds], names=names)
+        known, n, t, read = count(docs, buckets)
+        n, t = n.astype(float), t.astype(float)
+        cuts = np.searchsorted(high_bits(known, buckets), np.arange(buckets + 1))
+        for bucket, total, target in zip(*(counts.column(c).to_pylist() for c in ("bucket", "n", "t")), strict=True):
+            n[cuts[bucket] : cuts[bucket + 1]], t[cuts[bucket] : cuts[bucket + 1]] = unplanes(total), unplanes(target)
         out = [[] for _ in names]
-        for batch in docs.to_batches():
-            one, two, first = grams(batch.column("text"))
-            bigram = two != 0
-            one, two = trim(one & ~np.uint64(1)), trim(two | np.uint64(1))
-            at_one = np.searchsorted(known, one)
-            at_two = np.where(bigram, np.searchsorted(known, np.where(bigram, two, 0)), 0)
+        for batch, one, two, first in read:
+            at_one, at_two = np.searchsorted(known, one), np.searchsorted(known, two)
             for i, (doc, target) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("is_target").to_pylist(), strict=True)):
                 a, b = first[i], first[i + 1]
                 sums = [0.0, 0.0]
@@ -124,12 +131,27 @@ def losses(vocabulary: int, tokens: tuple[int, int], buckets: int):
                         sums[side] = float(-np.log(p).sum())
                 for column, value in zip(out, (doc, target, int(b - a), *sums), strict=True):
                     column.append(value)
-        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.float64())
         return pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
     return run
 
 
+def vocabulary_parts(buckets: int):
+    """Documents -> the distinct words of each batch; one row (key null) with its tokens and target tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 4 << 20):
+                one, _, first = grams(part.column("text"), buckets)
+                target = part.column("is_target").to_numpy(zero_copy_only=False).astype(bool)
+                keys = np.unique(one).view(np.int64)
+                none = np.zeros(len(keys), np.int64)
+                yield pa.record_batch([pa.array(keys), pa.array(none), pa.array(none)], names=["key", "n", "t"])
+                yield pa.record_batch([pa.array([None], pa.int64()), pa.array([len(one)], pa.int64()), pa.array([int(np.diff(first)[target].sum())], pa.int64())], names=["key", "n", "t"])
+
+    return run
+
+
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, is_target, n_tokens, target_loss, background_loss (nats), score = their difference per token.
 
@@ -147,17 +169,11 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, key: str =
         buckets *= 2
     flags = cut(marked.select("doc_id").distinct().join(ids, "doc_id"), "target")
     marked = marked.join(flags, "doc_id", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
-    dealt = marked.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long"))
-    asked = dealt.groupBy("chunk").applyInArrow(chunk_counts(buckets), "bucket long, chunk long, keys binary, n binary, t binary")
-    answered = cut(asked.groupBy("bucket").applyInArrow(answer, "bucket long, chunk long, keys binary, n binary, t binary"), "ngrams")
-    totals = answered.where("chunk = -1").select("n").mapInArrow(unpack_totals, "v long, n long, t long").agg(F.sum("v"), F.sum("n"), F.sum("t")).first()
+    totals = marked.select("text", "is_target").mapInArrow(vocabulary_parts(buckets), "key long, n long, t long").agg(F.countDistinct("key"), F.sum("n"), F.sum("t")).first()
     vocabulary, n, t = (int(v or 0) for v in totals)
-    scored = dealt.groupBy("chunk").cogroup(answered.where("chunk >= 0").groupBy("chunk"))
+    dealt = marked.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long"))
+    asked = dealt.groupBy("chunk").applyInArrow(chunk_counts(buckets), ENTRIES)
+    answered = asked.groupBy("bucket").applyInArrow(answer, ENTRIES)
+    scored = dealt.groupBy("chunk").cogroup(answered.groupBy("chunk"))
     result = scored.applyInArrow(losses(vocabulary, (n, t), buckets), "doc_id long, is_target boolean, n_tokens long, target_loss double, background_loss double")
     return result.withColumn("score", F.when(F.col("n_tokens") > 0, (F.col("target_loss") - F.col("background_loss")) / F.col("n_tokens")).otherwise(0.0))
-
-
-def unpack_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = np.array([np.frombuffer(x, "<u8") for x in batch.column(0).to_pylist()], np.int64).reshape(-1, 3)
-        yield pa.record_batch([pa.array(rows[:, i].copy()) for i in range(3)], names=["v", "n", "t"])
