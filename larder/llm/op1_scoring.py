@@ -20,7 +20,7 @@ from larder.llm.op4_jaccard import high_bits, pack6, unpack6
 from larder.llm.storage import cut
 from larder.llm.text import mix, slices, words
 
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES, SLICE_BYTES = 6 << 20, 1 << 20
 PER_BUCKET = 1_000_000
 ALPHA, BACKOFF = 0.1, 2.0
 _ONE, _TWO = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A99)
@@ -44,7 +44,7 @@ def grams(texts: pa.Array, buckets: int):
 def count(table: pa.Table, buckets: int):
     """A chunk's distinct keys in order, their counts and counts in target documents; grams of each batch."""
     parts, marks, read = [], [], []
-    for batch in table.to_batches():
+    for batch in (part for batch in table.to_batches() for part in slices(batch, "text", SLICE_BYTES)):
         one, two, first = grams(batch.column("text"), buckets)
         read.append((batch, one, two, first))
         target = np.repeat(batch.column("is_target").to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
@@ -141,7 +141,7 @@ def vocabulary_parts(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", SLICE_BYTES):
                 one, _, first = grams(part.column("text"), buckets)
                 target = part.column("is_target").to_numpy(zero_copy_only=False).astype(bool)
                 keys = np.unique(one).view(np.int64)
