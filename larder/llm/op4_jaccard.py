@@ -336,13 +336,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH, key:
         right = sets.select(F.col("vertex").alias("b"), F.col("n").alias("nb"), F.col("x").alias("xb"))
         return pairs.join(left, "a").join(right, "b").mapInArrow(linked(percent), "a long, b long")
 
-    links, counted = None, "a long, b long, n long, k long"
-    for salt in (1, 2):
-        tried = with_components(links).groupBy("bucket").applyInArrow(stars(salt, percent), counted)
-        tried = tried.groupBy("a", "b").agg(F.sum("n").alias("n"))
-        best = tried.groupBy("a").agg(F.max(F.struct("n", "b")).alias("top")).select("a", "top.b")
-        new = cut(verified(best), "links")
-        links = new if links is None else links.union(new)
+    counted = "a long, b long, n long, k long"
+    tried = with_components(None).groupBy("bucket").applyInArrow(stars(1, percent), counted)
+    best = tried.groupBy("a", "b").agg(F.sum("n").alias("n")).groupBy("a").agg(F.max(F.struct("n", "b")).alias("top")).select("a", "top.b")
+    links = cut(verified(best), "links")
     rest = with_components(links).groupBy("bucket").applyInArrow(crossings(percent), counted)
     rest = rest.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("k").alias("k")).where("n >= k")
     links = links.union(cut(verified(rest.select("a", "b")), "links"))
