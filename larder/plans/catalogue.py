@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from larder.plans import planning, pricing, shopping
+from larder.plans import planning, pricing, recipes, shopping
 
-ALL = pricing.QUERIES | planning.QUERIES | shopping.QUERIES
+ALL = pricing.QUERIES | planning.QUERIES | shopping.QUERIES | recipes.QUERIES
 
 
 def queries() -> dict:
