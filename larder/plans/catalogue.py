@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from larder.plans import planning, pricing, recipes, shopping
+from larder.plans import planning, pricing, recipes, records, shopping
 
-ALL = pricing.QUERIES | planning.QUERIES | shopping.QUERIES | recipes.QUERIES
+ALL = pricing.QUERIES | planning.QUERIES | shopping.QUERIES | recipes.QUERIES | records.QUERIES
 
 
 def queries() -> dict:
