@@ -194,11 +194,12 @@ T5_SQL = "SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value,
 
 def j17_visible_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of child tables that the owner of their parent may see."""
-    mine = table(spark, sf_dir, "orders").where("o_custkey % 10 = 3").select(F.col("o_orderkey").alias("l_orderkey"))
+    owners = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    mine = table(spark, sf_dir, "orders").join(owners, "o_custkey", "left_semi").select(F.col("o_orderkey").alias("l_orderkey"))
     return table(spark, sf_dir, "lineitem").join(mine, "l_orderkey", "left_semi").groupBy("l_orderkey").agg(F.count("*").alias("items"))
 
 
-J17_SQL = "SELECT l_orderkey, count(*) AS items FROM lineitem WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_custkey % 10 = 3) GROUP BY 1"
+J17_SQL = "SELECT l_orderkey, count(*) AS items FROM lineitem WHERE EXISTS (SELECT 1 FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey = l_orderkey AND c_mktsegment = 'BUILDING') GROUP BY 1"
 
 QUERIES = {
     "a4_merge_lines": (a4_merge_lines, A4_SQL),

@@ -38,8 +38,8 @@ def dishes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recipe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").where("p_partkey < 60")
-    of = [F.col("p_partkey").alias("recipe"), F.lower("p_type").alias("cuisine"), F.when(F.col("p_partkey") % 2 == 0, "dinner").otherwise("lunch").alias("meal")]
+    part = table(spark, sf_dir, "part").where("p_type in ('ECONOMY', 'PROMO')").groupBy("p_name", "p_type").agg(F.min("p_partkey").alias("recipe"))
+    of = ["recipe", F.lower("p_type").alias("cuisine"), F.when(F.col("recipe") % 2 == 0, "dinner").otherwise("lunch").alias("meal")]
     titles = part.select(F.col("p_name").alias("name"), F.lit(1.0).alias("weight"), *of)
     return titles.union(part.select(F.concat_ws(" ", F.lower("p_type"), "p_name"), F.lit(0.9), *of))
 
@@ -50,7 +50,8 @@ def w3_best_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RECIPES_CTE = """d AS (SELECT CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' ' || lower(p_type) ELSE lower(p_type) || ' ' || string_split(p_name, ' ')[-1] END AS dish, min(lower(p_type)) AS cuisine FROM part GROUP BY 1),
-r AS (SELECT p_partkey AS recipe, lower(p_type) AS cuisine, p_partkey % 2 = 0 AS dinner, unnest([p_name, lower(p_type) || ' ' || p_name]) AS name, unnest([1.0::DOUBLE, 0.9::DOUBLE]) AS weight FROM part WHERE p_partkey < 60),
+k AS (SELECT p_name, p_type, min(p_partkey) AS recipe FROM part WHERE p_type IN ('ECONOMY', 'PROMO') GROUP BY ALL),
+r AS (SELECT recipe, lower(p_type) AS cuisine, recipe % 2 = 0 AS dinner, unnest([p_name, lower(p_type) || ' ' || p_name]) AS name, unnest([1.0::DOUBLE, 0.9::DOUBLE]) AS weight FROM k),
 t AS (SELECT *, list_filter(string_split(dish, ' '), lambda x: length(x) > 2) AS a FROM d),
 u AS (SELECT *, list_filter(string_split(name, ' '), lambda x: length(x) > 2) AS b FROM r),
 v AS (SELECT dish, recipe, weight, CASE WHEN t.cuisine = u.cuisine THEN 200 ELSE 0 END + CASE WHEN dinner THEN 60 ELSE 0 END AS extra, len(list_filter(a, lambda x: list_contains(b, x))) AS shared,
@@ -68,14 +69,14 @@ def rule_ingredients(dish: Column) -> Column:
 def c8_recipe_waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each dish from the cache, else the best recipe, else the rules (C8, F13, T4: the last stage never fails)."""
     wanted = dishes(spark, sf_dir)
-    cache = table(spark, sf_dir, "part").where("p_partkey % 7 = 0").groupBy(F.col("p_name").alias("dish")).agg(F.min("p_partkey").alias("cached"))
+    cache = table(spark, sf_dir, "part").where("p_size > 45").groupBy(F.col("p_name").alias("dish")).agg(F.min("p_partkey").alias("cached"))
     local = names.best_recipe(wanted, recipe_names(spark, sf_dir)).select("dish", "recipe")
     met = wanted.select("dish").join(cache, "dish", "left").join(local, "dish", "left")
     origin = F.when(F.col("cached").isNotNull(), "cache").when(F.col("recipe").isNotNull(), "local").otherwise("rule")
     return met.select("dish", origin.alias("origin"), F.coalesce("cached", "recipe").alias("recipe"), F.size(rule_ingredients(F.col("dish"))).alias("rule_lines"))
 
 
-C8_SQL = f"""WITH {RECIPES_CTE}, c AS (SELECT p_name AS dish, min(p_partkey) AS cached FROM part WHERE p_partkey % 7 = 0 GROUP BY 1)
+C8_SQL = f"""WITH {RECIPES_CTE}, c AS (SELECT p_name AS dish, min(p_partkey) AS cached FROM part WHERE p_size > 45 GROUP BY 1)
 SELECT d.dish, CASE WHEN cached IS NOT NULL THEN 'cache' WHEN recipe IS NOT NULL THEN 'local' ELSE 'rule' END AS origin, coalesce(cached, recipe) AS recipe,
   CASE WHEN d.dish LIKE '%ring%' OR d.dish LIKE '%rod%' THEN 2 WHEN d.dish LIKE '%widget%' THEN 3 ELSE 2 END AS rule_lines FROM d LEFT JOIN c USING (dish) LEFT JOIN best USING (dish)"""
 
@@ -98,7 +99,7 @@ def c15_recipe_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.when(key % 3 == 0, F.col("p_name")).when(key % 3 == 1, F.element_at(F.split("p_name", " "), -1)).otherwise(F.concat(F.lit("x"), F.lower("p_type")))
     part = table(spark, sf_dir, "part")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey")).join(part.select("p_partkey", said.alias("name")), "p_partkey")
-    prices = part.where("p_partkey % 4 = 1").groupBy(F.col("p_name").alias("name")).agg(F.min_by("p_retailprice", "p_partkey").alias("price"), F.min("p_partkey").alias("ord"))
+    prices = part.where("p_size <= 12").groupBy(F.col("p_name").alias("name")).agg(F.min_by("p_retailprice", "p_partkey").alias("price"), F.min("p_partkey").alias("ord"))
     priced = lines.join(names.first_price(lines.select("name"), prices), "name", "left")
     third = F.sum((F.col("price") / 3).cast("decimal(18,6)")).cast("double")
     meals = priced.groupBy("l_orderkey").agg(F.count("price").alias("matched"), F.count("*").alias("n"), third.alias("sum"))
@@ -107,7 +108,7 @@ def c15_recipe_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 C15_SQL = """WITH s AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN string_split(p_name, ' ')[-1] ELSE 'x' || lower(p_type) END AS name FROM part),
-p AS (SELECT p_name AS priced, arg_min(p_retailprice, p_partkey) AS price, min(p_partkey) AS ord FROM part WHERE p_partkey % 4 = 1 GROUP BY 1),
+p AS (SELECT p_name AS priced, arg_min(p_retailprice, p_partkey) AS price, min(p_partkey) AS ord FROM part WHERE p_size <= 12 GROUP BY 1),
 f AS (SELECT name, price FROM (SELECT DISTINCT name FROM s), p WHERE contains(name, priced) OR contains(priced, name) QUALIFY row_number() OVER (PARTITION BY name ORDER BY CASE WHEN name = priced THEN 0 ELSE 1 END, ord) = 1),
 m AS (SELECT l_orderkey, count(price) AS matched, count(*) AS n, sum((price / 3)::DECIMAL(18,6))::DOUBLE AS total FROM lineitem JOIN s ON p_partkey = l_partkey LEFT JOIN f USING (name) GROUP BY 1)
 SELECT l_orderkey, matched, floor(CASE WHEN matched >= greatest(2, floor(n / 3)) THEN total ELSE 250.0::DOUBLE END * 100 + 0.5) / 100 AS cost FROM m"""
@@ -119,27 +120,27 @@ def j8_basket_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = ranking.ranked(named, ["l_orderkey"], [F.asc("l_linenumber"), F.asc("l_partkey"), F.asc("l_suppkey")], 8)
     texts = first.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "p_name"))), lambda x: x["p_name"]), " ").alias("q"))
     orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("l_orderkey"), "c_nationkey")
-    stores = table(spark, sf_dir, "supplier").where("s_suppkey < 40").select(F.col("s_suppkey").alias("store"), F.col("s_nationkey").alias("c_nationkey"))
+    stores = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("store"), F.col("s_nationkey").alias("c_nationkey"))
     return orders.join(texts, "l_orderkey").join(stores, "c_nationkey").select("l_orderkey", "store", F.concat(F.lit("https://s"), F.col("store"), F.lit(".example/?q="), encode_component(F.col("q"))).alias("url"))
 
 
 J8_SQL = """WITH n AS (SELECT l_orderkey, p_name, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem JOIN part ON p_partkey = l_partkey),
 q AS (SELECT l_orderkey, string_agg(p_name, ' ' ORDER BY k) AS q FROM n WHERE k <= 8 GROUP BY 1)
 SELECT l_orderkey, s_suppkey AS store, 'https://s' || s_suppkey || '.example/?q=' || replace(q, ' ', '%20') AS url
-FROM orders JOIN customer ON c_custkey = o_custkey JOIN q ON l_orderkey = o_orderkey JOIN supplier ON s_nationkey = c_nationkey WHERE s_suppkey < 40"""
+FROM orders JOIN customer ON c_custkey = o_custkey JOIN q ON l_orderkey = o_orderkey JOIN supplier ON s_nationkey = c_nationkey"""
 
 
 def j16_fallback_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The link of an id, else of the id without its country suffix; a city's country, else a default."""
     shop = F.concat(F.lit("shop"), F.col("c_custkey") % 9, F.element_at(F.array(*[F.lit(x) for x in ("-de", "-us", "")]), (F.col("c_custkey") % 3 + 1).cast("int")))
     asked = table(spark, sf_dir, "customer").select("c_custkey", shop.alias("id"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_nationkey")).alias("n_nationkey")).withColumn("plain", F.regexp_replace("id", "-(de|us|it)$", ""))
-    links = table(spark, sf_dir, "nation").where("n_nationkey < 9").select(F.concat(F.lit("shop"), "n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, "-de").otherwise("")).alias("key"), F.col("n_nationkey").cast("long").alias("link"))
+    links = table(spark, sf_dir, "nation").select(F.concat(F.lit("shop"), "n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, "-de").otherwise("")).alias("key"), F.col("n_nationkey").cast("long").alias("link"))
     both = asked.join(links.toDF("id", "exact"), "id", "left").join(links.toDF("plain", "other"), "plain", "left").join(places(spark, sf_dir).withColumnRenamed("nation_key", "n_nationkey"), "n_nationkey", "left")
     return both.select("c_custkey", F.coalesce("exact", "other").alias("link"), F.coalesce("country", F.lit("UK")).alias("country"))
 
 
 J16_SQL = """WITH a AS (SELECT c_custkey, c_nationkey, 'shop' || (c_custkey % 9) AS plain, 'shop' || (c_custkey % 9) || ['-de','-us',''][c_custkey % 3 + 1] AS id FROM customer),
-l AS (SELECT 'shop' || n_nationkey || CASE WHEN n_nationkey % 2 = 0 THEN '-de' ELSE '' END AS key, n_nationkey::BIGINT AS link FROM nation WHERE n_nationkey < 9)
+l AS (SELECT 'shop' || n_nationkey || CASE WHEN n_nationkey % 2 = 0 THEN '-de' ELSE '' END AS key, n_nationkey::BIGINT AS link FROM nation)
 SELECT c_custkey, coalesce(x.link, y.link) AS link, CASE WHEN c_custkey % 2 = 0 THEN n_name ELSE 'UK' END AS country FROM a JOIN nation ON n_nationkey = c_nationkey LEFT JOIN l x ON x.key = id LEFT JOIN l y ON y.key = plain"""
 
 
@@ -175,11 +176,11 @@ SELECT l_partkey, CASE WHEN n > 0 THEN 'real' WHEN search THEN 'fallback-search'
 
 def c14_pinned_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rewrite overwrites only the columns it may; a missing rewrite leaves the row as it was (C14, T4)."""
-    rewrite = table(spark, sf_dir, "part").where("p_partkey % 5 = 0").select("p_partkey", F.concat(F.upper(F.substring("p_name", 1, 1)), F.substring("p_name", 2, 100)).alias("new_name"), F.lit(-1).alias("p_size"))
+    rewrite = table(spark, sf_dir, "part").where("p_brand = 'Brand#13'").select("p_partkey", F.concat(F.upper(F.substring("p_name", 1, 1)), F.substring("p_name", 2, 100)).alias("new_name"), F.lit(-1).alias("p_size"))
     return table(spark, sf_dir, "part").alias("p").join(rewrite.alias("r"), "p_partkey", "left").select("p_partkey", F.coalesce("new_name", "p_name").alias("name"), F.col("p.p_size").alias("size"), F.col("new_name").isNotNull().alias("enhanced"))
 
 
-C14_SQL = "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN upper(p_name[1]) || p_name[2:] ELSE p_name END AS name, p_size AS size, p_partkey % 5 = 0 AS enhanced FROM part"
+C14_SQL = "SELECT p_partkey, CASE WHEN p_brand = 'Brand#13' THEN upper(p_name[1]) || p_name[2:] ELSE p_name END AS name, p_size AS size, p_brand = 'Brand#13' AS enhanced FROM part"
 
 
 def t1_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
