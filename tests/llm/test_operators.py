@@ -185,6 +185,19 @@ def test_vectors_find_their_links(spark):
     assert all(got[i].n_links == 0 for i in (900, 901, 902, 903, 904)) and got[None].component_id is None
 
 
+def test_links_of_a_dense_group_are_counted_over_all_blocks(spark, monkeypatch):
+    monkeypatch.setattr(op5_vectors, "BLOCK", 64)
+    rng = np.random.default_rng(5)
+    vectors = rng.standard_normal(16) + 0.12 * rng.standard_normal((400, 16))
+    vectors[300:] = vectors[200:300]
+    x = vectors.astype(np.float32).astype(np.float64)
+    norms = np.sqrt((x * x).sum(axis=1))
+    close = x @ x.T / np.outer(norms, norms) >= 0.98
+    want = close.sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in op5_vectors.near_duplicate_vectors(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")).collect()}
+    assert want.max() > 200 and [got[i] for i in range(400)] == want.tolist()
+
+
 def test_held_out_quality(spark):
     rows = queries.op6_quality_classifier(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out and quality is not null").collect()
     agree = sum(r.predicted == r.quality for r in rows) / len(rows)
