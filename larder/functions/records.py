@@ -11,6 +11,8 @@ from larder.functions.quantity import lookup
 SIGNS = {"EUR": "€", "GBP": "£", "USD": "$"}
 # Countries whose kitchens don't follow their unit system.
 KITCHEN = {"US": "us", "LR": "us", "MM": "us", "GB": "imperial"}
+# Texts shown for error codes of the demonstration.
+ERRORS = {"timeout": "It took too long. Try again.", "quota": "Too many requests for now.", "offline": "There is no connection."}
 # Languages with messages.
 LANGUAGES = ("en", "it", "de", "es", "fr")
 
@@ -79,3 +81,18 @@ def wide_to_long(names: list[Column], amounts: list[Column]) -> Column:
     """array<struct(name, amount)> of numbered columns; those without a name go."""
     rows = F.array(*[F.struct(F.trim(n).alias("name"), F.trim(F.coalesce(a, F.lit(""))).alias("amount")) for n, a in zip(names, amounts, strict=True)])
     return F.filter(rows, lambda r: F.coalesce(r["name"] != "", F.lit(False)))
+
+
+def message(code: Column) -> Column:
+    """The text of an error code, else a general one."""
+    return F.coalesce(lookup(ERRORS, F.lower(code)), F.lit("Something went wrong."))
+
+
+def with_defaults(own: Column, base: Column, fields: list[str]) -> Column:
+    """struct of fields, each from own, else from base; a missing own struct is base."""
+    return F.struct(*[F.coalesce(own[f], base[f]).alias(f) for f in fields])
+
+
+def recipe_search(dish: Column, cuisine: Column, language: Column) -> Column:
+    """Words of a search for a recipe, without the parts that are missing or empty."""
+    return F.concat_ws(" ", *[F.nullif(F.trim(x), F.lit("")) for x in (dish, cuisine)], F.when(language == "it", "ricetta").otherwise("recipe"))
