@@ -36,34 +36,44 @@ TIERS = ("city", "country", "region", "global")
 CONFIDENCE = {"city": 0.9, "country": 0.7, "region": 0.55, "global": 0.4}
 
 
-def tier_prices(prices: DataFrame, keys: list[str]) -> DataFrame:
-    """Per ingredient and keys: the first row, and the mean euros per base unit of the rows of its unit family.
+KINDS = ("mass", "volume", "count")
+
+
+def place_prices(prices: DataFrame) -> DataFrame:
+    """Per ingredient and city, country and region: the first row, and per unit family the sum and count of euros per base unit.
 
     prices: ingredient, city, country, region, unit, quantity, price, currency, ord (a sortable struct).
-    One aggregation with map-side sums; rows of currencies without a rate don't count.
+    The only pass over the price rows, with map-side sums; rows of currencies without a rate don't count.
     """
     per = F.col("price") * lookup(EUR, F.col("currency")) / (F.col("quantity") * factor(F.col("unit")))
     kind = family(F.col("unit"))
     first = F.min(F.struct("ord", "unit", "quantity", "price", "currency")).alias("first")
-    means = [F.avg(F.when(kind == k, per)).alias(k) for k in ("mass", "volume", "count")]
-    return prices.groupBy("ingredient", *keys).agg(first, *means)
+    rows = prices.select("ingredient", *TIERS[:3], "ord", "unit", "quantity", "price", "currency", per.alias("per"), kind.alias("kind"))
+    of = lambda k: F.when(F.col("kind") == k, F.col("per"))
+    return rows.groupBy("ingredient", *TIERS[:3]).agg(first, *[F.sum(of(k)).alias(f"sum_{k}") for k in KINDS], *[F.count(of(k)).alias(f"n_{k}") for k in KINDS])
+
+
+def tier_prices(placed: DataFrame, keys: list[str]) -> DataFrame:
+    """place_prices rolled up to ingredient and keys: the first row and the mean of each unit family."""
+    means = [(F.sum(f"sum_{k}") / F.sum(f"n_{k}")).alias(k) for k in KINDS]
+    return placed.groupBy("ingredient", *keys).agg(F.min("first").alias("first"), *means)
 
 
 def cascade(requests: DataFrame, prices: DataFrame) -> DataFrame:
     """requests with tier, unit, quantity, unit_price (in the request's currency) and confidence.
 
     A city's price is its first row converted; country, region and global prices are unit-aware means,
-    scaled to the first row's pack. Each tier is aggregated before it meets the requests, so a request
-    never fans out. requests: ingredient, city, country, region, currency. Without a match the tier is
+    scaled to the first row's pack. Each tier is rolled up from the places before it meets the requests,
+    so a request never fans out. requests: ingredient, city, country, region, currency. Without a match the tier is
     missing and the price null.
     """
-    out = requests
+    out, placed = requests, place_prices(prices)
     for tier in TIERS:
         keys = [] if tier == "global" else [tier]
         mean = F.when(family(F.col("first.unit")) == "mass", F.col("mass")).when(family(F.col("first.unit")) == "volume", F.col("volume")).otherwise(F.col("count"))
         pack = F.col("first.quantity") * factor(F.col("first.unit"))
         euros = F.col("first.price") * lookup(EUR, F.col("first.currency")) if tier == "city" else mean * pack
-        offer = tier_prices(prices, keys).select("ingredient", *keys, F.struct(F.lit(tier).alias("tier"), F.col("first.unit").alias("unit"), F.col("first.quantity").alias("quantity"), euros.alias("euros"), F.lit(CONFIDENCE[tier]).alias("confidence")).alias(f"of_{tier}"))
+        offer = tier_prices(placed, keys).select("ingredient", *keys, F.struct(F.lit(tier).alias("tier"), F.col("first.unit").alias("unit"), F.col("first.quantity").alias("quantity"), euros.alias("euros"), F.lit(CONFIDENCE[tier]).alias("confidence")).alias(f"of_{tier}"))
         out = out.join(offer, ["ingredient", *keys], "left")
     chosen = out.withColumn("found", F.coalesce(*[f"of_{t}" for t in TIERS])).drop(*[f"of_{t}" for t in TIERS])
     price = round2(F.col("found.euros") / lookup(EUR, F.col("currency")))
