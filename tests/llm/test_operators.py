@@ -198,6 +198,23 @@ def test_links_of_a_dense_group_are_counted_over_all_blocks(spark, monkeypatch):
     assert want.max() > 200 and [got[i] for i in range(400)] == want.tolist()
 
 
+def test_links_of_a_large_label_around_one_topic_are_all_found(spark):
+    rng = np.random.default_rng(6)
+    topic = rng.standard_normal(64)
+    topic *= np.sqrt(0.95) / np.linalg.norm(topic)
+    noise = lambda n, share: np.sqrt(share / 64) * rng.standard_normal((n, 64))
+    x = topic + noise(6000, 0.05)
+    x[4000:] = x[:2000] + noise(2000, 0.03)
+    x = x.astype(np.float32).astype(np.float64)
+    norms = np.sqrt((x * x).sum(1))
+    hit = x @ x.T / np.outer(norms, norms) >= 0.98
+    np.fill_diagonal(hit, False)
+    assert hit.sum() > 2000
+    got = {r.vec_id: r for r in op5_vectors.near_duplicate_vectors(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")).collect()}
+    assert [got[i].n_links for i in range(6000)] == hit.sum(1).tolist()
+    assert {i: got[i].component_id for i in got} == components(range(6000), list(zip(*np.nonzero(hit), strict=True)))
+
+
 def test_held_out_quality(spark):
     rows = queries.op6_quality_classifier(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out and quality is not null").collect()
     agree = sum(r.predicted == r.quality for r in rows) / len(rows)
