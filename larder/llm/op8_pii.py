@@ -1,10 +1,13 @@
 """Personal data: patterns for the plain forms, a character BiLSTM-CRF for written variants of them.
 
-The tagger is trained in numpy from labelled spans. It reads every stretch of a text that can hold one
-of the kinds: within REACH characters of a digit, of @, or of a written "at". Such stretches are cut
-into overlapping windows; each character takes its tag from the window in which it lies most central,
-and the tags of the whole text are then read as spans. A span of the tagger is kept if its probability
-is high, its form passes the kind's check, and no pattern's span touches it.
+The tagger is trained in numpy from labelled spans. It reads every stretch of a text that can hold a
+span that passes(): each whole run of digits and their separators, each @, and each whole address or
+number with a written "at" or "dot", bare or bracketed, in any case; and REACH characters around them.
+Such stretches are cut into overlapping windows; each character takes its tag from the window in which
+it lies most central, and the tags of the whole text are then read as spans. A span of the tagger is
+kept if its probability is high, its form passes the kind's check, and no pattern's span touches it. A
+written address or ip that the tagger finds anything of goes whole, however long it is. A bare "at" before a domain
+with plain dots only ("look at example.org") isn't read as an address.
 """
 
 from __future__ import annotations
@@ -31,7 +34,13 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|[(\[{]\s?at\s?[)\]}]")
+_RUN = re.compile(r"\+?\(?[0-9](?:[0-9 ./()-]*[0-9])?")
+_AT = re.compile(r"@|[(\[{]\s?at\s?[)\]}]|(?<=\s)at(?=\s)", re.IGNORECASE)
+_DOT = r"(?:\s?[(\[{]\s?(?:dot|\.)\s?[)\]}]\s?|\sdot\s|\.)"
+_HOST = re.compile(rf"\s?[\w-]++(?:{_DOT}[\w-]++)++", re.IGNORECASE)
+_WRITTEN_DOT = re.compile(r"[(\[{]\s?(?:dot|\.)\s?[)\]}]|(?<=\s)dot(?=\s)", re.IGNORECASE)
+_WRITTEN_IP = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
+_LETTERS = re.compile(r"[A-Za-z]+")
 
 
 def luhn(digits: str) -> bool:
@@ -79,7 +88,7 @@ def base_spans(text: str) -> list[Span]:
 # ---- labelled spans ----
 
 
-def labelled_examples(n: int = 1000, seed: int = 5) -> list[tuple[str, list[Span]]]:
+def labelled_examples(n: int = 1500, seed: int = 5) -> list[tuple[str, list[Span]]]:
     """Made-up texts with labelled spans: plain forms, written variants, and look-alikes without a label."""
     rng = np.random.default_rng(seed)
     pick = lambda *xs: xs[rng.integers(len(xs))]
@@ -93,19 +102,21 @@ def labelled_examples(n: int = 1000, seed: int = 5) -> list[tuple[str, list[Span
 
     def made(kind: str) -> str:
         if kind == "email":
-            name, host, top = word() + pick("", ".", "_") + word() + digits(rng.integers(0, 3)), word(), pick("com", "org", "net", "de")
+            name, host, top = pick("", ".", "_", "-").join(word() for _ in range(pick(1, 2, 2, 2, 6))) + digits(rng.integers(0, 3)), word(), pick("com", "org", "net", "de")
             name, host = (re.sub("[éö]", "o", s) for s in (name, host))
-            return pick(f"{name}@{host}.{top}", f"{name} (at) {host} (dot) {top}", f"{name} [at] {host} [dot] {top}", f"{name}(at){host}.{top}", f"{name}[at]{host}.{top}")
+            parts = [re.sub("[éö]", "o", word()) for _ in range(pick(0, 0, 1, 3))] + [host, top]
+            at, dot = pick(("@", "."), (" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "."), ("[at]", "."), (" (AT) ", " (DOT) "), ("[AT]", "."), (" at ", " dot "), (" AT ", " DOT "), ("@", "[.]"), (" {at} ", " {dot} "))
+            return name + at + dot.join(parts)
         if kind == "ip":
-            return ".".join(str(rng.integers(0, 256)) for _ in range(4))
+            return pick(".", ".", "[.]", " (dot) ", "(dot)", " dot ", " [dot] ").join(str(rng.integers(0, 256)) for _ in range(4))
         if kind == "card":
             return card(pick("", " ", "-", ".", "/"))
         area, a, b = digits(3), digits(3), digits(4)
-        return pick(f"+{rng.integers(1, 99)} ({area}) {a}-{b}", f"({area}) {a}-{b}", f"({area}) {a} {b}", f"+{rng.integers(1, 99)} {area} {a} {b}", f"+{rng.integers(1, 99)}-{area}-{a}-{b}")
+        return pick(f"+{rng.integers(1, 99)} ({area}) {a}-{b}", f"({area}) {a}-{b}", f"({area}) {a} {b}", f"+{rng.integers(1, 99)} {area} {a} {b}", f"+{rng.integers(1, 99)}-{area}-{a}-{b}", f"{area}-{a}-{b}", f"{area} {a} {b}", f"{area}.{a}.{b}")
 
     def decoy() -> str:
         code = "".join(pick(*"0123456789abcdef") for _ in range(40))
-        return pick(f'token = "{code}"', f"version {rng.integers(1, 9)}.{rng.integers(0, 9)}", digits(16), digits(4), f"{digits(2)}.{digits(2)}.{digits(4)}", f"{digits(3)}-{digits(3)}", f"$ {digits(3)}.{digits(2)}", f"@{word()}", digits(rng.integers(5, 12)), f"{digits(1)},{digits(3)}", f"({digits(4)})", f"{digits(4)}-{digits(2)}-{digits(2)}", f"[{digits(2)}]")
+        return pick(f'token = "{code}"', f"version {rng.integers(1, 9)}.{rng.integers(0, 9)}", digits(16), digits(4), f"{digits(2)}.{digits(2)}.{digits(4)}", f"{digits(3)}-{digits(3)}", f"$ {digits(3)}.{digits(2)}", f"@{word()}", digits(rng.integers(5, 12)), f"{digits(1)},{digits(3)}", f"({digits(4)})", f"{digits(4)}-{digits(2)}-{digits(2)}", f"20{digits(2)}-{digits(2)}-{digits(2)} {digits(2)}{pick(*':.')}{digits(2)}", f"[{digits(2)}]")
 
     out = []
     for _ in range(n):
@@ -124,7 +135,7 @@ def labelled_examples(n: int = 1000, seed: int = 5) -> list[tuple[str, list[Span
 
 
 def windows_of(text: str, spans: Sequence[Span]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    x, y = encode(text), np.zeros(len(text), np.int64)
+    x, y = marked(text, 0, len(text), addresses(text)), np.zeros(len(text), np.int64)
     for kind, a, b in spans:
         y[a:b] = 2 * KINDS.index(kind) + 2
         y[a] -= 1
@@ -145,13 +156,52 @@ def train(examples: Sequence[tuple[str, Sequence[Span]]], epochs: int = 7, hidde
 # ---- whole texts ----
 
 
-def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches within REACH of a trigger, merged where they meet."""
+def addresses(text: str) -> list[Span]:
+    """Every stretch that has the form of an address with an @ or a written "at", or of an ip with written dots.
+
+    Linear in the text: what stands before an "at" ends at the one before it.
+    """
+    out: list[Span] = []
+    low = text.lower()
+    if "@" in low or "at" in low:
+        for m in _AT.finditer(text):
+            start = m.start()
+            if start and text[start - 1].isspace():
+                start -= 1
+            name = start
+            while name and (text[name - 1].isalnum() or text[name - 1] in "_.%+-"):
+                name -= 1
+            host = _HOST.match(text, m.end())
+            if name < start and host and (m[0][0] in "@([{" or _WRITTEN_DOT.search(host[0])):
+                while text[name] == "." and name < start - 1:
+                    name += 1
+                out.append(("email", name, host.end()))
+    if "dot" in low or "." in low and any(c in low for c in "([{"):
+        out += [("ip", m.start(), m.end()) for m in _WRITTEN_IP.finditer(text) if passes("ip", m[0])]
+    return out
+
+
+def marked(text: str, a: int, b: int, found: Sequence[Span]) -> np.ndarray:
+    """Classes of text[a:b]; the letters of a written "at" or "dot" of an address have the class of @ or of a full stop."""
+    x = encode(text[a:b])
+    for _, start, end in found:
+        if start < b and end > a:
+            for pattern, sign in ((_AT, "@"), (_WRITTEN_DOT, ".")):
+                for m in pattern.finditer(text, start, end):
+                    for w in _LETTERS.finditer(text, m.start(), m.end()):
+                        x[max(0, w.start() - a) : max(0, w.end() - a)] = encode(sign)[0]
+    return x
+
+
+def regions(text: str, found: Sequence[Span]) -> list[tuple[int, int]]:
+    """Runs of digits, @ and the addresses found, whole, with REACH around them, merged where they meet."""
+    own = [(m.start(), m.end()) for m in _RUN.finditer(text)] if _DIGIT.search(text) else []
+    own += [(i, i + 1) for i, c in enumerate(text) if c == "@"] if "@" in text else []
     out: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+    for start, end in sorted([*own, *((a, b) for _, a, b in found)]):
+        a, b = max(0, start - REACH), min(len(text), end + REACH)
         if out and a <= out[-1][1]:
-            out[-1][1] = b
+            out[-1][1] = max(out[-1][1], b)
         else:
             out.append([a, b])
     return [(a, b) for a, b in out]
@@ -163,19 +213,19 @@ def passes(kind: str, piece: str) -> bool:
     if kind == "card":
         return 16 <= len(digits) <= 19 and luhn(digits) and re.fullmatch(r"[0-9]+(?:[ ./-]{1,2}[0-9]+)*", piece) is not None
     if kind == "phone":
-        return 10 <= len(digits) <= 15 and re.fullmatch(r"\+?[0-9]*[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]+(?:[ .-][0-9]+)*", piece) is not None
+        return 10 <= len(digits) <= 15 and re.fullmatch(r"\+?[0-9]*[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]+(?:[ .-][0-9]+)*|\+?[0-9]{1,4}(?:[ .-][0-9]{2,5}){2,4}", piece) is not None
     if kind == "email":
-        return re.fullmatch(r"[\w.%+-]+\s?(?:@|[(\[{]\s?at\s?[)\]}])\s?[\w-]+(?:\s?(?:\.|[(\[{]\s?dot\s?[)\]}])\s?[\w-]+)+", piece) is not None
-    return False  # a pattern's ip has no other way of writing
+        return re.fullmatch(rf"[\w.%+-]+\s?(?:@|[(\[{{]\s?at\s?[)\]}}])\s?[\w-]+(?:(?:{_DOT}|\s?\.\s?)[\w-]+)+", piece, re.IGNORECASE) is not None
+    return _WRITTEN_IP.fullmatch(piece) is not None and all(int(p) <= 255 for p in re.findall("[0-9]+", piece))
 
 
-def tagged_spans(texts: Sequence[str], tagger: Tagger, batch: int = 512) -> list[list[Span]]:
-    """The tagger's spans of each text."""
+def tagged_spans(texts: Sequence[str], found: Sequence[Sequence[Span]], tagger: Tagger, batch: int = 512) -> list[list[Span]]:
+    """The tagger's spans of each text, given the addresses of each."""
     held: list[tuple[int, int, int, np.ndarray]] = []  # text, start, length inside the region, classes
-    places = [regions(t) for t in texts]
+    places = [regions(t, f) for t, f in zip(texts, found, strict=True)]
     for i, own in enumerate(places):
         for a, b in own:
-            x = encode(texts[i][a:b])
+            x = marked(texts[i], a, b, found[i])
             for at in range(0, max(1, b - a - STRIDE), STRIDE):
                 part = x[at : at + WINDOW]
                 held.append((i, a + at, len(part), np.pad(part, (0, WINDOW - len(part)))))
@@ -197,7 +247,7 @@ def tagged_spans(texts: Sequence[str], tagger: Tagger, batch: int = 512) -> list
                 _, tag, s = marks.get(pos, (0, 0, 1.0)) if pos < b else (0, 0, 1.0)
                 kind = (tag - 1) // 2 if tag else -1
                 if now and (kind != now[0] or tag % 2 == 1):
-                    if now[3] >= SURE:
+                    if now[3] >= SURE or any(KINDS[now[0]] == k and x < now[2] and now[1] < y for k, x, y in found[i]):
                         spans.append((KINDS[now[0]], now[1], now[2]))
                     now = None
                 if tag:
@@ -209,7 +259,8 @@ def tagged_spans(texts: Sequence[str], tagger: Tagger, batch: int = 512) -> list
 def find(texts: Sequence[str], tagger: Tagger) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, all spans) of each text; all spans are by kind as listed, then start."""
     out = []
-    for text, own, more in zip(texts, map(base_spans, texts), tagged_spans(texts, tagger), strict=True):
+    written = [addresses(t) for t in texts]
+    for text, own, whole, more in zip(texts, map(base_spans, texts), written, tagged_spans(texts, written, tagger), strict=True):
         covered = [(a, b) for _, a, b in own]
         added = []
         for kind, a, b in more:
@@ -217,7 +268,10 @@ def find(texts: Sequence[str], tagger: Tagger) -> list[tuple[list[Span], list[Sp
                 b -= 1
             while b > a and text[a] == " ":
                 a += 1
-            if b > a and passes(kind, text[a:b]) and all(b <= x or a >= y for x, y in covered):
+            held = next(((x, y) for k, x, y in whole if k == kind and x < b and a < y), None)
+            if held:
+                a, b = held
+            if b > a and (held or passes(kind, text[a:b])) and all(b <= x or a >= y for x, y in covered):
                 added.append((kind, a, b))
                 covered.append((a, b))
         out.append((own, sorted([*own, *added], key=lambda s: (KINDS.index(s[0]), s[1]))))

@@ -263,6 +263,17 @@ def test_the_tagger_finds_written_variants():
     assert base == [] and {text[a:b] for _, a, b in spans} == {"anna (at) posta (dot) org", "(555) 123-4567"}
 
 
+@pytest.mark.parametrize("piece", ["name (at) mail.department (dot) some-university (dot) ac (dot) uk", "a-very-long-local-part.of.an.address.which.goes.on (at) example (dot) org", "x at y dot org", "john.doe (AT) example.com", "name@host[.]com", "192[.]168[.]10[.]4", "10 (dot) 20 (dot) 30 (dot) 40", "555-123-4567", "030 123 4567"])
+def test_written_variants_are_found_whole(piece):
+    text = f"Say it: {piece} and go"
+    assert [text[a:b] for _, a, b in op8_pii.find([text], op8_pii.default_tagger())[0][1]] == [piece]
+
+
+def test_what_only_looks_like_personal_data_stays():
+    texts = ["look at the house. Then go at noon", "we met at example.org on 12.12.2020", "card 4111 1111 1111 1112 no", "on 2024-01-01 12.30 and 2023-10-10 11:12"]
+    assert [s for _, s in op8_pii.find(texts, op8_pii.default_tagger())] == [[]] * 4
+
+
 def test_rules_count_whole_texts(spark, documents):
     rows = {r.doc_id: r for r in queries.op9_quality_rules(spark, SF).collect()}
     for i, t, _ in documents:
