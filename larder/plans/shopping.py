@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larder.functions.measure import haversine_km
@@ -37,7 +37,7 @@ SELECT c_custkey, city IS NULL OR CASE WHEN listed THEN contains(city, 'build')
 
 
 def c11_rank_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Offers of each part: kind first, then price; the best five, with the cheapest and the fastest marked."""
+    """Offers of each part: kind first, then price; the best five, with the cheapest marked (A11); c11_all_offers gives every offer."""
     kind = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
     offers = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", kind.alias("kind"))
     best = ranking.ranked(offers, ["l_partkey"], [F.asc("kind"), F.asc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber"), F.asc("l_suppkey")], 5)
@@ -50,6 +50,28 @@ r AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY kind, l_exten
 SELECT l_partkey, rank, l_suppkey, kind, l_extendedprice, l_extendedprice = least AS cheapest FROM r WHERE rank <= 5"""
 
 
+def c11_all_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every offer of each part with its rank, kind first, then price; the cheapest and the fastest to be delivered marked.
+
+    Estimates (kind 2) aren't delivered. The fastest has the least delivery rank, the best offer first.
+    """
+    kind = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    eta = F.lower(F.when(F.col("l_linestatus") == "O", F.lit("30-60 min")).otherwise(F.lit("Next day")))
+    wait = F.when(F.contains(eta, F.lit("min")), 0).when(F.contains(eta, F.lit("same day")), 1).when(F.contains(eta, F.lit("next day")), 2).otherwise(3)
+    of = Window.partitionBy("l_partkey")
+    place = F.row_number().over(of.orderBy("kind", "l_extendedprice", "l_orderkey", "l_linenumber", "l_suppkey"))
+    offers = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", kind.alias("kind"), wait.alias("wait")).withColumn("rank", place)
+    first = F.min(F.when(F.col("kind") < 2, F.struct("wait", "rank"))).over(of)
+    fastest = F.coalesce(first["rank"] == F.col("rank"), F.lit(False))
+    return offers.select("l_partkey", "rank", "l_suppkey", "kind", "l_extendedprice", (F.col("l_extendedprice") == F.min("l_extendedprice").over(of)).alias("cheapest"), fastest.alias("fastest"))
+
+
+C11_ALL_SQL = """WITH o AS (SELECT *, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS kind, CASE l_linestatus WHEN 'O' THEN 0 ELSE 2 END AS wait, min(l_extendedprice) OVER (PARTITION BY l_partkey) AS least FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY kind, l_extendedprice, l_orderkey, l_linenumber, l_suppkey)::INT AS rank FROM o),
+f AS (SELECT *, kind < 2 AND row_number() OVER (PARTITION BY l_partkey ORDER BY kind = 2, wait, rank) = 1 AS fastest FROM r)
+SELECT l_partkey, rank, l_suppkey, kind, l_extendedprice, l_extendedprice = least AS cheapest, fastest FROM f"""
+
+
 def a7_offer_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag = F.col("l_returnflag")
     return table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count_if(flag == "A").alias("real"), F.count_if(flag == "N").alias("search"), F.count_if(flag == "R").alias("estimated"), F.bool_or(flag == "A").alias("any_real"))
@@ -148,6 +170,7 @@ J13_SQL = "SELECT c_custkey, CASE WHEN c_custkey % 4 IN (0, 1) THEN n_name END A
 QUERIES = {
     "p7_coverage": (p7_coverage, P7_SQL),
     "c11_rank_offers": (c11_rank_offers, C11_SQL),
+    "c11_all_offers": (c11_all_offers, C11_ALL_SQL),
     "a7_offer_kinds": (a7_offer_kinds, A7_SQL),
     "c13_nearest_stores": (c13_nearest_stores, C13_SQL),
     "j9_page_shops": (j9_page_shops, J9_SQL),

@@ -15,3 +15,9 @@ def test_entry_runs(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_every_offer_is_ranked(spark):
+    rows = catalogue.queries()["c11_all_offers"](spark, SF).collect()
+    assert len(rows) == spark.read.parquet(f"{SF}/lineitem.parquet").count() and max(r["rank"] for r in rows) > 5
+    assert len({r.l_partkey for r in rows if r.kind < 2}) == sum(r.fastest for r in rows)
