@@ -145,8 +145,17 @@ SELECT c_custkey, coalesce(x.link, y.link) AS link, CASE WHEN c_custkey % 2 = 0
 
 
 def w4_score_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page hits by score: trusted host 10, a word in title or snippet 3, another in the snippet 2; the first three of each site."""
-    title, snippet = F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.substring(strip_tags(F.col("html")), 1, 200)
+    """Page hits by score: trusted host 10, a word in title or snippet 3, another in the snippet 2; the first three of each site (W4). The snippet is the first 200 characters; w4_score_pages reads whole texts."""
+    return scored_hits(spark, sf_dir, F.substring(strip_tags(F.col("html")), 1, 200))
+
+
+def w4_score_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """w4_score_hits over the whole text of each page."""
+    return scored_hits(spark, sf_dir, strip_tags(F.col("html")))
+
+
+def scored_hits(spark: SparkSession, sf_dir: str, snippet: Column) -> DataFrame:
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
     pages = table(spark, sf_dir, "pages").select("page_id", F.coalesce(host(F.col("url")), F.lit("")).alias("host"), F.lower(title).alias("title"), F.lower(snippet).alias("snippet"))
     score = F.when(F.endswith("host", F.lit("example.org")), 10).otherwise(0) + F.when(F.contains("title", F.lit("er")) | F.contains("snippet", F.lit("er")), 3).otherwise(0) + F.when(F.contains("snippet", F.lit("th")), 2).otherwise(0)
     scored = pages.select("page_id", F.regexp_extract("host", "([a-z]+)$", 1).alias("site"), score.alias("score"))
@@ -159,6 +168,8 @@ b AS (SELECT page_id, host, title, lower(substring(trim(regexp_replace(replace(r
 c AS (SELECT page_id, regexp_extract(host, '([a-z]+)$', 1) AS site, CASE WHEN ends_with(host, 'example.org') THEN 10 ELSE 0 END + CASE WHEN contains(title, 'er') OR contains(s, 'er') THEN 3 ELSE 0 END + CASE WHEN contains(s, 'th') THEN 2 ELSE 0 END AS score FROM b)
 SELECT page_id, site, score, row_number() OVER (PARTITION BY site ORDER BY score DESC, page_id)::INT AS rank FROM c QUALIFY rank <= 3"""
 
+W4_PAGES_SQL = W4_SQL.replace("lower(substring(trim(", "lower((trim(").replace(", ' ', 'g'), ' '), 1, 200)) AS s", ", ' ', 'g'), ' '))) AS s")
+
 
 def c10_product_waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per part the cheapest plausible real offer and how many others, else a search link, else an estimate."""
@@ -211,6 +222,7 @@ QUERIES = {
     "j8_basket_links": (j8_basket_links, J8_SQL),
     "j16_fallback_ids": (j16_fallback_ids, J16_SQL),
     "w4_score_hits": (w4_score_hits, W4_SQL),
+    "w4_score_pages": (w4_score_pages, W4_PAGES_SQL),
     "c10_product_waterfall": (c10_product_waterfall, C10_SQL),
     "c14_pinned_rewrite": (c14_pinned_rewrite, C14_SQL),
     "t1_cache_hits": (t1_cache_hits, T1_SQL),

@@ -21,3 +21,10 @@ def test_every_offer_is_ranked(spark):
     rows = catalogue.queries()["c11_all_offers"](spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/lineitem.parquet").count() and max(r["rank"] for r in rows) > 5
     assert len({r.l_partkey for r in rows if r.kind < 2}) == sum(r.fastest for r in rows)
+
+
+def test_words_far_into_a_page_score(spark, tmp_path):
+    html = "<title>x</title><p>" + "a " * 300 + "th er</p>"
+    spark.createDataFrame([(1, "https://a.example.com/p", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    score = lambda name: catalogue.queries()[name](spark, str(tmp_path)).first().score
+    assert (score("w4_score_hits"), score("w4_score_pages")) == (0, 5)
