@@ -37,18 +37,23 @@ def dishes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(dish.alias("dish"), F.lower("p_type").alias("cuisine")).groupBy("dish").agg(F.min("cuisine").alias("cuisine")).withColumn("meal", F.lit("dinner"))
 
 
-def recipe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").where("p_type in ('ECONOMY', 'PROMO')").groupBy("p_name", "p_type").agg(F.min("p_partkey").alias("recipe"))
+def recipe_names(spark: SparkSession, sf_dir: str, offered: str = "p_type in ('ECONOMY', 'PROMO')") -> DataFrame:
+    part = table(spark, sf_dir, "part").where(offered).groupBy("p_name", "p_type").agg(F.min("p_partkey").alias("recipe"))
     of = ["recipe", F.lower("p_type").alias("cuisine"), F.when(F.col("recipe") % 2 == 0, "dinner").otherwise("lunch").alias("meal")]
     titles = part.select(F.col("p_name").alias("name"), F.lit(1.0).alias("weight"), *of)
     return titles.union(part.select(F.concat_ws(" ", F.lower("p_type"), "p_name"), F.lit(0.9), *of))
 
 
 def w3_best_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The recipe whose title or alias fits each dish best."""
+    """The recipe, among those of two types of part, whose title or alias fits each dish best; w3_best_of_all offers every part."""
     return names.best_recipe(dishes(spark, sf_dir), recipe_names(spark, sf_dir))
 
 
+def w3_best_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recipe, among those of all parts, whose title or alias fits each dish best."""
+    return names.best_recipe(dishes(spark, sf_dir), recipe_names(spark, sf_dir, "true"))
+
+
 RECIPES_CTE = """d AS (SELECT CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' ' || lower(p_type) ELSE lower(p_type) || ' ' || string_split(p_name, ' ')[-1] END AS dish, min(lower(p_type)) AS cuisine FROM part GROUP BY 1),
 k AS (SELECT p_name, p_type, min(p_partkey) AS recipe FROM part WHERE p_type IN ('ECONOMY', 'PROMO') GROUP BY ALL),
 r AS (SELECT recipe, lower(p_type) AS cuisine, recipe % 2 = 0 AS dinner, unnest([p_name, lower(p_type) || ' ' || p_name]) AS name, unnest([1.0::DOUBLE, 0.9::DOUBLE]) AS weight FROM k),
@@ -58,6 +63,8 @@ v AS (SELECT dish, recipe, weight, CASE WHEN t.cuisine = u.cuisine THEN 200 ELSE
   CASE WHEN dish = name THEN 1000 WHEN len(a) >= 2 AND contains(name, dish) THEN 700 WHEN len(b) >= 2 AND contains(dish, name) THEN 650 WHEN shared >= greatest(2, ceil(len(a) * 0.55::DOUBLE)) THEN 50 * shared ELSE 0 END * weight AS base FROM t, u),
 best AS (SELECT dish, recipe, base + extra AS score FROM v WHERE base >= 50 QUALIFY row_number() OVER (PARTITION BY dish ORDER BY base + extra DESC, recipe) = 1)"""
 W3_SQL = f"WITH {RECIPES_CTE} SELECT dish, recipe, score FROM best"
+ALL_RECIPES_CTE = RECIPES_CTE.replace(" WHERE p_type IN ('ECONOMY', 'PROMO')", "")
+W3_ALL_SQL = f"WITH {ALL_RECIPES_CTE} SELECT dish, recipe, score FROM best"
 
 
 def rule_ingredients(dish: Column) -> Column:
@@ -68,9 +75,18 @@ def rule_ingredients(dish: Column) -> Column:
 
 def c8_recipe_waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each dish from the cache, else the best recipe, else the rules (C8, F13, T4: the last stage never fails)."""
+    return waterfall(spark, sf_dir, "p_size > 45", "p_type in ('ECONOMY', 'PROMO')")
+
+
+def c8_waterfall_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """c8_recipe_waterfall with every part in the cache and every part a recipe."""
+    return waterfall(spark, sf_dir, "true", "true")
+
+
+def waterfall(spark: SparkSession, sf_dir: str, cached: str, offered: str) -> DataFrame:
     wanted = dishes(spark, sf_dir)
-    cache = table(spark, sf_dir, "part").where("p_size > 45").groupBy(F.col("p_name").alias("dish")).agg(F.min("p_partkey").alias("cached"))
-    local = names.best_recipe(wanted, recipe_names(spark, sf_dir)).select("dish", "recipe")
+    cache = table(spark, sf_dir, "part").where(cached).groupBy(F.col("p_name").alias("dish")).agg(F.min("p_partkey").alias("cached"))
+    local = names.best_recipe(wanted, recipe_names(spark, sf_dir, offered)).select("dish", "recipe")
     met = wanted.select("dish").join(cache, "dish", "left").join(local, "dish", "left")
     origin = F.when(F.col("cached").isNotNull(), "cache").when(F.col("recipe").isNotNull(), "local").otherwise("rule")
     return met.select("dish", origin.alias("origin"), F.coalesce("cached", "recipe").alias("recipe"), F.size(rule_ingredients(F.col("dish"))).alias("rule_lines"))
@@ -80,6 +96,8 @@ C8_SQL = f"""WITH {RECIPES_CTE}, c AS (SELECT p_name AS dish, min(p_partkey) AS
 SELECT d.dish, CASE WHEN cached IS NOT NULL THEN 'cache' WHEN recipe IS NOT NULL THEN 'local' ELSE 'rule' END AS origin, coalesce(cached, recipe) AS recipe,
   CASE WHEN d.dish LIKE '%ring%' OR d.dish LIKE '%rod%' THEN 2 WHEN d.dish LIKE '%widget%' THEN 3 ELSE 2 END AS rule_lines FROM d LEFT JOIN c USING (dish) LEFT JOIN best USING (dish)"""
 
+C8_ALL_SQL = C8_SQL.replace(RECIPES_CTE, ALL_RECIPES_CTE).replace(" WHERE p_size > 45", "")
+
 
 def c9_enrich_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dishes of each order's parts to summed ingredient amounts, scaled by the line's quantity."""
@@ -94,12 +112,21 @@ SELECT l_orderkey, name, sum(amount * l_quantity) AS amount FROM l JOIN i USING
 
 
 def c15_recipe_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A third of the price of each ingredient found by its name or a part of it; the plan's average where under a third, or fewer than two, are found."""
+    """A third of the price of each ingredient found by its name or a part of it; the plan's average where under a third, or fewer than two, are found; priced are parts up to size 12."""
+    return recipe_costs(spark, sf_dir, "p_size <= 12")
+
+
+def c15_cost_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """c15_recipe_cost with the prices of all parts."""
+    return recipe_costs(spark, sf_dir, "true")
+
+
+def recipe_costs(spark: SparkSession, sf_dir: str, offered: str) -> DataFrame:
     key = F.col("p_partkey")
     said = F.when(key % 3 == 0, F.col("p_name")).when(key % 3 == 1, F.element_at(F.split("p_name", " "), -1)).otherwise(F.concat(F.lit("x"), F.lower("p_type")))
     part = table(spark, sf_dir, "part")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey")).join(part.select("p_partkey", said.alias("name")), "p_partkey")
-    prices = part.where("p_size <= 12").groupBy(F.col("p_name").alias("name")).agg(F.min_by("p_retailprice", "p_partkey").alias("price"), F.min("p_partkey").alias("ord"))
+    prices = part.where(offered).groupBy(F.col("p_name").alias("name")).agg(F.min_by("p_retailprice", "p_partkey").alias("price"), F.min("p_partkey").alias("ord"))
     priced = lines.join(names.first_price(lines.select("name"), prices), "name", "left")
     third = F.sum((F.col("price") / 3).cast("decimal(18,6)")).cast("double")
     meals = priced.groupBy("l_orderkey").agg(F.count("price").alias("matched"), F.count("*").alias("n"), third.alias("sum"))
@@ -113,6 +140,8 @@ f AS (SELECT name, price FROM (SELECT DISTINCT name FROM s), p WHERE contains(na
 m AS (SELECT l_orderkey, count(price) AS matched, count(*) AS n, sum((price / 3)::DECIMAL(18,6))::DOUBLE AS total FROM lineitem JOIN s ON p_partkey = l_partkey LEFT JOIN f USING (name) GROUP BY 1)
 SELECT l_orderkey, matched, floor(CASE WHEN matched >= greatest(2, floor(n / 3)) THEN total ELSE 250.0::DOUBLE END * 100 + 0.5) / 100 AS cost FROM m"""
 
+C15_ALL_SQL = C15_SQL.replace(" WHERE p_size <= 12", "")
+
 
 def j8_basket_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search link per basket and store of its country, for the basket's first eight names."""
@@ -216,9 +245,12 @@ T7_SQL = "SELECT user_id, event_id FROM events WINDOW w AS (PARTITION BY user_id
 QUERIES = {
     "p4_title_match": (p4_title_match, P4_SQL),
     "w3_best_recipe": (w3_best_recipe, W3_SQL),
+    "w3_best_of_all": (w3_best_of_all, W3_ALL_SQL),
     "c8_recipe_waterfall": (c8_recipe_waterfall, C8_SQL),
+    "c8_waterfall_of_all": (c8_waterfall_of_all, C8_ALL_SQL),
     "c9_enrich_plan": (c9_enrich_plan, C9_SQL),
     "c15_recipe_cost": (c15_recipe_cost, C15_SQL),
+    "c15_cost_of_all": (c15_cost_of_all, C15_ALL_SQL),
     "j8_basket_links": (j8_basket_links, J8_SQL),
     "j16_fallback_ids": (j16_fallback_ids, J16_SQL),
     "w4_score_hits": (w4_score_hits, W4_SQL),
