@@ -81,7 +81,7 @@ PIECE_GRAMS = 150.0
 
 
 def c2_price_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cascade, packs, sanity cap and basket totals (C2: J3, A1, F20, F23, F24, A3)."""
+    """Cascade, packs, sanity cap and basket totals (of C2 only J3, A1, F20, F23, F24, A3; one piece weight and one cap for all)."""
     texts = F.array(*[F.lit(t) for t, _, _ in NEEDS])
     lines = priced_requests(spark, sf_dir).withColumn("need", parse_shopping(F.element_at(texts, (F.col("request") % len(NEEDS) + 1).cast("int"))))
     packs = pack_count(F.col("need"), F.col("unit"), F.col("quantity"), F.lit(PIECE_GRAMS))

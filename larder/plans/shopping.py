@@ -100,7 +100,7 @@ SHOPS = (("example.org", "north"), ("example.net", "south"))
 
 
 def j9_page_shops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with their host, whether they are product pages, and the shop whose host theirs ends in."""
+    """Pages with their host, whether they are product pages, and the shop of two fixed host suffixes that theirs ends in (F66, P5; not J9)."""
     pages = table(spark, sf_dir, "pages").select("page_id", host(F.col("url")).alias("host"), is_product_page(F.col("url")).alias("product"))
     shop = F.coalesce(*[F.when(F.endswith("host", F.lit(suffix)), F.lit(name)) for suffix, name in SHOPS], F.lit("other"))
     return pages.withColumn("shop", shop)
