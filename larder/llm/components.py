@@ -1,6 +1,6 @@
 """Connected components of an edge table, by alternating large-star and small-star (Kiveris et al.).
 
-Each round is two grouped minima and two joins, written to the shared folder. No table of edges,
+Each task first makes a forest of its own edges; then each round is two grouped minima and two joins, written to the shared folder. No table of edges,
 nodes or components comes to the driver: it sees one answer a round.
 """
 
@@ -15,35 +15,42 @@ from pyspark.sql import functions as F
 from larder.llm.storage import cut
 
 
+#: Edges of a task of forest().
+PER_TASK = 500_000
+
+
 def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) of each batch -> an equivalent forest of stars on the smallest node."""
-    for batch in batches:
-        parent: dict[int, int] = {}
+    """Edges (a, b) of each partition -> an equivalent forest of stars on the smallest node."""
+    parent: dict[int, int] = {}
 
-        def root(v: int) -> int:
-            top = v
-            while parent.setdefault(top, top) != top:
-                top = parent[top]
-            while parent[v] != top:
-                parent[v], v = top, parent[v]
-            return top
+    def root(v: int) -> int:
+        top = v
+        while parent.setdefault(top, top) != top:
+            top = parent[top]
+        while parent[v] != top:
+            parent[v], v = top, parent[v]
+        return top
 
+    for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             x, y = root(a), root(b)
             if x != y:
                 parent[max(x, y)] = min(x, y)
-        pairs = [(root(v), v) for v in parent]
-        pairs = [p for p in pairs if p[0] != p[1]]
-        yield pa.record_batch([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+    pairs = [(top, v) for v in parent if (top := root(v)) != v]
+    yield pa.record_batch([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest reachable node) of every node of edges (a, b: long, not null).
 
-    Nodes without an edge to another node don't appear. An empty table gives none.
+    Nodes without an edge to another node don't appear. An empty table gives none. Edges are dealt to
+    tasks of PER_TASK; where one task is enough, its forest is the answer.
     """
-    now = cut(edges.select("a", "b").where("a <> b").mapInArrow(forest, "a long, b long").distinct(), "edges")
-    while True:
+    apart = edges.select("a", "b").where("a <> b")
+    tasks = -(-apart.count() // PER_TASK)
+    now = cut(apart.repartition(max(1, tasks)).mapInArrow(forest, "a long, b long"), "edges")
+    while tasks > 1:
+        now = now.distinct()
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()

@@ -8,9 +8,12 @@ need not be sent anywhere: only shared ones travel on. A shared shingle speaks f
 what follows it in both sets still suffices: the j-th common shingle (j up to k) at places p and q
 leaves at most j + min(n - p, m - q) in common.
 
-Exact copies (equal sets) are one class from the start. Stars verified against one common partner
-join most near copies; after that only pairs from different components are candidates, so a large
-group of near copies isn't expanded into its pairs, and no link between different groups is lost.
+Exact copies (equal sets) are one class from the start. Rounds of stars then verify every set against a
+few common partners, a bounded number of candidates for each posting, and unite what links; lists whose
+sets are all in one component are dropped. Rounds go on while the lists still hold many pairs between
+components and each round halves them. Only then does every remaining pair between components become a
+candidate, so a large group of near copies isn't expanded into its pairs, and no link between different
+groups is lost.
 
 Shingle hashes travel as packed numpy arrays per hash bucket; Spark groups the buckets.
 """
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.llm.components import connected_components
@@ -33,6 +36,10 @@ PER_BUCKET, PER_CHUNK = 500_000, 1_500_000
 LONGEST = 16
 #: Cost of a verification against sending one candidate from a list.
 VERIFY_COST = 6.0
+#: In a round of stars: partners of a posting, and candidates of a set that are verified.
+ANCHORS, TRIED = 3, 4
+#: Pairs between components, for each posting at first, above which another round of stars goes before them.
+CROWDED = 4
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
@@ -74,16 +81,16 @@ def unpack6(raw: bytes) -> np.ndarray:
 
 
 def profile(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, k1, k2 of every row: the size of its set and what stands for it."""
+    """doc_id, th, n, k1, k2 of every row: the text's hash, the size of its set and what stands for it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text"), width)
                 keys = [set_key(s) for s in sets]
-                yield pa.record_batch([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], names=["doc_id", "n", "k1", "k2"])
+                yield pa.record_batch([part.column("doc_id"), part.column("th"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], names=["doc_id", "th", "n", "k1", "k2"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long")
+    return docs.mapInArrow(run, "doc_id long, th long, n long, k1 long, k2 long")
 
 
 PARTS = "bucket long, chunk long, x binary, y binary, z binary"
@@ -115,6 +122,7 @@ def postings(width: int, buckets: int):
         chunk = TaskContext.get().partitionId() << 24
         held: list[np.ndarray] = []
         ids: list[int] = []
+        seen: set[int] = set()  # rows of one key and text stand for one set
 
         def flush() -> Iterator[pa.RecordBatch]:
             n = np.array([len(s) for s in held], "<u4")
@@ -132,10 +140,11 @@ def postings(width: int, buckets: int):
         for batch in batches:
             for part in slices(batch, "text"):
                 k1, k2 = part.column("k1").to_pylist(), part.column("k2").to_pylist()
-                for doc, own, a, b in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text"), width), k1, k2, strict=True):
-                    if len(own) and set_key(own) == (a, b):  # another text under the same id is not the class's
+                for vertex, own, a, b in zip(part.column("vertex").to_pylist(), shingle_sets(part.column("text"), width), k1, k2, strict=True):
+                    if vertex not in seen and set_key(own) == (a, b):
                         held.append(own)
-                        ids.append(doc)
+                        ids.append(vertex)
+                        seen.add(vertex)
                 if sum(map(len, held)) >= PER_CHUNK or len(held) > 60_000:
                     yield from flush()
                     held, ids, chunk = [], [], chunk + 1
@@ -209,7 +218,7 @@ def prefixes(percent: int, buckets: int):
                 pn.append(np.full(q, sizes[i]))
                 pk.append(np.full(q, k))
                 pp.append(int(sizes[i]) - (b - a) + 1 + np.arange(q))
-                out.append((-1, int(ids[i]), int(sizes[i]), np.sort(h[a:b]).tobytes(), b""))
+                out.append((-1, int(ids[i]), int(sizes[i]), pack6(np.sort(h[a:b] & np.uint64(2**48 - 1))), b""))
         if ph:
             packed = np.stack([np.concatenate(ph).view(np.int64), *(np.concatenate(c).astype(np.int64) for c in (pv, pn, pk, pp))], axis=1)
             bucket = high_bits(np.ascontiguousarray(packed[:, 0]).view(np.uint64), buckets)
@@ -222,14 +231,29 @@ def prefixes(percent: int, buckets: int):
     return run
 
 
-def _lists(table: pa.Table) -> np.ndarray:
-    """Postings of a bucket as rows (hash, vertex, n, k, place, component), by hash, then vertex; only lists of two or more."""
-    p = np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 6) for x in table.column("x").to_pylist()])
+def postings_of(raw: bytes) -> np.ndarray:
+    """Rows (hash, vertex, n, k, place, component)."""
+    return np.frombuffer(raw, "<i8").reshape(-1, 6)
+
+
+def list_edges(p: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], p[1:, 0] != p[:-1, 0], [True]))) if len(p) else np.zeros(1, np.int64)
+
+
+def surveyed(table: pa.Table) -> pa.Table:
+    """Postings of a bucket -> those of lists with several components, by hash, then vertex, and their pairs between components."""
+    p = np.stack([table.column(c).to_numpy() for c in ("h", "vertex", "n", "k", "place", "component")], axis=1)
     p = p[np.lexsort((p[:, 1], p[:, 0]))]
     p = p[np.concatenate(([True], (p[1:, :2] != p[:-1, :2]).any(axis=1)))]
-    same = p[1:, 0] == p[:-1, 0]
-    keep = np.concatenate((same, [False])) | np.concatenate(([False], same))
-    return p[keep]
+    edges = list_edges(p)
+    sizes = np.diff(edges)
+    mixed = np.minimum.reduceat(p[:, 5], edges[:-1]) != np.maximum.reduceat(p[:, 5], edges[:-1])
+    p = p[np.repeat(mixed, sizes)]
+    in_list = np.repeat(np.arange(mixed.sum()), sizes[mixed])
+    own = np.unique(np.stack([in_list, p[:, 5]], axis=1), axis=0, return_counts=True)[1].astype(float) if len(p) else np.zeros(0)
+    pairs = int(((sizes[mixed].astype(float) ** 2).sum() - (own**2).sum()) / 2)
+    rows = [(table.column("bucket")[0].as_py(), p.tobytes(), len(p), pairs)] if len(p) else []
+    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.int64()))], names=["bucket", "x", "postings", "pairs"])
 
 
 def can_link(p: np.ndarray, q: np.ndarray, percent: int) -> np.ndarray:
@@ -240,18 +264,36 @@ def can_link(p: np.ndarray, q: np.ndarray, percent: int) -> np.ndarray:
     return (p[..., 5] != q[..., 5]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (np.minimum(p[..., 3], q[..., 3]) + rest >= least)
 
 
+COUNTED = "a long, b long, n long, k long"
+
+
+def counted(pairs: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+    """Distinct pairs (of a fixed k each), how often they came, and their k."""
+    pairs, at, n = np.unique(pairs, axis=0, return_index=True, return_counts=True)
+    return pa.record_batch([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(n.astype(np.int64)), pa.array(k[at])], names=["a", "b", "n", "k"])
+
+
 def stars(salt: int, percent: int):
-    """Each member of a list with the list's first member (in a salted order) of another component, and how often."""
+    """Each member of a list with the list's first members and the one before it, if of another component.
 
-    def run(table: pa.Table) -> pa.Table:
-        p = _lists(table)
-        order = np.lexsort((mix(p[:, 1].view(np.uint64).copy() ^ np.uint64(salt)) if len(p) else p[:, 1], p[:, 0]))
-        p = p[order]
-        first = np.concatenate(([True], p[1:, 0] != p[:-1, 0]))[: len(p)]
-        anchor = p[np.maximum.accumulate(np.where(first, np.arange(len(p)), 0))] if len(p) else p
-        ok = can_link(anchor, p, percent)
-        pairs, n = np.unique(np.stack([p[ok, 1], anchor[ok, 1]], axis=1), axis=0, return_counts=True)
-        return pa.table([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(n.astype(np.int64)), pa.array(np.ones(len(n), np.int64))], names=["a", "b", "n", "k"])
+    The order is by place, then salted: a set with few rarer shingles before a common one strayed least
+    from what its group shares, and so links with most of the group.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column("x"):
+                p = postings_of(raw.as_py())
+                p = p[np.lexsort((mix(p[:, 1].view(np.uint64).copy() ^ np.uint64(salt)), p[:, 4], p[:, 0]))]
+                at, edges = np.arange(len(p)), list_edges(p)
+                first = np.repeat(edges[:-1], np.diff(edges))
+                found = []
+                for partner in (*(first + r for r in range(ANCHORS)), np.maximum(at - 1, first + ANCHORS)):
+                    partner = np.minimum(partner, at)
+                    ok = (partner < at) & can_link(p[partner], p, percent)
+                    found.append(np.stack([p[ok, 1], p[partner[ok], 1], np.minimum(p[ok, 3], p[partner[ok], 3])], axis=1))
+                pairs = np.concatenate(found)
+                yield counted(pairs[:, :2], pairs[:, 2])
 
     return run
 
@@ -259,22 +301,20 @@ def stars(salt: int, percent: int):
 def crossings(percent: int):
     """Every pair of a list from different components whose sizes allow a link; n: lists shared in this bucket."""
 
-    def run(table: pa.Table) -> Iterator[pa.Table] | pa.Table:
-        p = _lists(table)
-        edges = np.flatnonzero(np.concatenate(([True], p[1:, 0] != p[:-1, 0], [True]))) if len(p) else np.zeros(1, np.int64)
-        found = []
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            own = p[a:b]
-            if (own[:, 5] == own[0, 5]).all():
-                continue
-            for i in range(len(own) - 1):
-                rest = own[i + 1 :]
-                ok = can_link(own[i], rest, percent)
-                if ok.any():
-                    found.append(np.stack([np.full(ok.sum(), own[i, 1]), rest[ok, 1], np.minimum(rest[ok, 3], own[i, 3])], axis=1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-        pairs, n = np.unique(pairs, axis=0, return_counts=True)
-        return pa.table([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(n.astype(np.int64)), pa.array(pairs[:, 2].copy())], names=["a", "b", "n", "k"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column("x"):
+                p = postings_of(raw.as_py())
+                edges, found = list_edges(p), [np.zeros((0, 3), np.int64)]
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    own = p[a:b]
+                    for i in range(len(own) - 1):
+                        rest = own[i + 1 :]
+                        ok = can_link(own[i], rest, percent)
+                        if ok.any():
+                            found.append(np.stack([np.full(ok.sum(), own[i, 1]), rest[ok, 1], np.minimum(rest[ok, 3], own[i, 3])], axis=1))
+                pairs = np.concatenate(found)
+                yield counted(pairs[:, :2], pairs[:, 2])
 
     return run
 
@@ -288,7 +328,7 @@ def linked(percent: int):
             na, nb = na.to_numpy(), nb.to_numpy()
             keep = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
-                both = np.intersect1d(np.frombuffer(xa[i].as_py(), "<u8"), np.frombuffer(xb[i].as_py(), "<u8"), assume_unique=True).size
+                both = np.intersect1d(unpack6(xa[i].as_py()), unpack6(xb[i].as_py()), assume_unique=True).size
                 keep[i] = 100 * both >= percent * (na[i] + nb[i] - both)
             yield pa.record_batch([a, b], names=["a", "b"]).filter(pa.array(keep))
 
@@ -298,80 +338,72 @@ def linked(percent: int):
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH, key: str = "doc_id") -> DataFrame:
     """key, n_shingles, component_id of every row: the smallest key reachable over links of percent similarity.
 
-    Texts without words (null too) have n_shingles 0 and link with nothing. Rows of one key are one
-    node; rows with a null key get their n_shingles, component null, and link with nothing. Equal
-    texts under different keys link. Empty in, empty out; further columns are left out.
+    Texts without words (null too) have n_shingles 0 and link with nothing. Each distinct set of shingles
+    is a node: equal texts link, under one key or several; different texts under one key link only if they
+    are similar. Rows with a null key get their n_shingles, component null, and link with nothing. Empty
+    in, empty out; further columns are left out.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), "text").withColumn("th", F.xxhash64("text"))
     rows = cut(profile(docs, width), "sets")
-    classes = cut(rows.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("vertex")), "classes")
+    known = rows.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "th")).alias("first"))
+    classes = cut(known.select("k1", "k2", "n", "first.doc_id", "first.th").withColumn("vertex", F.monotonically_increasing_id()), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets = 64
     while buckets < 2**30 and buckets * PER_BUCKET < total:
         buckets *= 2
 
-    chosen = docs.join(classes.select(F.col("vertex").alias("doc_id"), "k1", "k2"), "doc_id").sortWithinPartitions("doc_id", "k1", "k2")
-    sent = chosen.mapInArrow(postings(width, buckets), PARTS)
-    shared = sent.groupBy("bucket").applyInArrow(frequencies, PARTS)
+    chosen = docs.join(classes.select("doc_id", "th", "vertex", "k1", "k2"), ["doc_id", "th"])
+    shared = chosen.mapInArrow(postings(width, buckets), PARTS).groupBy("bucket").applyInArrow(frequencies, PARTS)
     parts = cut(shared.groupBy("chunk").applyInArrow(prefixes(percent, buckets), "bucket long, vertex long, n long, x binary, y binary"), "prefixes")
     sets = parts.where("bucket < 0").select("vertex", "n", "x")
 
-    def with_components(links: DataFrame | None) -> DataFrame:
-        """Prefix postings with each vertex's component (itself at first), by bucket."""
-        lists = parts.where("bucket >= 0").select("bucket", "x")
-        if links is None:
-            return lists.mapInArrow(widen, "bucket long, x binary")
-        flat = lists.mapInArrow(flatten, "bucket long, h long, vertex long, n long, k long, place long")
-        known = connected_components(links)
-        return (
-            flat.join(known.withColumnRenamed("node", "vertex"), "vertex", "left")
-            .withColumn("component", F.coalesce("component", "vertex"))
-            .repartition("bucket")
-            .mapInArrow(gather, "bucket long, x binary")
-        )
-
     def verified(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("vertex").alias("a"), F.col("n").alias("na"), F.col("x").alias("xa"))
         right = sets.select(F.col("vertex").alias("b"), F.col("n").alias("nb"), F.col("x").alias("xb"))
-        return pairs.join(left, "a").join(right, "b").mapInArrow(linked(percent), "a long, b long")
-
-    counted = "a long, b long, n long, k long"
-    tried = with_components(None).groupBy("bucket").applyInArrow(stars(1, percent), counted)
-    best = tried.groupBy("a", "b").agg(F.sum("n").alias("n")).groupBy("a").agg(F.max(F.struct("n", "b")).alias("top")).select("a", "top.b")
-    links = cut(verified(best), "links")
-    rest = with_components(links).groupBy("bucket").applyInArrow(crossings(percent), counted)
-    rest = rest.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("k").alias("k")).where("n >= k")
-    links = links.union(cut(verified(rest.select("a", "b")), "links"))
-
-    named = connected_components(links)
-    of_class = classes.join(named, classes["vertex"] == named["node"], "left").select("k1", "k2", "n", F.coalesce("component", "vertex").alias("component_id"))
-    placed = rows.alias("r").join(of_class.alias("c"), ["k1", "k2", "n"], "left")
+        return cut(pairs.join(left, "a").join(right, "b").mapInArrow(linked(percent), "a long, b long"), "links")
+
+    flat = parts.where("bucket >= 0").select("bucket", "x").mapInArrow(flatten(5), f"bucket long, {FLAT}").withColumn("component", F.col("vertex"))
+    links, named, salt, least, before = None, None, 1, None, 0
+    while True:
+        lists = cut(flat.groupBy("bucket").applyInArrow(surveyed, "bucket long, x binary, postings long, pairs long"), "lists")
+        held, pairs = (n or 0 for n in lists.agg(F.sum("postings"), F.sum("pairs")).first())
+        least = held if least is None else least
+        if not held or links is not None and (pairs <= CROWDED * least or 2 * pairs > before):
+            break
+        tried = lists.select("x").mapInArrow(stars(salt, percent), COUNTED).groupBy("a", "b").agg(F.sum("n").alias("n"))
+        best = Window.partitionBy("a").orderBy(F.desc("n"), "b")
+        fresh = verified(tried.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= TRIED).select("a", "b"))
+        links = fresh if links is None else links.union(fresh)
+        named, salt, before = connected_components(links), salt + 1, pairs
+        flat = lists.select("bucket", "x").mapInArrow(flatten(6), f"bucket long, {FLAT}, component long").drop("component")
+        flat = flat.join(named.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
+    if held:
+        rest = lists.select("x").mapInArrow(crossings(percent), COUNTED).groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("k").alias("k")).where("n >= k")
+        named = connected_components(links.union(verified(rest.select("a", "b"))))
+
+    of_class = classes.select("k1", "k2", "n", F.col("doc_id").alias("first"), "vertex")
+    if named is not None:
+        of_class = of_class.join(named, of_class["vertex"] == named["node"], "left").withColumn("component", F.coalesce("component", "vertex"))
+        least = of_class.groupBy("component").agg(F.min("first").alias("component_id"))
+        of_class = of_class.join(least, "component")
+    else:
+        of_class = of_class.withColumn("component_id", F.col("first"))
+    placed = rows.alias("r").join(of_class.select("k1", "k2", "n", "component_id"), ["k1", "k2", "n"], "left")
     alone = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
     return placed.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
 
 
-def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings (hash, vertex, n, k, place) -> with the vertex as component."""
-    for batch in batches:
-        out = []
-        for x in batch.column("x").to_pylist():
-            p = np.frombuffer(x, "<i8").reshape(-1, 5)
-            out.append(np.concatenate([p, p[:, 1:2]], axis=1).tobytes())
-        yield pa.record_batch([batch.column("bucket"), pa.array(out, pa.binary())], names=["bucket", "x"])
+FLAT = "h long, vertex long, n long, k long, place long"
 
 
-def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for bucket, x in zip(batch.column("bucket").to_pylist(), batch.column("x").to_pylist(), strict=True):
-            p = np.frombuffer(x, "<i8").reshape(-1, 5)
-            yield pa.record_batch([pa.array(np.full(len(p), bucket)), *(pa.array(p[:, i].copy()) for i in range(5))], names=["bucket", "h", "vertex", "n", "k", "place"])
+def flatten(width: int):
+    """Packed postings of width numbers each -> one row each."""
+    names = ["bucket", "h", "vertex", "n", "k", "place", "component"][: width + 1]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, x in zip(batch.column("bucket").to_pylist(), batch.column("x").to_pylist(), strict=True):
+                p = np.frombuffer(x, "<i8").reshape(-1, width)
+                yield pa.record_batch([pa.array(np.full(len(p), bucket)), *(pa.array(p[:, i].copy()) for i in range(width))], names=names)
 
-def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["h", "vertex", "n", "k", "place", "component"]
-    for batch in batches:
-        bucket = batch.column("bucket").to_numpy()
-        p = np.stack([batch.column(c).to_numpy() for c in names], axis=1)
-        ids = np.unique(bucket)
-        yield pa.record_batch([pa.array(ids), pa.array([p[bucket == k].tobytes() for k in ids], pa.binary())], names=["bucket", "x"])
+    return run
