@@ -46,10 +46,11 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 
 
 def lcg_states(seed: Column, n: int) -> Column:
-    """The first n states of the linear congruential generator that starts at seed * 2654435761 mod 2 ** 32."""
+    """The first n states of the linear congruential generator that starts at seed * 2654435761 mod 2 ** 32, at 1 where that is 0."""
     # Multipliers and modulus of the generator.
     start, by, plus, modulus = 2654435761, 1664525, 1013904223, 2**32
     first = F.pmod(seed.cast("long") * F.lit(start), F.lit(modulus))
+    first = F.when(first == 0, F.lit(1).cast("long")).otherwise(first)
     step = lambda got, _: F.concat(got, F.array(F.pmod(F.element_at(got, -1) * F.lit(by) + F.lit(plus), F.lit(modulus))))
     return F.slice(F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.array(first), step), 2, n)
 

@@ -94,12 +94,14 @@ def scale_template(text: Column, by: Column) -> Column:
 
 
 def show_amount(amount: Column, kind: Column, label: Column) -> Column:
-    """Shopping text of a summed amount: g and ml from 1000 on to a quarter kg or l, else up to 50; pieces whole; others as named."""
+    """Shopping text of a summed amount: g and ml from 1000 on to a quarter kg or l, else up to 50; pieces whole, one at least; others to one decimal."""
     big = F.when(kind == "g", "kg").otherwise("l")
     quarter = F.regexp_replace((js_round(amount / 1000 * 4) / 4).cast("decimal(20,2)").cast("string"), "\\.?0+$", "")
+    shown = F.when(kind == "pcs", F.greatest(F.lit(1.0), F.ceil(amount).cast("double"))).otherwise(js_round(amount * 10) / 10)
+    named = F.regexp_replace(shown.cast("decimal(20,1)").cast("string"), "\\.0$", "")
     return (
-        F.when(amount <= 0, label)
+        F.when(amount == 0, F.when(label == "", "to taste").otherwise(label))
         .when(kind.isin("g", "ml") & (amount >= 1000), F.concat(quarter, F.lit(" "), big))
         .when(kind.isin("g", "ml"), F.concat((F.ceil(amount / 50) * 50).cast("string"), F.lit(" "), kind))
-        .otherwise(F.trim(F.concat(F.ceil(amount).cast("string"), F.lit(" "), label)))
+        .otherwise(F.trim(F.concat(named, F.lit(" "), label)))
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that don't tell products apart.
-QUALIFIERS = ("fresh", "dried", "organic", "whole", "free", "range", "mixed", "cold", "old", "new", "large", "small")
+QUALIFIERS = ("fresh", "dried", "ground", "chopped", "sliced", "grated", "whole", "ripe", "free", "range", "extra", "virgin")
 # Entities and the characters they stand for; the ampersand comes last.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&"))
 
@@ -50,6 +50,16 @@ def strip_tags(html: Column) -> Column:
     return F.trim(F.regexp_replace(text, "[ \\t\\n\\r]+", " "))
 
 
+def og_image(html: Column) -> Column:
+    """Address of a page's image, empty without one."""
+    return F.regexp_extract(html, "(?is)<meta[^>]+property=[\"']og:image[\"'][^>]+content=[\"']([^\"']+)[\"']", 1)
+
+
+def json_ld(html: Column) -> Column:
+    """The JSON-LD blocks of a page, one below the other."""
+    return F.array_join(F.regexp_extract_all(html, F.lit("(?is)<script[^>]+application/ld\\+json[^>]*>(.*?)</script>"), F.lit(1)), "\n")
+
+
 def encode_component(text: Column) -> Column:
     """Percent-encoding with %20 for blanks, and !'()* left as they are."""
     out = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))

@@ -20,16 +20,25 @@ def totals(lines: DataFrame) -> DataFrame:
     )
 
 
+def rollup(lines: DataFrame) -> DataFrame:
+    """totals() of lines (basket, name, cost, confidence, tier) with counts per tier and the distinct names without a price, in order."""
+    ok = F.coalesce(F.col("cost") > 0, F.lit(False))
+    tiers = [F.count_if(F.col("tier") == t).alias(f"n_{t}") for t in ("city", "country", "region", "global", "missing")]
+    names = F.array_join(F.array_sort(F.collect_set(F.when(~ok, F.col("name")))), ", ").alias("missing")
+    return totals(lines).drop("n_missing").join(lines.groupBy("basket").agg(*tiers, names), "basket")
+
+
 def compare_stores(baskets: DataFrame, stores: DataFrame) -> DataFrame:
-    """basket, store, total, saved (against the dearest), cheapest, for baskets (basket, country, total) and stores (store, country, multiplier).
+    """basket, store, place, total, saved (against the dearest), cheapest, for baskets (basket, country, total) and stores (store, country, multiplier).
 
     Baskets of nothing and of countries without stores give no rows; all stores at the lowest total are cheapest.
+    place is by total, then store.
     """
     met = baskets.where("total > 0").join(stores, "country")
     priced = met.withColumn("store_total", F.floor(F.col("total") * F.col("multiplier") * 100 + 0.5) / 100)
     of = Window.partitionBy("basket")
     return priced.select(
-        "basket", "store", F.col("store_total").alias("total"),
+        "basket", "store", F.row_number().over(of.orderBy("store_total", "store")).alias("place"), F.col("store_total").alias("total"),
         (F.floor((F.max("store_total").over(of) - F.col("store_total")) * 100 + 0.5) / 100).alias("saved"),
         (F.col("store_total") == F.min("store_total").over(of)).alias("cheapest"),
     )

@@ -7,28 +7,41 @@ from pyspark.sql import functions as F
 
 from larder.functions.measure import EUR, round2
 from larder.functions.quantity import factor, family, lookup
-from larder.functions.text import tokens
+from larder.functions.text import normalise, tokens
 
 
 def token_matches(items: DataFrame, rows: DataFrame, least: float = 0.34, slack: float = 0.001) -> DataFrame:
     """(item, row, score): the best-scoring rows of each item; score = shared words / the longer name's words.
 
-    items has a column item, rows a column row, both names. Names meet on words that they share, never
-    all with all; repeated names are matched once.
+    items has a column item, rows a column row, both names; repeated names are matched once. A name of n
+    words has to share ceil(least * n) of them, so two names that match share one of their n - that + 1
+    rarest words each; they meet on those, and words that most names hold bring hardly anyone together.
     """
-    a = items.select("item").distinct().withColumn("words", tokens(F.col("item")))
-    b = rows.select("row").distinct().withColumn("words", tokens(F.col("row")))
-    left = a.select("item", F.size("words").alias("n"), F.explode("words").alias("word"))
-    right = b.select("row", F.size("words").alias("m"), F.explode("words").alias("word"))
-    scored = left.join(right, "word").groupBy("item", "row", "n", "m").agg(F.count("*").alias("shared"))
-    scored = scored.select("item", "row", (F.col("shared") / F.greatest("n", "m")).alias("score")).where(F.col("score") >= least)
+    a = items.select(F.col("item").alias("name")).distinct().withColumn("side", F.lit(0))
+    b = rows.select(F.col("row").alias("name")).distinct().withColumn("side", F.lit(1))
+    named = a.union(b).withColumn("words", tokens(F.col("name"))).withColumn("size", F.size("words")).where("size > 0")
+    spread = named.select("name", "side", "words", "size", F.explode("words").alias("word"))
+    held = spread.groupBy("word").agg(F.count("*").alias("n"))
+    ordered = spread.join(held, "word").groupBy("name", "side").agg(F.first("words").alias("words"), F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("n", "word"))).alias("rare"))
+    first = F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1
+    keyed = ordered.select("name", "side", "words", F.explode(F.slice("rare", F.lit(1), first.cast("int"))).alias("r")).select("name", "side", "words", "r.word")
+    left = keyed.where("side = 0").select(F.col("name").alias("item"), F.col("words").alias("own"), "word")
+    right = keyed.where("side = 1").select(F.col("name").alias("row"), F.col("words").alias("other"), "word")
+    met = left.join(right, "word").select("item", "row", "own", "other").dropDuplicates(["item", "row"])
+    shared = F.size(F.array_intersect("own", "other"))
+    scored = met.select("item", "row", (shared / F.greatest(F.size("own"), F.size("other"))).alias("score")).where(F.col("score") >= least)
     best = F.max("score").over(Window.partitionBy("item"))
     return scored.withColumn("best", best).where(F.col("score") >= F.col("best") - slack).drop("best")
 
 
-def with_aliases(items: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(item, name): every item under its own name and under its aliases (item, name)."""
-    return items.select("item", F.col("item").alias("name")).union(items.select("item").join(aliases, "item").select("item", "name")).distinct()
+def alias_matches(items: DataFrame, aliases: DataFrame, rows: DataFrame, least: float = 0.34, slack: float = 0.001) -> DataFrame:
+    """(item, row, score): the best-scoring rows of each item under its own normalised name and its aliases' (name, alias)."""
+    own = items.select("item", normalise(F.col("item")).alias("name")).distinct()
+    named = own.union(own.join(aliases, "name").select("item", F.col("alias").alias("name"))).distinct()
+    scored = named.join(token_matches(named.select(F.col("name").alias("item")), rows, least, slack).withColumnRenamed("item", "name"), "name")
+    scored = scored.groupBy("item", "row").agg(F.max("score").alias("score"))
+    best = F.max("score").over(Window.partitionBy("item"))
+    return scored.withColumn("best", best).where(F.col("score") >= F.col("best") - slack).drop("best")
 
 
 TIERS = ("city", "country", "region", "global")
@@ -42,39 +55,49 @@ KINDS = ("mass", "volume", "count")
 def place_prices(prices: DataFrame) -> DataFrame:
     """Per ingredient and city, country and region: the first row, and per unit family the sum and count of euros per base unit.
 
-    prices: ingredient, city, country, region, unit, quantity, price, currency, ord (a sortable struct).
+    prices: ingredient, name, city, country, region, unit, quantity, price, currency, ord (a sortable struct).
     The only pass over the price rows, with map-side sums; rows of currencies without a rate don't count.
     """
     per = F.col("price") * lookup(EUR, F.col("currency")) / (F.col("quantity") * factor(F.col("unit")))
     kind = family(F.col("unit"))
-    first = F.min(F.struct("ord", "unit", "quantity", "price", "currency")).alias("first")
-    rows = prices.select("ingredient", *TIERS[:3], "ord", "unit", "quantity", "price", "currency", per.alias("per"), kind.alias("kind"))
+    first = F.min(F.struct("ord", "name", "unit", "quantity", "price", "currency")).alias("first")
+    rows = prices.select("ingredient", *TIERS[:3], "ord", "name", "unit", "quantity", "price", "currency", per.alias("per"), kind.alias("kind"))
     of = lambda k: F.when(F.col("kind") == k, F.col("per"))
     return rows.groupBy("ingredient", *TIERS[:3]).agg(first, *[F.sum(of(k)).alias(f"sum_{k}") for k in KINDS], *[F.count(of(k)).alias(f"n_{k}") for k in KINDS])
 
 
+def for_items(placed: DataFrame, matches: DataFrame) -> DataFrame:
+    """place_prices of names -> of the items (item, row) that match them: the places of an item's names together."""
+    sums = [F.sum(f"{what}_{k}").alias(f"{what}_{k}") for what in ("sum", "n") for k in KINDS]
+    met = placed.join(matches.select(F.col("row").alias("ingredient"), "item"), "ingredient")
+    return met.groupBy(F.col("item").alias("ingredient"), *TIERS[:3]).agg(F.min("first").alias("first"), *sums)
+
+
 def tier_prices(placed: DataFrame, keys: list[str]) -> DataFrame:
     """place_prices rolled up to ingredient and keys: the first row and the mean of each unit family."""
     means = [(F.sum(f"sum_{k}") / F.sum(f"n_{k}")).alias(k) for k in KINDS]
     return placed.groupBy("ingredient", *keys).agg(F.min("first").alias("first"), *means)
 
 
-def cascade(requests: DataFrame, prices: DataFrame) -> DataFrame:
-    """requests with tier, unit, quantity, unit_price (in the request's currency) and confidence.
+def cascade(requests: DataFrame, placed: DataFrame) -> DataFrame:
+    """requests with tier, name, unit, quantity, unit_price (in the request's currency) and confidence.
 
-    A city's price is its first row converted; country, region and global prices are unit-aware means,
-    scaled to the first row's pack. Each tier is rolled up from the places before it meets the requests,
-    so a request never fans out. requests: ingredient, city, country, region, currency. Without a match the tier is
-    missing and the price null.
+    placed: place_prices(). A city's price is its first row converted; country, region and global prices are
+    unit-aware means, scaled to the first row's pack. Each distinct request is resolved once: each tier is
+    rolled up from the places before it meets them, so neither a request nor a common ingredient fans out.
+    requests: ingredient, city, country, region, currency. Without a match the tier is missing and the price null.
     """
-    out, placed = requests, place_prices(prices)
+    key = ["ingredient", *TIERS[:3], "currency"]
+    out = requests.select(*key).distinct()
     for tier in TIERS:
         keys = [] if tier == "global" else [tier]
         mean = F.when(family(F.col("first.unit")) == "mass", F.col("mass")).when(family(F.col("first.unit")) == "volume", F.col("volume")).otherwise(F.col("count"))
         pack = F.col("first.quantity") * factor(F.col("first.unit"))
         euros = F.col("first.price") * lookup(EUR, F.col("first.currency")) if tier == "city" else mean * pack
-        offer = tier_prices(placed, keys).select("ingredient", *keys, F.struct(F.lit(tier).alias("tier"), F.col("first.unit").alias("unit"), F.col("first.quantity").alias("quantity"), euros.alias("euros"), F.lit(CONFIDENCE[tier]).alias("confidence")).alias(f"of_{tier}"))
-        out = out.join(offer, ["ingredient", *keys], "left")
-    chosen = out.withColumn("found", F.coalesce(*[f"of_{t}" for t in TIERS])).drop(*[f"of_{t}" for t in TIERS])
+        row = F.struct(F.lit(tier).alias("tier"), F.col("first.name").alias("name"), F.col("first.unit").alias("unit"), F.col("first.quantity").alias("quantity"), euros.alias("euros"), F.lit(CONFIDENCE[tier]).alias("confidence"))
+        out = out.join(tier_prices(placed, keys).select("ingredient", *keys, row.alias(f"of_{tier}")), ["ingredient", *keys], "left")
+    chosen = out.select(*key, F.coalesce(*[f"of_{t}" for t in TIERS]).alias("found"))
     price = round2(F.col("found.euros") / lookup(EUR, F.col("currency")))
-    return chosen.select(*requests.columns, F.coalesce("found.tier", F.lit("missing")).alias("tier"), "found.unit", "found.quantity", price.alias("unit_price"), F.coalesce("found.confidence", F.lit(0.0)).alias("confidence"))
+    return requests.join(chosen, key, "left").select(
+        *requests.columns, F.coalesce("found.tier", F.lit("missing")).alias("tier"), F.col("found.name").alias("matched"), "found.unit", "found.quantity", price.alias("unit_price"), F.coalesce("found.confidence", F.lit(0.0)).alias("confidence")
+    )

@@ -10,17 +10,26 @@ from larder.operators.ranking import keep_best
 GRAM = 3
 
 
+def grams(name: Column, least: Column) -> Column:
+    """Distinct runs of least to GRAM characters of a name."""
+    at = lambda i: F.transform(F.sequence(least, F.lit(GRAM)), lambda n: F.substring(name, i, n))
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(name)), at)))
+
+
 def containing(wholes: DataFrame, parts: DataFrame) -> DataFrame:
     """(whole, part): every pair of names in which part lies inside whole; empty names never do.
 
-    A whole that holds a part holds the part's first three characters, so the two meet on those
-    (or on the whole part, if it is shorter) and are verified. wholes has a column whole, parts a column part.
+    A whole that holds a part holds each run of three characters of the part (or the whole part, if it is
+    shorter). The two meet on the one of these that the fewest wholes hold, and are verified, so a run that
+    most names share brings nobody together. wholes has a column whole, parts a column part.
     """
     w, p = F.col("whole"), F.col("part")
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.array(*[F.substring(w, i, F.lit(n)) for n in range(1, GRAM + 1)])))
-    left = wholes.select("whole").where("whole <> ''").distinct().select("whole", F.explode(F.array_distinct(grams)).alias("gram"))
-    right = parts.select("part").where("part <> ''").distinct().select("part", F.substring("part", 1, GRAM).alias("gram"))
-    return left.join(right, "gram").where(F.contains(w, p)).select("whole", "part")
+    left = wholes.select("whole").where("whole <> ''").distinct().select("whole", F.explode(grams(w, F.lit(1))).alias("gram"))
+    held = left.groupBy("gram").agg(F.count("*").alias("n"))
+    own = parts.select("part").where("part <> ''").distinct().select("part", F.explode(grams(p, F.least(F.length(p), F.lit(GRAM)))).alias("gram"))
+    own = own.where(F.length("gram") == F.least(F.length(p), F.lit(GRAM)))
+    rarest = own.join(held, "gram", "left").groupBy("part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("r")).select("part", "r.gram")
+    return left.join(rarest, "gram").where(F.contains(w, p)).select("whole", "part")
 
 
 def first_price(names: DataFrame, prices: DataFrame) -> DataFrame:

@@ -76,7 +76,7 @@ def score(profiles: DataFrame) -> DataFrame:
     })
     total = F.least(F.lit(99.0), half(0.55 * c("efficiency") + 0.2 * c("waste") + 0.15 * c("nutrition") + 0.1 * 85 + 4 * c("zero")))
     return p.select(
-        "id", "status", "savings", "over", "weekly", "efficiency", "waste", "saved_kg", F.when(c("ok"), total).otherwise(0.0).alias("total"),
+        "id", F.greatest(F.least("items", F.lit(12)), F.when(c("zero") == 1, F.least(F.lit(6.0), F.greatest(F.lit(3.0), half(c("items") * 0.25)))).otherwise(0)).alias("reused"), F.when(c("zero") == 1, round2(c("weekly") / 7)).otherwise(0.0).alias("zero_spend"), "status", "savings", "over", "weekly", "efficiency", "waste", "saved_kg", F.when(c("ok"), total).otherwise(0.0).alias("total"),
         (savings * F.when(c("period") == "monthly", 12).otherwise(52)).alias("annual_savings"), (c("spend") / c("household") / days).alias("per_person_day"),
         F.when(c("status") == "too_low", c("least")).alias("minimum_budget"), F.when(c("status") == "too_low", half(28 * c("household") * scale)).alias("recommended_budget"),
         budget_tier(c("budget"), c("household"), c("period")).alias("tier"),
@@ -93,7 +93,7 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c5_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(profiles(spark, sf_dir))
+    return score(profiles(spark, sf_dir)).drop("reused", "zero_spend")
 
 
 def _r(x: str, unit: str = "1") -> str:
@@ -102,7 +102,7 @@ def _r(x: str, unit: str = "1") -> str:
 
 C5_CTE = f"""WITH o AS (SELECT o_custkey, sum(o_totalprice::DECIMAL(18,2))::DOUBLE / 20000 AS spend, count(*) AS items, count(*) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY 1),
 a AS (SELECT c_custkey AS id, greatest(c_acctbal / 20, 0.0) AS budget, c_custkey % 6 + 1 AS household, CASE WHEN c_custkey % 2 = 0 THEN 1.0::DOUBLE ELSE 30.0::DOUBLE / 7 END AS scale, c_custkey % 2 = 0 AS weekly_,
-  CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS zero, c_custkey % 5 = 0 AS healthy, coalesce(spend, 0.0) AS raw, coalesce(spend > 0 AND p <= 4, false) AS ok FROM customer LEFT JOIN o ON o_custkey = c_custkey),
+  CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS zero, c_custkey % 5 = 0 AS healthy, coalesce(items, 0) AS items, coalesce(spend, 0.0) AS raw, coalesce(spend > 0 AND p <= 4, false) AS ok FROM customer LEFT JOIN o ON o_custkey = c_custkey),
 b AS (SELECT *, CASE WHEN ok THEN {_r("raw", "100")} ELSE 0.0 END AS spend, {_r("14 * household * scale")} AS least FROM a),
 c AS (SELECT *, CASE WHEN budget > 0 THEN spend / budget ELSE 0.0 END AS ratio FROM b),
 d AS (SELECT *, CASE WHEN NOT ok THEN 'unavailable' WHEN spend > budget THEN 'over' WHEN budget > 0 AND budget < least THEN 'too_low' WHEN ratio >= 0.9::DOUBLE THEN 'optimized' ELSE 'comfortable' END AS status,
@@ -123,17 +123,17 @@ FROM (SELECT *, CASE WHEN weekly_ THEN 30.0::DOUBLE / 7 ELSE 1.0::DOUBLE END / l
 
 
 def c6_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to three remarks per profile, each only where its number is above 0."""
+    """Up to five remarks per profile, each only where its number is above 0."""
     s = score(profiles(spark, sf_dir))
     row = lambda key, value: F.when(value > 0, F.struct(F.lit(key).alias("key"), value.cast("double").alias("value")))
     below = js_round((120 - F.col("weekly")) / 120 * 100)
-    return s.select("id", F.explode(F.array_compact(F.array(row("below_average", below), row("annual_savings", F.col("annual_savings")), row("saved_kg", F.col("saved_kg"))))).alias("r")).select("id", "r.key", "r.value")
+    return s.select("id", F.explode(F.array_compact(F.array(row("below_average", below), row("reused", F.col("reused")), row("annual_savings", F.col("annual_savings")), row("zero_spend", F.col("zero_spend")), row("saved_kg", F.col("saved_kg"))))).alias("r")).select("id", "r.key", "r.value")
 
 
 C6_SQL = (
     C5_CTE
-    + f""", e AS (SELECT id, {_r("(120 - " + _r("spend / scale", "100") + ") / 120 * 100")} AS below, savings * CASE WHEN weekly_ THEN 52 ELSE 12 END AS annual, saved_kg FROM d)
-SELECT id, 'below_average' AS key, below::DOUBLE AS value FROM e WHERE below > 0 UNION ALL SELECT id, 'annual_savings', annual::DOUBLE FROM e WHERE annual > 0 UNION ALL SELECT id, 'saved_kg', saved_kg::DOUBLE FROM e WHERE saved_kg > 0"""
+    + f""", e AS (SELECT id, {_r("(120 - " + _r("spend / scale", "100") + ") / 120 * 100")} AS below, savings * CASE WHEN weekly_ THEN 52 ELSE 12 END AS annual, saved_kg, greatest(least(items, 12), CASE WHEN zero = 1 THEN least(6, greatest(3, floor(items * 0.25::DOUBLE + 0.5))) ELSE 0 END) AS reused, CASE WHEN zero = 1 THEN {_r(_r("spend / scale", "100") + " / 7", "100")} ELSE 0.0 END AS zsd FROM d)
+SELECT id, 'below_average' AS key, below::DOUBLE AS value FROM e WHERE below > 0 UNION ALL SELECT id, 'reused', reused::DOUBLE FROM e WHERE reused > 0 UNION ALL SELECT id, 'zero_spend', zsd::DOUBLE FROM e WHERE zsd > 0 UNION ALL SELECT id, 'annual_savings', annual::DOUBLE FROM e WHERE annual > 0 UNION ALL SELECT id, 'saved_kg', saved_kg::DOUBLE FROM e WHERE saved_kg > 0"""
 )
 
 # ---- C7, P1, F45: seeded plans ----
@@ -159,7 +159,7 @@ def c7_seeded_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 C7_SQL = f"""WITH RECURSIVE s(id, day, state) AS (
-  SELECT c_custkey, -1, (c_custkey::BIGINT * 2654435761) % 4294967296 FROM customer UNION ALL SELECT id, day + 1, (state * 1664525 + 1013904223) % 4294967296 FROM s WHERE day < 6),
+  SELECT c_custkey, -1, greatest((c_custkey::BIGINT * 2654435761) % 4294967296, 1) FROM customer UNION ALL SELECT id, day + 1, (state * 1664525 + 1013904223) % 4294967296 FROM s WHERE day < 6),
 p AS (SELECT id, day::INT AS day, state::BIGINT AS state, CASE id % 3 WHEN 0 THEN {[d for d in DISHES if "chicken" not in d and "fish" not in d]} WHEN 1 THEN {[d for d in DISHES if "e" not in d] or list(DISHES)} ELSE {list(DISHES)} END AS pool FROM s WHERE day >= 0)
 SELECT id, day, state, pool[(floor(state / 4294967295.0::DOUBLE * len(pool))::BIGINT % len(pool)) + 1] AS dinner FROM p"""
 
@@ -193,7 +193,7 @@ T5_SQL = "SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value,
 
 
 def j17_visible_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of child tables that the owner of their parent may see."""
+    """Rows of child tables that the owner of their parent may see."""
     owners = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
     mine = table(spark, sf_dir, "orders").join(owners, "o_custkey", "left_semi").select(F.col("o_orderkey").alias("l_orderkey"))
     return table(spark, sf_dir, "lineitem").join(mine, "l_orderkey", "left_semi").groupBy("l_orderkey").agg(F.count("*").alias("items"))

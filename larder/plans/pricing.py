@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larder.functions.measure import parse_price, round2, sanitise
 from larder.functions.quantity import pack_count, parse_shopping
 from larder.operators import baskets, matching, ranking
-from larder.plans.carriers import customers, price_rows, table, words_of
+from larder.plans.carriers import chains, customers, price_rows, table, words_of
 
 PRICE_SQL = """
 rows_ AS (
@@ -66,7 +66,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def priced_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.cascade(requests(spark, sf_dir), price_rows(spark, sf_dir))
+    return matching.cascade(requests(spark, sf_dir), matching.place_prices(price_rows(spark, sf_dir)))
 
 
 def j3_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +106,7 @@ FROM fine GROUP BY basket"""
 
 
 def c3_cheaper_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Another ingredient of the same place whose price per base unit of the same family is lower."""
+    """Another ingredient of the same place whose price per base unit of the same family is lower; c3_substitutions has the table of alternatives."""
     asked = priced_requests(spark, sf_dir).withColumn("other", (F.col("ingredient") + 1) % 200)
     offers = asked.where("unit_price > 0").groupBy("ingredient", "country", "unit").agg(F.min(F.col("unit_price") / F.col("quantity")).alias("per"))
     mine = offers.withColumn("other", (F.col("ingredient") + 1) % 200)
@@ -144,28 +144,29 @@ A2_SQL = "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_nu
 
 
 def c4_compare_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order at the chains of its country, eight at most, the cheapest first."""
     place = customers(spark, sf_dir).select("c_custkey", F.col("country"))
     of = table(spark, sf_dir, "orders").join(place, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("basket"), "country", F.col("o_totalprice").alias("total"))
-    nation = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("country")))
-    stores = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("store"), "country", (F.lit(0.8) + (F.col("s_suppkey") % 40) / 100).alias("multiplier"))
-    return baskets.compare_stores(of, stores)
+    nation = F.broadcast(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation_key"), F.col("n_name").alias("country")))
+    stores = chains(spark, sf_dir).join(nation, "nation_key").select("store", "country", (F.lit(0.8) + (F.col("store") % 40) / 100).alias("multiplier"))
+    return baskets.compare_stores(of, F.broadcast(stores))
 
 
 C4_SQL = """WITH m AS (SELECT o_orderkey AS basket, s_suppkey AS store, floor(o_totalprice * (0.8::DOUBLE + (s_suppkey % 40)::DOUBLE / 100) * 100 + 0.5) / 100 AS total
-  FROM orders JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_nationkey = c_nationkey WHERE o_totalprice > 0)
-SELECT basket, store, total, floor((max(total) OVER w - total) * 100 + 0.5) / 100 AS saved, total = min(total) OVER w AS cheapest FROM m WINDOW w AS (PARTITION BY basket)"""
+  FROM orders JOIN customer ON c_custkey = o_custkey JOIN (SELECT s_nationkey, min(s_suppkey) AS s_suppkey FROM supplier GROUP BY s_nationkey, s_suppkey % 8) ON s_nationkey = c_nationkey WHERE o_totalprice > 0)
+SELECT basket, store, row_number() OVER (PARTITION BY basket ORDER BY total, store)::INT AS place, total, floor((max(total) OVER w - total) * 100 + 0.5) / 100 AS saved, total = min(total) OVER w AS cheapest FROM m WINDOW w AS (PARTITION BY basket)"""
 
 
 def f42_parse_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices written in both conventions and read back; implausible ones go."""
-    cents = F.format_number(F.col("p_retailprice"), 2)
+    cents = F.format_number((F.col("p_partkey") * 37 % 9000) / 100, 2)
     swapped = F.translate(cents, ",.", ".,")
     text = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("£"), cents)).otherwise(F.concat(swapped, F.lit(" €")))
     got = table(spark, sf_dir, "part").select("p_partkey", parse_price(text).alias("p"))
-    return got.select("p_partkey", "p.price", "p.currency").where("price > 0.2 and price < 1500")
+    return got.select("p_partkey", "p.price", "p.currency").where("price > 0.2 and price < 60")
 
 
-F42_SQL = "SELECT p_partkey, floor(p_retailprice * 100 + 0.5) / 100 AS price, CASE WHEN p_partkey % 2 = 0 THEN 'GBP' ELSE 'EUR' END AS currency FROM part WHERE p_retailprice > 0.2 AND p_retailprice < 1500"
+F42_SQL = "SELECT p_partkey, p_partkey * 37 % 9000 / 100 AS price, CASE WHEN p_partkey % 2 = 0 THEN 'GBP' ELSE 'EUR' END AS currency FROM part WHERE p_partkey * 37 % 9000 BETWEEN 21 AND 5999"
 
 QUERIES = {
     "j3_cascade": (j3_cascade, J3_SQL),

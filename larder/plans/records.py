@@ -133,13 +133,14 @@ def f76_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.when(k % 4 > 0, F.struct(F.when(k % 4 > 1, F.lower("p_type")).alias("tier"), F.when(k % 4 == 3, F.col("p_size")).alias("servings")))
     area, wanted = F.when(k % 3 > 0, F.col("p_brand")), F.when(k % 6 > 1, F.col("p_brand")).otherwise("elsewhere")
     found = table(spark, sf_dir, "part").select(
-        "p_partkey", records.message(_pick("p_partkey", "TIMEOUT", "quota", "gone", None)).alias("message"), records.with_defaults(own, base, ["tier", "servings"]).alias("pool"),
+        "p_partkey", records.message(_pick("p_partkey", "BUDGET_TOO_LOW", "AI_UNAVAILABLE", "INVALID_INPUT", None), F.col("p_name")).alias("message"), records.with_defaults(own, base, ["tier", "servings"]).alias("pool"),
         records.recipe_search(F.col("p_name"), F.when(k % 2 == 0, F.lower("p_type")).otherwise(" "), _pick("p_partkey", "it", "en", None)).alias("search"), F.coalesce(F.when(area == wanted, area), F.lit("listed")).alias("area"),
     )
     return found.select("p_partkey", "message", "pool.tier", "pool.servings", "search", "area")
 
 
-F76_SQL = """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'It took too long. Try again.' WHEN 1 THEN 'Too many requests for now.' ELSE 'Something went wrong.' END AS message,
+F76_SQL = """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Your budget looks a little tight — we''ve suggested an optimised plan.' WHEN 1 THEN 'Our smart planner is busy — using the offline engine instead.'
+  WHEN 2 THEN p_name ELSE 'Something went wrong. Please try again.' END AS message,
   CASE WHEN p_partkey % 4 > 1 THEN lower(p_type) ELSE 'standard' END AS tier, CASE WHEN p_partkey % 4 = 3 THEN p_size ELSE 4 END AS servings,
   p_name || CASE WHEN p_partkey % 2 = 0 THEN ' ' || lower(p_type) ELSE '' END || CASE WHEN p_partkey % 3 = 0 THEN ' ricetta' ELSE ' recipe' END AS search,
   CASE WHEN p_partkey % 3 > 0 AND p_partkey % 6 > 1 THEN p_brand ELSE 'listed' END AS area FROM part"""

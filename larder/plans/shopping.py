@@ -37,23 +37,19 @@ SELECT c_custkey, city IS NULL OR CASE WHEN listed THEN contains(city, 'build')
 
 
 def c11_rank_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Offers of each part: kind first, then price; the best five, with the cheapest marked (A11); c11_all_offers gives every offer."""
-    kind = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
-    offers = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", kind.alias("kind"))
-    best = ranking.ranked(offers, ["l_partkey"], [F.asc("kind"), F.asc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber"), F.asc("l_suppkey")], 5)
-    least = offers.groupBy("l_partkey").agg(F.min("l_extendedprice").alias("least"))
-    return best.join(least, "l_partkey").select("l_partkey", "rank", "l_suppkey", "kind", "l_extendedprice", (F.col("l_extendedprice") == F.col("least")).alias("cheapest"))
+    """The best five offers of each part; c11_all_offers gives every one, c11_buy_options all families."""
+    return c11_all_offers(spark, sf_dir).where("rank <= 5").drop("fastest")
 
 
-C11_SQL = """WITH o AS (SELECT *, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS kind, min(l_extendedprice) OVER (PARTITION BY l_partkey) AS least FROM lineitem),
+C11_SQL = """WITH o AS (SELECT *, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS kind, min(CASE WHEN l_returnflag IN ('A', 'N') THEN l_extendedprice END) OVER (PARTITION BY l_partkey) AS least FROM lineitem),
 r AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY kind, l_extendedprice, l_orderkey, l_linenumber, l_suppkey)::INT AS rank FROM o)
-SELECT l_partkey, rank, l_suppkey, kind, l_extendedprice, l_extendedprice = least AS cheapest FROM r WHERE rank <= 5"""
+SELECT l_partkey, rank, l_suppkey, kind, l_extendedprice, coalesce(kind < 2 AND l_extendedprice = least, false) AS cheapest FROM r WHERE rank <= 5"""
 
 
 def c11_all_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every offer of each part with its rank, kind first, then price; the cheapest and the fastest to be delivered marked.
 
-    Estimates (kind 2) aren't delivered. The fastest has the least delivery rank, the best offer first.
+    Estimates (kind 2) are neither cheapest nor delivered. The fastest has the least delivery rank, the best offer first.
     """
     kind = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
     eta = F.lower(F.when(F.col("l_linestatus") == "O", F.lit("30-60 min")).otherwise(F.lit("Next day")))
@@ -63,13 +59,13 @@ def c11_all_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     offers = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", kind.alias("kind"), wait.alias("wait")).withColumn("rank", place)
     first = F.min(F.when(F.col("kind") < 2, F.struct("wait", "rank"))).over(of)
     fastest = F.coalesce(first["rank"] == F.col("rank"), F.lit(False))
-    return offers.select("l_partkey", "rank", "l_suppkey", "kind", "l_extendedprice", (F.col("l_extendedprice") == F.min("l_extendedprice").over(of)).alias("cheapest"), fastest.alias("fastest"))
+    return offers.select("l_partkey", "rank", "l_suppkey", "kind", "l_extendedprice", F.coalesce((F.col("kind") < 2) & (F.col("l_extendedprice") == F.min(F.when(F.col("kind") < 2, F.col("l_extendedprice"))).over(of)), F.lit(False)).alias("cheapest"), fastest.alias("fastest"))
 
 
-C11_ALL_SQL = """WITH o AS (SELECT *, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS kind, CASE l_linestatus WHEN 'O' THEN 0 ELSE 2 END AS wait, min(l_extendedprice) OVER (PARTITION BY l_partkey) AS least FROM lineitem),
+C11_ALL_SQL = """WITH o AS (SELECT *, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS kind, CASE l_linestatus WHEN 'O' THEN 0 ELSE 2 END AS wait, min(CASE WHEN l_returnflag IN ('A', 'N') THEN l_extendedprice END) OVER (PARTITION BY l_partkey) AS least FROM lineitem),
 r AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY kind, l_extendedprice, l_orderkey, l_linenumber, l_suppkey)::INT AS rank FROM o),
 f AS (SELECT *, kind < 2 AND row_number() OVER (PARTITION BY l_partkey ORDER BY kind = 2, wait, rank) = 1 AS fastest FROM r)
-SELECT l_partkey, rank, l_suppkey, kind, l_extendedprice, l_extendedprice = least AS cheapest, fastest FROM f"""
+SELECT l_partkey, rank, l_suppkey, kind, l_extendedprice, coalesce(kind < 2 AND l_extendedprice = least, false) AS cheapest, fastest FROM f"""
 
 
 def a7_offer_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +82,7 @@ def c13_nearest_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("point_id"), lat("c_custkey", 37).alias("lat"), lon("c_custkey", 53).alias("lon"))
     stores = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("place_id"), lat("s_suppkey", 91).alias("plat"), lon("s_suppkey", 17).alias("plon"))
     km = haversine_km(*[F.col(c) for c in ("lat", "lon", "plat", "plon")])
-    near = ranking.nearest(points, stores, 6.0, km, 8, 300.0)
+    near = ranking.nearest(points, stores, km, 8, 300.0)
     return near.select("point_id", "place_id", "rank", F.round("km", 3).alias("km"))
 
 
@@ -112,7 +108,7 @@ SELECT page_id, host, length(path) >= 2 AND NOT regexp_matches(lower(path), '/(s
 
 
 def f67_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length and digest of each page's text without tags."""
+    """Length and digest of each page's text without tags."""
     return table(spark, sf_dir, "pages").withColumn("t", strip_tags(F.col("html"))).select("page_id", F.length("t").cast("long").alias("chars"), F.md5(F.encode("t", "UTF-8")).alias("digest"))
 
 

@@ -52,7 +52,7 @@ def load_prices(spark: SparkSession, places: Sequence[tuple[str, str]]) -> DataF
     """Rows of (provider, place) pairs in order; of each (ingredient, city, country) the most certain, the first on ties."""
     parts = [PROVIDERS[name](spark, place).withColumn("source_ord", F.lit(k)) for k, (name, place) in enumerate(places or [("none", "")])]
     whole = reduce(DataFrame.unionByName, parts).where("price > 0")
-    return keep_best(whole, ["ingredient", "city", "country"], [F.desc("confidence"), F.asc("source_ord"), F.asc("ord")]).drop("source_ord")
+    return keep_best(whole, ["ingredient", "city", "country"], [F.desc("confidence"), F.asc("source_ord"), F.asc("ord"), F.asc("price")]).drop("source_ord")
 
 
 def prices_of(df: DataFrame, city: str, country: str) -> DataFrame:
