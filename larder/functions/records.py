@@ -61,6 +61,14 @@ def money(amount: Column, currency: Column) -> Column:
     return F.concat(F.coalesce(lookup(SIGNS, currency), F.concat(currency, F.lit(" "))), F.format_number(amount, 2))
 
 
+def local_money(amount: Column, currency: Column, language: Column) -> Column:
+    """An amount as a language writes it, with the currency's sign; a currency without a sign as its code and two decimals."""
+    sign, plain = lookup(SIGNS, currency), F.format_number(amount, 2)
+    after = lambda written: F.concat(written, F.lit("\u00a0"), sign)
+    shown = F.when(language == "en", F.concat(sign, plain)).when(language == "fr", after(F.translate(plain, ",.", "\u202f,"))).otherwise(after(F.translate(plain, ",.", ".,")))
+    return F.coalesce(shown, F.concat(currency, F.lit(" "), F.replace(plain, F.lit(","), F.lit(""))))
+
+
 def kitchen_units(code: Column, system: Column) -> Column:
     """Cooking units of a country: its own convention, else by its unit system."""
     return F.coalesce(lookup(KITCHEN, code), F.when(system == "imperial", "imperial").otherwise("metric"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from larder.plans import kitchen, market, planning, pricing, recipes, records, shopping
+from larder.plans import kitchen, market, planning, pricing, recipes, records, shopping, tiers
 
-ALL = pricing.QUERIES | planning.QUERIES | shopping.QUERIES | recipes.QUERIES | records.QUERIES | kitchen.QUERIES | market.QUERIES
+ALL = pricing.QUERIES | planning.QUERIES | shopping.QUERIES | recipes.QUERIES | records.QUERIES | kitchen.QUERIES | market.QUERIES | tiers.QUERIES
 
 
 def queries() -> dict:
