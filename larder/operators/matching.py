@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.measure import EUR, round2
@@ -73,31 +73,36 @@ def for_items(placed: DataFrame, matches: DataFrame) -> DataFrame:
     return met.groupBy(F.col("item").alias("ingredient"), *TIERS[:3]).agg(F.min("first").alias("first"), *sums)
 
 
-def tier_prices(placed: DataFrame, keys: list[str]) -> DataFrame:
-    """place_prices rolled up to ingredient and keys: the first row and the mean of each unit family."""
+def tier_prices(placed: DataFrame) -> DataFrame:
+    """place_prices rolled up to every tier at once: ingredient, rank (of the tier), place, first row, mean of each unit family."""
     means = [(F.sum(f"sum_{k}") / F.sum(f"n_{k}")).alias(k) for k in KINDS]
-    return placed.groupBy("ingredient", *keys).agg(F.min("first").alias("first"), *means)
+    sums = [f"{what}_{k}" for what in ("sum", "n") for k in KINDS]
+    return placed.select("ingredient", "first", *sums, F.explode(tier_places()).alias("t")).groupBy("ingredient", "t.rank", "t.place").agg(F.min("first").alias("first"), *means)
+
+
+def tier_places() -> Column:
+    """The place of each tier, from near to far; the global one has no name."""
+    return F.array(*[F.struct(F.lit(k).alias("rank"), (F.lit("") if tier == "global" else F.col(tier)).alias("place")) for k, tier in enumerate(TIERS)])
 
 
 def cascade(requests: DataFrame, placed: DataFrame) -> DataFrame:
     """requests with tier, name, unit, quantity, unit_price (in the request's currency) and confidence.
 
     placed: place_prices(). A city's price is its first row converted; country, region and global prices are
-    unit-aware means, scaled to the first row's pack. Each distinct request is resolved once: each tier is
-    rolled up from the places before it meets them, so neither a request nor a common ingredient fans out.
-    requests: ingredient, city, country, region, currency. Without a match the tier is missing and the price null.
+    unit-aware means, scaled to the first row's pack. Each distinct request is resolved once, by one join of
+    its four places, so neither a request nor a common ingredient fans out. requests: ingredient, city,
+    country, region, currency. Without a match the tier is missing and the price null.
     """
     key = ["ingredient", *TIERS[:3], "currency"]
-    out = requests.select(*key).distinct()
-    for tier in TIERS:
-        keys = [] if tier == "global" else [tier]
-        mean = F.when(family(F.col("first.unit")) == "mass", F.col("mass")).when(family(F.col("first.unit")) == "volume", F.col("volume")).otherwise(F.col("count"))
-        pack = F.col("first.quantity") * factor(F.col("first.unit"))
-        euros = F.col("first.price") * lookup(EUR, F.col("first.currency")) if tier == "city" else mean * pack
-        row = F.struct(F.lit(tier).alias("tier"), F.col("first.name").alias("name"), F.col("first.unit").alias("unit"), F.col("first.quantity").alias("quantity"), euros.alias("euros"), F.lit(CONFIDENCE[tier]).alias("confidence"))
-        out = out.join(tier_prices(placed, keys).select("ingredient", *keys, row.alias(f"of_{tier}")), ["ingredient", *keys], "left")
-    chosen = out.select(*key, F.coalesce(*[f"of_{t}" for t in TIERS]).alias("found"))
-    price = round2(F.col("found.euros") / lookup(EUR, F.col("currency")))
-    return requests.join(chosen, key, "left").select(
-        *requests.columns, F.coalesce("found.tier", F.lit("missing")).alias("tier"), F.col("found.name").alias("matched"), "found.unit", "found.quantity", price.alias("unit_price"), F.coalesce("found.confidence", F.lit(0.0)).alias("confidence")
+    kind, pack = family(F.col("first.unit")), F.col("first.quantity") * factor(F.col("first.unit"))
+    mean = F.when(kind == "mass", F.col("mass")).when(kind == "volume", F.col("volume")).otherwise(F.col("count"))
+    euros = F.when(F.col("rank") == 0, F.col("first.price") * lookup(EUR, F.col("first.currency"))).otherwise(mean * pack)
+    offers = tier_prices(placed).select("ingredient", "rank", "place", F.struct("rank", F.col("first.name").alias("name"), F.col("first.unit").alias("unit"), F.col("first.quantity").alias("quantity"), euros.alias("euros")).alias("offer"))
+    asked = requests.select(*key).distinct().select(*key, F.explode(tier_places()).alias("t")).select(*key, "t.rank", "t.place")
+    chosen = asked.join(offers, ["ingredient", "rank", "place"], "left").groupBy(*key).agg(F.min("offer").alias("o"))
+    found = requests.join(chosen.select(*key, F.col("o.rank").alias("rank"), F.col("o.name").alias("matched"), "o.unit", "o.quantity", "o.euros"), key)
+    tiers, sure = F.array(*[F.lit(t) for t in TIERS]), F.array(*[F.lit(CONFIDENCE[t]) for t in TIERS])
+    missing, at, price = F.col("rank").isNull(), F.col("rank") + 1, round2(F.col("euros") / lookup(EUR, F.col("currency")))
+    return found.select(
+        *requests.columns, F.when(missing, "missing").otherwise(F.element_at(tiers, at)).alias("tier"), "matched", "unit", "quantity", price.alias("unit_price"), F.when(missing, 0.0).otherwise(F.element_at(sure, at)).alias("confidence")
     )

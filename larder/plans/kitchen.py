@@ -169,8 +169,9 @@ def priced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("basket"), F.col("o_custkey").alias("c_custkey"))
     asked = lines(spark, sf_dir).join(orders.join(customers(spark, sf_dir), "c_custkey"), "basket").select("basket", F.col("name").alias("ingredient"), "text", "city", "country", "region", "currency")
     found = resolved(spark, sf_dir, asked, asked.select(F.col("ingredient").alias("item")).distinct())
-    packs = pack_count(parse_shopping(F.col("text")), F.col("unit"), F.col("quantity"), food.piece_grams(normalise(F.col("matched"))))
-    return found.withColumn("packs", packs).withColumn("cost", sanitise(F.col("packs") * F.col("unit_price"), food.category(F.col("ingredient"))))
+    read = found.withColumns({"need": parse_shopping(F.col("text")), "grams": food.piece_grams(normalise(F.col("matched"))), "category": food.category(F.col("ingredient"))})
+    packed = read.withColumn("packs", pack_count(F.col("need"), F.col("unit"), F.col("quantity"), F.col("grams"))).withColumn("raw", F.col("packs") * F.col("unit_price"))
+    return packed.withColumn("cost", sanitise(F.col("raw"), F.col("category")))
 
 
 def c2_price_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
