@@ -11,8 +11,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.llm.storage import cut
 from larder.llm.text import mix
 
+
 def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
     """Shard of each uint64 key. All keys step together until each has jumped past the last shard."""
     state = keys.astype(np.uint64)
@@ -39,29 +41,31 @@ def jump_shard(key: Column, shards: int) -> Column:
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, size (UTF-8 bytes + 16), text_crc32, shard, slot, grown_shard of every row.
+    """key (as long), size (UTF-8 bytes + 16), text_crc32, shard, slot, grown_shard of every row.
 
-    Slots number the rows of a shard without gaps: rows are dealt to runs by a hash of key and text,
-    runs are counted, and a row's slot is its run's base plus its place in the run. So no task holds
-    a shard. Null texts count as empty; null keys go where key 0 goes; equal rows get slots side by side.
-    An empty table gives an empty result; further columns are left out.
+    Slots number the rows of a shard by key, text_crc32 and size, without gaps: rows are dealt to parts by
+    range (equal ones too), each shard's rows of a part are counted, and a row's slot is what the parts
+    before hold plus its place in its own. So no task holds a shard. Null texts count as empty; null keys
+    go where key 0 goes. An empty table gives an empty result; further columns are left out.
     """
     raw = F.coalesce(F.col(text), F.lit(""))
-    slim = docs.select(
-        F.col(key).alias("doc_id"),
-        (F.octet_length(raw).cast("long") + 16).alias("size"),
-        F.crc32(F.encode(raw, "UTF-8")).alias("text_crc32"),
+    slim = cut(
+        docs.select(
+            F.col(key).cast("long").alias("doc_id"),
+            (F.octet_length(raw).cast("long") + 16).alias("size"),
+            F.crc32(F.encode(raw, "UTF-8")).alias("text_crc32"),
+            F.monotonically_increasing_id().alias("place"),
+        ),
+        "sizes",
     )
+    order = ["doc_id", "text_crc32", "size", "place"]
     placed = slim.withColumns({"shard": jump_shard(F.col("doc_id"), shards), "grown_shard": jump_shard(F.col("doc_id"), shards + 1)})
-    spark = docs.sparkSession
-    width = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    placed = placed.withColumn("run", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(width)).cast("int"))
-    counted = placed.groupBy("shard", "run").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    base = counted.select("shard", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    own = Window.partitionBy("shard", "run").orderBy("doc_id", "text_crc32", "size")
+    placed = cut(placed.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "placed")
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = placed.groupBy("shard", "part").agg(F.count("*").alias("n")).select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    own = Window.partitionBy("shard", "part").orderBy(*order)
     return (
-        placed.join(base, ["shard", "run"])
+        placed.join(base, ["shard", "part"])
         .withColumn("slot", F.col("base") + F.row_number().over(own) - 1)
         .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
     )
