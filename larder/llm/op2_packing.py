@@ -32,7 +32,8 @@ class WordCoder:
     """Ids of a text as little-endian uint32 bytes, by a tokenizers file that drops white space.
 
     Text between ASCII white space is encoded by itself, ASCII letters lowered first; both leave the
-    ids of this kind of vocabulary (lower case, words end at white space) as they are.
+    ids of this kind of vocabulary (lower case, words end at white space) as they are. Only added tokens
+    are matched in their own case: a text that holds one in any case isn't lowered.
     """
 
     def __init__(self, path: str):
@@ -41,10 +42,11 @@ class WordCoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kept: dict[bytes, bytes] = {b"": b""}
+        self.added = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _encode(self, word: bytes) -> bytes:
         if word.isascii() and word.isalpha():
-            ids = [t.id for t in self.tokenizer.model.tokenize(word.decode())]
+            ids = [t.id for t in self.tokenizer.model.tokenize(word.decode().lower())]
         else:
             ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
@@ -64,7 +66,9 @@ class WordCoder:
         return out
 
     def text(self, text: str) -> bytes:
-        parts = text.encode().lower().translate(_ONE_SPACE).split(b" ")
+        raw = text.encode()
+        low = raw.lower()
+        parts = (raw if any(a in low for a in self.added) else low).translate(_ONE_SPACE).split(b" ")
         kept = self.kept
         try:
             return b"".join([kept[w] for w in parts])
@@ -193,7 +197,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, key: str = "doc_
     rows are packed each; null keys stay null; an empty table gives none; further columns are left out.
     """
     spark = docs.sparkSession
-    made = cut(pieces(docs, tokenizer, capacity, key, keep_ids).withColumn("units", F.ceil(F.col("length") / UNIT).cast("int")), "pieces")
+    made = cut(
+        pieces(docs, tokenizer, capacity, key, keep_ids).withColumns({"units": F.ceil(F.col("length") / UNIT).cast("int"), "place": F.monotonically_increasing_id()}), "pieces"
+    )
     histogram = {r["units"]: r["n"] for r in made.groupBy("units").agg(F.count("*").alias("n")).collect()}
     rows = plan(histogram, -(-capacity // UNIT))
 
@@ -219,11 +225,11 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, key: str = "doc_
             yield batch.append_column("sequence_id", pa.array(out))
 
     runs = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), max(histogram.values(), default=0) // 50_000)
-    runned = made.withColumn("run", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(runs)).cast("int"))
+    runned = made.withColumn("run", F.pmod(F.xxhash64("place"), F.lit(runs)).cast("int"))
     before = Window.partitionBy("units").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     base = runned.groupBy("units", "run").agg(F.count("*").alias("n")).select("units", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    own = Window.partitionBy("units", "run").orderBy("doc_id", "start", "ids_crc32")
-    ranked = runned.join(base, ["units", "run"]).withColumn("rank", F.col("base") + F.row_number().over(own) - 1).drop("base", "run")
+    own = Window.partitionBy("units", "run").orderBy("place")
+    ranked = runned.join(base, ["units", "run"]).withColumn("rank", F.col("base") + F.row_number().over(own) - 1).drop("base", "run", "place")
     ddl = ", ".join(f"{name} {kind}" for name, kind in ranked.dtypes) + ", sequence_id long"
     inside = Window.partitionBy("sequence_id").orderBy(F.desc("units"), "rank").rowsBetween(Window.unboundedPreceding, -1)
     return ranked.mapInArrow(assign, ddl).withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0))).drop("units", "rank")
