@@ -119,20 +119,29 @@ def score(docs: DataFrame, key: str = "doc_id", threshold: float = 0.5) -> DataF
 
 
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns as they are, that score() keeps. docs needs a column text."""
+    """The rows of docs, all columns as they are, that score() keeps. docs needs a column text.
 
-    def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                yield pa.record_batch([pa.array(votes(measure(part.column("text"))))], names=["pattern"])
-
-    known = estimate(docs.select("text").mapInArrow(patterns, "pattern long"))
+    Null and empty texts fail the base rules and go; repeated rows are judged each; empty in, empty out.
+    The texts are measured once, and written with their votes until the posteriors are known.
+    """
+    names = [f"c{k}" for k in range(len(docs.columns))]
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                m = measure(part.column("text"))
-                good = np.array([known[c] >= threshold for c in votes(m).tolist()], bool)
-                yield part.filter(pa.array(good & ~base_failed(m)))
-
-    return docs.mapInArrow(choose, docs.schema)
+            for part in slices(batch, f"c{docs_text}"):
+                m = measure(part.column(f"c{docs_text}"))
+                fine = ~base_failed(m)
+                codes = votes(m)
+                yield pa.record_batch([*(c.filter(pa.array(fine)) for c in part.columns), pa.array(codes[fine]), pa.array(np.ones(fine.sum(), np.int64))], names=[*names, "pattern", "n"])
+                failed, n = np.unique(codes[~fine], return_counts=True)
+                yield pa.record_batch([*(pa.nulls(len(n), c.type) for c in part.columns), pa.array(failed), pa.array(-n)], names=[*names, "pattern", "n"])
+
+    docs_text = docs.columns.index("text")
+    plain = docs.toDF(*names)
+    schema = ", ".join(f"{name} {kind}" for name, kind in plain.dtypes) + ", pattern long, n long"
+    # n: 1 for a row that passes the base rules; else minus the number of rows that don't, which only count
+    held = cut(plain.mapInArrow(measured, schema), "voted")
+    counts = {r["pattern"]: r["n"] for r in held.groupBy("pattern").agg(F.sum(F.abs("n")).alias("n")).collect()}
+    good = [c for c, p in posteriors(counts).items() if p >= threshold]
+    table = docs.sparkSession.createDataFrame([(c,) for c in good], "good long")
+    return held.where("n > 0").join(F.broadcast(table), F.col("pattern") == F.col("good"), "left_semi").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
