@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from larder.llm.storage import cut
 
 
-#: Edges of a task of forest().
-PER_TASK = 500_000
+#: Edges of a task of forest(); keys among which a component's nodes are dealt.
+PER_TASK, SALTS = 500_000, 16
 
 
 def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,3 +64,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if open_nodes.isEmpty():
             break
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(now.select("a", "a").distinct())
+
+
+def smallest_names(components: DataFrame, names: DataFrame) -> DataFrame:
+    """node, name: the smallest name in the component of each node of components (node, component); names: node, name.
+
+    The minimum combines before the shuffle; a component's nodes are dealt to SALTS keys to meet it, so a
+    large one isn't one task's work.
+    """
+    named = components.join(names, "node")
+    least = named.groupBy("component").agg(F.min("name").alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = named.select("node", "component", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt"))
+    return dealt.join(least, ["component", "salt"]).select("node", F.col("least").alias("name"))

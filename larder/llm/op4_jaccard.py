@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.components import connected_components
+from larder.llm.components import connected_components, smallest_names
 from larder.llm.storage import cut
 from larder.llm.text import mix, slices, words
 
@@ -381,13 +381,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WIDTH, key:
         rest = lists.select("x").mapInArrow(crossings(percent), COUNTED).groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("k").alias("k")).where("n >= k")
         named = connected_components(links.union(verified(rest.select("a", "b"))))
 
-    of_class = classes.select("k1", "k2", "n", F.col("doc_id").alias("first"), "vertex")
+    of_class = classes.select("k1", "k2", "n", F.col("doc_id").alias("component_id"), "vertex")
     if named is not None:
-        of_class = of_class.join(named, of_class["vertex"] == named["node"], "left").withColumn("component", F.coalesce("component", "vertex"))
-        least = of_class.groupBy("component").agg(F.min("first").alias("component_id"))
-        of_class = of_class.join(least, "component")
-    else:
-        of_class = of_class.withColumn("component_id", F.col("first"))
+        names = smallest_names(named, classes.select(F.col("vertex").alias("node"), F.col("doc_id").alias("name")))
+        of_class = of_class.join(names, of_class["vertex"] == names["node"], "left").withColumn("component_id", F.coalesce("name", "component_id"))
     placed = rows.alias("r").join(of_class.select("k1", "k2", "n", "component_id"), ["k1", "k2", "n"], "left")
     alone = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
     return placed.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
