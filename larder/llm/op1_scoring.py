@@ -158,10 +158,11 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, key: str =
     Lower scores are more like the target. target_ids has one column of keys; repeats and nulls in it
     don't count. Null and empty texts and texts without words score 0.0; repeated rows count each time;
     null keys are never target; with no target documents the target model is uniform; empty in, empty
-    out; further columns are left out.
+    out; further columns are left out. Rows are dealt to chunks by their place in docs, so that repeated
+    ones spread; docs is read twice and has to give its rows in one order, as a table read from files does.
     """
     ids = target_ids.toDF("doc_id").select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("is_target", F.lit(True))
-    marked = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    marked = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("place"))
     sizes = marked.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     chunks = max(1, -(-(sizes[0] or 0) // CHUNK_BYTES))
     buckets = 64
@@ -171,7 +172,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, key: str =
     marked = marked.join(flags, "doc_id", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
     totals = marked.select("text", "is_target").mapInArrow(vocabulary_parts(buckets), "key long, n long, t long").agg(F.countDistinct("key"), F.sum("n"), F.sum("t")).first()
     vocabulary, n, t = (int(v or 0) for v in totals)
-    dealt = marked.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long"))
+    dealt = marked.withColumn("chunk", F.pmod(F.xxhash64("place"), F.lit(chunks)).cast("long")).drop("place")
     asked = dealt.groupBy("chunk").applyInArrow(chunk_counts(buckets), ENTRIES)
     answered = asked.groupBy("bucket").applyInArrow(answer, ENTRIES)
     scored = dealt.groupBy("chunk").cogroup(answered.groupBy("chunk"))

@@ -23,7 +23,8 @@ def tokenizer_path() -> str:
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-entropy difference of every document against the documents labelled as good."""
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return op1_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+    scored = op1_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+    return scored.withColumns({"target_loss": F.round("target_loss", 5), "background_loss": F.round("background_loss", 5), "score": F.round("score", 8)})
 
 
 def op2_packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,5 +128,52 @@ FROM v LEFT JOIN n ON n.x = vec_id LEFT JOIN m ON m.x = vec_id
 """
 
 
+SCORING_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws,
+  doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS is_target FROM documents),
+t AS (SELECT doc_id, is_target, len(ws) AS n, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS k, ws FROM d),
+u AS (SELECT doc_id, is_target, n, w, k, CASE WHEN k > 1 THEN ws[k - 1] END AS before FROM t),
+one AS (SELECT w, count(*) AS c, count(*) FILTER (is_target) AS ct FROM u GROUP BY 1),
+two AS (SELECT before, w, count(*) AS c, count(*) FILTER (is_target) AS ct FROM u WHERE k > 1 GROUP BY 1, 2),
+own1 AS (SELECT doc_id, w, count(*) AS m FROM u GROUP BY 1, 2),
+own2 AS (SELECT doc_id, before, w, count(*) AS m FROM u WHERE k > 1 GROUP BY 1, 2, 3),
+all_ AS (SELECT count(*) AS n, count(*) FILTER (is_target) AS nt, count(DISTINCT w) AS v FROM u),
+x AS (SELECT u.*, side, CASE WHEN side = 1 OR is_target THEN 1 ELSE 0 END AS out FROM u, (VALUES (0), (1)) s(side)),
+p AS (SELECT x.doc_id, x.side, x.k, x.n AS len, CASE WHEN side = 1 THEN a.c ELSE a.ct END - out * oa.m AS single, CASE WHEN side = 1 THEN b.c ELSE b.ct END - out * ob.m AS prior,
+  CASE WHEN side = 1 THEN j.c ELSE j.ct END - out * oj.m AS joint, CASE WHEN side = 1 THEN all_.n ELSE all_.nt END - out * x.n + 0.1::DOUBLE * (all_.v + 1) AS total
+  FROM x CROSS JOIN all_ JOIN one a ON a.w = x.w JOIN own1 oa ON oa.doc_id = x.doc_id AND oa.w = x.w LEFT JOIN one b ON b.w = x.before LEFT JOIN own1 ob ON ob.doc_id = x.doc_id AND ob.w = x.before
+  LEFT JOIN two j ON j.before = x.before AND j.w = x.w LEFT JOIN own2 oj ON oj.doc_id = x.doc_id AND oj.before = x.before AND oj.w = x.w),
+l AS (SELECT doc_id, sum(-ln(q)) FILTER (side = 0) AS t, sum(-ln(q)) FILTER (side = 1) AS b FROM (
+  SELECT doc_id, side, CASE WHEN k = 1 THEN (single + 0.1::DOUBLE) / total ELSE (joint + 2 * ((single + 0.1::DOUBLE) / total)) / (greatest(prior, joint) + 2) END AS q FROM p) GROUP BY 1)
+SELECT d.doc_id, is_target, len(ws) AS n_tokens, round(coalesce(t, 0.0), 5) AS target_loss, round(coalesce(b, 0.0), 5) AS background_loss, round(coalesce((t - b) / len(ws), 0.0), 8) AS score FROM d LEFT JOIN l USING (doc_id)
+"""
+
+MIXING_SQL = r"""
+WITH w AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM w GROUP BY source),
+r AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM s),
+f AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+g AS (SELECT source, source_size, least(cap, max(level) OVER () * weight) AS target FROM f),
+k AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS passes FROM g),
+o AS (SELECT w.*, source_size, target, passes, target - passes * source_size AS need, coalesce(sum(size) OVER (PARTITION BY w.source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w JOIN k ON w.source IS NOT DISTINCT FROM k.source)
+SELECT doc_id, size, source_size, target, (size * (passes + CASE WHEN passes < 2 AND (before + size <= need OR before <= need AND size < 2 * (need - before)) THEN 1 ELSE 0 END))::BIGINT AS taken, source FROM o
+"""
+
+SHARDING_SQL = r"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS crc),
+d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS bytes FROM documents),
+s AS (SELECT doc_id, bytes + 16 AS size, xor(list_reduce(list_transform(range(bytes), lambda i: (instr('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', h[2 * i + 2]) - 1),
+  lambda c, b: xor(c // 256, tab.crc[xor(c % 256, b) + 1]), 4294967295), 4294967295) AS text_crc32 FROM d, tab),
+m0 AS (SELECT DISTINCT coalesce(doc_id, 0)::UBIGINT AS key FROM documents),
+m1 AS (SELECT key, (xor(key, key >> 32)::UHUGEINT * 15485907386658061715 % 18446744073709551616)::UBIGINT AS h FROM m0),
+m2 AS (SELECT key, (xor(h, h >> 29)::UHUGEINT * 14029467366897019727 % 18446744073709551616)::UBIGINT AS h FROM m1),
+j(key, state, t) AS (SELECT key, xor(h, h >> 32), 0::BIGINT FROM m2 UNION ALL
+  SELECT key, n, floor((t + 1) * (2147483648::DOUBLE / ((n >> 33) + 1)))::BIGINT FROM (SELECT key, t, (state::UHUGEINT * 2862933555777941757 % 18446744073709551616 + 1)::UHUGEINT % 18446744073709551616 AS w, w::UBIGINT AS n FROM j WHERE t < 41)),
+p AS (SELECT key, max(t) FILTER (t < 40)::INT AS shard, max(t) FILTER (t < 41)::INT AS grown_shard FROM j GROUP BY 1)
+SELECT doc_id, size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard
+FROM s JOIN p ON key = coalesce(doc_id, 0)::UBIGINT
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ngram_jaccard": JACCARD_SQL, "op5_embedding_dedup": VECTOR_SQL, "op7_chat_formatting": CHAT_SQL}
+    return {"op1_lm_scoring": SCORING_SQL, "op3_mixing": MIXING_SQL, "op4_ngram_jaccard": JACCARD_SQL, "op5_embedding_dedup": VECTOR_SQL, "op7_chat_formatting": CHAT_SQL, "op10_sharding": SHARDING_SQL}
