@@ -2,30 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.quantity import show_amount
 
 
-def totals(lines: DataFrame) -> DataFrame:
-    """basket, total, coverage, average_confidence, n_missing of lines (basket, cost, confidence); cost 0 or null is missing."""
-    ok = F.coalesce(F.col("cost") > 0, F.lit(False))
+def _priced() -> Column:
+    return F.coalesce(F.col("cost") > 0, F.lit(False))
+
+
+def _sums() -> list[Column]:
+    ok = _priced()
     cents = F.sum(F.when(ok, F.col("cost").cast("decimal(18,2)")).otherwise(F.lit(0).cast("decimal(18,2)")))
-    return lines.groupBy("basket").agg(
+    return [
         cents.cast("double").alias("total"),
         (F.count_if(ok) / F.count("*")).alias("coverage"),
         F.coalesce(F.sum(F.when(ok, F.col("confidence").cast("decimal(18,3)"))).cast("double") / F.count_if(ok), F.lit(0.0)).alias("average_confidence"),
-        F.count_if(~ok).alias("n_missing"),
-    )
+    ]
+
+
+def totals(lines: DataFrame) -> DataFrame:
+    """basket, total, coverage, average_confidence, n_missing of lines (basket, cost, confidence); cost 0 or null is missing."""
+    return lines.groupBy("basket").agg(*_sums(), F.count_if(~_priced()).alias("n_missing"))
 
 
 def rollup(lines: DataFrame) -> DataFrame:
-    """totals() of lines (basket, name, cost, confidence, tier) with counts per tier and the distinct names without a price, in order."""
-    ok = F.coalesce(F.col("cost") > 0, F.lit(False))
+    """totals of lines (basket, name, cost, confidence, tier) with counts per tier and the distinct names without a price, in order."""
     tiers = [F.count_if(F.col("tier") == t).alias(f"n_{t}") for t in ("city", "country", "region", "global", "missing")]
-    names = F.array_join(F.array_sort(F.collect_set(F.when(~ok, F.col("name")))), ", ").alias("missing")
-    return totals(lines).drop("n_missing").join(lines.groupBy("basket").agg(*tiers, names), "basket")
+    names = F.array_join(F.array_sort(F.collect_set(F.when(~_priced(), F.col("name")))), ", ").alias("missing")
+    return lines.groupBy("basket").agg(*_sums(), *tiers, names)
 
 
 def compare_stores(baskets: DataFrame, stores: DataFrame) -> DataFrame:

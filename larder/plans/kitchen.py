@@ -159,16 +159,16 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resolved(spark: SparkSession, sf_dir: str, asked: DataFrame, names: DataFrame) -> DataFrame:
     """asked (ingredient, city, country, region, currency) priced by what its names (item) match, aliases included."""
     aliases = spark.createDataFrame([(name, other) for name, others in ALIASES.items() for other in others], "name string, alias string")
-    prices = observations(spark, sf_dir)
-    placed = matching.place_prices(prices)
-    matches = matching.alias_matches(names, aliases, placed.select(F.col("ingredient").alias("row")))
+    placed = matching.place_prices(observations(spark, sf_dir))
+    goods = table(spark, sf_dir, "lineitem").select(pick(GOODS, F.col("l_partkey")).alias("row")).distinct()
+    matches = matching.alias_matches(names, aliases, goods)
     return matching.cascade(asked, matching.for_items(placed, matches))
 
 
 def priced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("basket"), F.col("o_custkey").alias("c_custkey"))
     asked = lines(spark, sf_dir).join(orders.join(customers(spark, sf_dir), "c_custkey"), "basket").select("basket", F.col("name").alias("ingredient"), "text", "city", "country", "region", "currency")
-    found = resolved(spark, sf_dir, asked, asked.select(F.col("ingredient").alias("item")).distinct())
+    found = resolved(spark, sf_dir, asked, lines(spark, sf_dir).select(F.col("name").alias("item")).distinct())
     read = found.withColumns({"need": parse_shopping(F.col("text")), "grams": food.piece_grams(normalise(F.col("matched"))), "category": food.category(F.col("ingredient"))})
     packed = read.withColumn("packs", pack_count(F.col("need"), F.col("unit"), F.col("quantity"), F.col("grams"))).withColumn("raw", F.col("packs") * F.col("unit_price"))
     return packed.withColumn("cost", sanitise(F.col("raw"), F.col("category")))
