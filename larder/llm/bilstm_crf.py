@@ -9,12 +9,20 @@ SIGNS = " .@-_+()[]:;,/=\"'#$%&*<>|!?\n\\{}~^`"
 N_CHARS = len(SIGNS) + 6
 
 
+_CLASS = np.full(128, 5, np.int64)
+_CLASS[48:58], _CLASS[97:123], _CLASS[65:91] = 1, 2, 3
+_CLASS[[ord(c) for c in SIGNS]] = np.arange(len(SIGNS)) + 6
+
+
 def encode(text: str) -> np.ndarray:
     """Character classes 1 .. N_CHARS - 1 (0 is padding)."""
-    out = np.empty(len(text), np.int64)
-    for i, c in enumerate(text):
-        k = SIGNS.find(c)
-        out[i] = k + 6 if k >= 0 else 1 if "0" <= c <= "9" else 2 if "a" <= c <= "z" else 3 if "A" <= c <= "Z" else 4 if c.isalpha() else 5
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    out = np.full(len(codes), 5, np.int64)
+    plain = codes < 128
+    out[plain] = _CLASS[codes[plain]]
+    for i in np.flatnonzero(~plain):
+        if text[i].isalpha():
+            out[i] = 4
     return out
 
 
@@ -63,21 +71,33 @@ class Tagger:
         e = both @ self.p["W"] + self.p["U"]
         return (e, both, kf, kb) if keep else e
 
-    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best tag paths (batch x length) and, for each character, the probability of its tag."""
-        e = self.emissions(x)
+    def paths(self, e: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best tag paths of sequences with the emissions e (length x sequences x tags), and each character's probability of its tag.
+
+        Sequences end at their lengths: behind them no tag costs anything and only the last one goes on.
+        """
         length, n, k = e.shape
-        score, back = e[0] + self.p["S"], np.empty((length, n, k), np.int64)
+        at = np.arange(length)[:, None]
+        beyond = at >= lengths[None, :]
+        e = np.where(beyond[:, :, None], 0.0, e)
+        stay = np.where(np.eye(k, dtype=bool), 0.0, -1e9)
+        score, back = e[0] + self.p["S"], np.empty((length, n, k), np.int8)
         for t in range(1, length):
-            via = score[:, :, None] + self.p["T"]
+            via = score[:, :, None] + np.where(beyond[t][:, None, None], stay, self.p["T"])
             back[t] = via.argmax(axis=1)
             score = via.max(axis=1) + e[t]
-        path = np.empty((n, length), np.int64)
+        path = np.empty((n, length), np.int8)
         path[:, -1] = score.argmax(axis=1)
         for t in range(length - 1, 0, -1):
             path[:, t - 1] = back[t][np.arange(n), path[:, t]]
-        gamma = self._marginals(e)[0]
-        return path, np.take_along_axis(gamma.transpose(1, 0, 2), path[:, :, None], axis=2)[:, :, 0]
+        alpha, beta = np.empty_like(e), np.zeros_like(e)
+        alpha[0] = e[0] + self.p["S"]
+        for t in range(1, length):
+            alpha[t] = logsumexp(alpha[t - 1][:, :, None] + np.where(beyond[t][:, None, None], stay, self.p["T"]), 1) + e[t]
+        for t in range(length - 2, -1, -1):
+            beta[t] = logsumexp(np.where(beyond[t + 1][:, None, None], stay, self.p["T"]) + (e[t + 1] + beta[t + 1])[:, None, :], 2)
+        gamma = np.exp(alpha + beta - logsumexp(alpha[-1], 1)[None, :, None])
+        return path, np.take_along_axis(gamma.transpose(1, 0, 2), path[:, :, None].astype(np.int64), axis=2)[:, :, 0]
 
     def _marginals(self, e: np.ndarray):
         length, n, k = e.shape

@@ -3,8 +3,9 @@
 The tagger is trained in numpy from labelled spans. It reads every stretch of a text that can hold a
 span that passes(): each whole run of digits and their separators, each @, and each whole address or
 number with a written "at" or "dot", bare or bracketed, in any case; and REACH characters around them.
-Such stretches are cut into overlapping windows; each character takes its tag from the window in which
-it lies most central, and the tags of the whole text are then read as spans. A span of the tagger is
+Each stretch is cut into overlapping windows; a character takes its emissions from the window in which it
+lies most central, and one CRF decoding over the whole stretch reconciles them. What lies outside of the
+stretches can't pass, whatever its tags. A span of the tagger is
 kept if its probability is high, its form passes the kind's check, and no pattern's span touches it. A
 written address or ip that the tagger finds anything of goes whole, however long it is. A bare "at" before a domain
 with plain dots only ("look at example.org") isn't read as an address.
@@ -26,6 +27,8 @@ from larder.llm.bilstm_crf import Tagger, encode
 Span = tuple[str, int, int]
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE, REACH = 64, 32, 32
+#: Characters decoded as one sequence; longer stretches are decoded in such parts, which overlap by twice REACH.
+PART = 8192
 SURE = 0.5
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -219,40 +222,93 @@ def passes(kind: str, piece: str) -> bool:
     return _WRITTEN_IP.fullmatch(piece) is not None and all(int(p) <= 255 for p in re.findall("[0-9]+", piece))
 
 
-def tagged_spans(texts: Sequence[str], found: Sequence[Sequence[Span]], tagger: Tagger, batch: int = 512) -> list[list[Span]]:
+def parts_of(a: int, b: int) -> Iterator[tuple[int, int]]:
+    """a .. b in overlapping parts of PART characters."""
+    for at in range(a, max(a + 1, b - 2 * REACH), PART - 2 * REACH):
+        yield at, min(b, at + PART)
+
+
+def emissions(x: np.ndarray, lengths: np.ndarray, tagger: Tagger, batch: int = 512) -> np.ndarray:
+    """Emissions (characters x tags) of sequences laid end to end in x, from overlapping windows.
+
+    A window is STRIDE away from the next; each gives the characters nearest to its middle.
+    """
+    ends = np.cumsum(lengths)
+    counts = np.maximum(1, -(-(lengths - STRIDE) // STRIDE))
+    of = np.repeat(np.arange(len(lengths)), counts)
+    number = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+    start = (ends - lengths)[of] + number * STRIDE
+    edge = (WINDOW - STRIDE) // 2
+    low = np.where(number == 0, 0, edge)
+    high = np.where(number == counts[of] - 1, np.minimum(WINDOW, ends[of] - start), edge + STRIDE)
+    out = np.empty((len(x), tagger.tags))
+    inside = np.arange(WINDOW)
+    for at in range(0, len(of), batch):
+        own = slice(at, at + batch)
+        places = start[own, None] + inside
+        known = places < ends[of[own], None]
+        e = tagger.emissions(np.where(known, x[np.minimum(places, len(x) - 1)], 0)).transpose(1, 0, 2)
+        take = (inside >= low[own, None]) & (inside < high[own, None])
+        out[places[take]] = e[take]
+    return out
+
+
+def decoded(x: np.ndarray, lengths: np.ndarray, tagger: Tagger, limit: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Tags and their probabilities of sequences laid end to end in x: sequences of like length are decoded together."""
+    e, starts = emissions(x, lengths, tagger), np.cumsum(lengths) - lengths
+    tags, sure = np.zeros(len(x), np.int8), np.zeros(len(x))
+    order, at = np.argsort(lengths, kind="stable"), 0
+    while at < len(order):
+        upto = at + 1
+        while upto < len(order) and (upto + 1 - at) * lengths[order[upto]] <= limit and lengths[order[upto]] <= 2 * lengths[order[at]] + 16:
+            upto += 1
+        own = order[at:upto]
+        places = np.arange(lengths[own].max())[None, :] + starts[own, None]
+        known = places < (starts + lengths)[own, None]
+        path, p = tagger.paths(e[np.minimum(places, len(x) - 1)].transpose(1, 0, 2), lengths[own])
+        tags[places[known]], sure[places[known]] = path[known], p[known]
+        at = upto
+    return tags, sure
+
+
+def tagged_spans(texts: Sequence[str], found: Sequence[Sequence[Span]], tagger: Tagger) -> list[list[Span]]:
     """The tagger's spans of each text, given the addresses of each."""
-    held: list[tuple[int, int, int, np.ndarray]] = []  # text, start, length inside the region, classes
-    places = [regions(t, f) for t, f in zip(texts, found, strict=True)]
-    for i, own in enumerate(places):
-        for a, b in own:
-            x = marked(texts[i], a, b, found[i])
-            for at in range(0, max(1, b - a - STRIDE), STRIDE):
-                part = x[at : at + WINDOW]
-                held.append((i, a + at, len(part), np.pad(part, (0, WINDOW - len(part)))))
-    tags: list[dict[int, tuple[float, int, float]]] = [{} for _ in texts]  # position -> (distance from the window's middle, tag, probability)
-    for at in range(0, len(held), batch):
-        own = held[at : at + batch]
-        path, sure = tagger.decode(np.stack([h[3] for h in own]))
-        for (i, start, length, _), p, s in zip(own, path, sure, strict=True):
-            for k in range(length):
-                off = abs(k - (WINDOW - 1) / 2)
-                had = tags[i].get(start + k)
-                if had is None or off < had[0]:
-                    tags[i][start + k] = (off, int(p[k]), float(s[k]))
+    places = [(i, a, b) for i, (t, f) in enumerate(zip(texts, found, strict=True)) for a, b in regions(t, f)]
+    out: list[list[Span]] = [[] for _ in texts]
+    if not places:
+        return out
+    parts = [(k, a, b) for k, (_, x, y) in enumerate(places) for a, b in parts_of(x, y)]
+    lengths = np.array([b - a for _, a, b in parts], np.int64)
+    tags, sure = decoded(np.concatenate([marked(texts[places[k][0]], a, b, found[places[k][0]]) for k, a, b in parts]), lengths, tagger)
+    # of what two parts of a stretch share, each keeps the half on its own side
+    whole = np.ones(len(tags), bool)
+    for end, (k, a, b), before, after in zip(np.cumsum(lengths), parts, [None, *parts], [*parts[1:], None], strict=False):
+        if before and before[0] == k:
+            whole[end - (b - a) : end - (b - a) + REACH] = False
+        if after and after[0] == k:
+            whole[end - REACH : end] = False
+    tags, sure = tags[whole], sure[whole]
+    at = 0
+    for i, a, b in places:
+        own = slice(at, at + b - a)
+        at += b - a
+        out[i] += [(kind, a + x, a + y) for kind, x, y in spans_of(tags[own], sure[own], [(s, x - a, y - a) for s, x, y in found[i] if x < b and a < y])]
+    return out
+
+
+def spans_of(tags: np.ndarray, sure: np.ndarray, found: Sequence[Span]) -> list[Span]:
+    """Runs of one kind's tags; kept if each character is sure, or if they touch an address found of their kind."""
+    kind = (tags.astype(np.int64) + 1) // 2  # 0: outside
+    first = (kind > 0) & ((tags % 2 == 1) | np.concatenate(([True], kind[1:] != kind[:-1])))
+    begins = np.flatnonzero(first)
+    stops = np.flatnonzero(first | (kind == 0))
+    stops = np.append(stops, len(tags))
     out = []
-    for i, marks in enumerate(tags):
-        spans, now = [], None
-        for a, b in places[i]:
-            for pos in [*range(a, b), b]:
-                _, tag, s = marks.get(pos, (0, 0, 1.0)) if pos < b else (0, 0, 1.0)
-                kind = (tag - 1) // 2 if tag else -1
-                if now and (kind != now[0] or tag % 2 == 1):
-                    if now[3] >= SURE or any(KINDS[now[0]] == k and x < now[2] and now[1] < y for k, x, y in found[i]):
-                        spans.append((KINDS[now[0]], now[1], now[2]))
-                    now = None
-                if tag:
-                    now = [kind, pos, pos + 1, s] if now is None else [kind, now[1], pos + 1, min(now[3], s)]
-        out.append(spans)
+    for a in begins:
+        b = int(stops[np.searchsorted(stops, a, "right")])
+        name = KINDS[kind[a] - 1]
+        if sure[a:b].min() >= SURE or any(name == k and x < b and a < y for k, x, y in found):
+            out.append((name, int(a), b))
     return out
 
 
