@@ -160,13 +160,16 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 30_000) -> DataFr
     """doc_id, held_out, score (0 to 1), predicted of every row.
 
     The model learns from at most `sample` labelled rows, those with the smallest hashes of doc_id
-    among rows whose crc32(doc_id) mod 3 isn't 1. Several labels of one document count by their mean,
+    among rows whose crc32(doc_id) mod 3 isn't 1; a threshold on the hash, from their count, keeps the
+    others on the executors. Several labels of one document count by their mean,
     ties as good; null labels don't count. Without both classes the score is the smoothed share of good.
     Null and empty texts are scored like others; null ids aren't held out; empty in, empty out.
     """
     table = cut(measured(docs), "features").withColumn("held_out", held_out_fold())
     known = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("good"))
-    rows = table.where(~F.col("held_out")).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(sample)
+    labelled = table.where(~F.col("held_out")).join(known, "doc_id").withColumn("rank", F.shiftrightunsigned(F.xxhash64("doc_id"), 24))
+    share = min(1.0, (sample + 6 * sample**0.5) / max(labelled.count(), 1))  # six deviations above, so that sample rows are nearly sure to be there
+    rows = labelled.where(F.col("rank") <= int(share * 2**40)).orderBy("rank", "doc_id", *FEATURES).limit(sample)
     frame = rows.select("good", *FEATURES).toPandas()
     model = fit(frame[list(FEATURES)].to_numpy(float).reshape(-1, len(FEATURES)), frame["good"].to_numpy(float))
 
