@@ -7,35 +7,37 @@ from pyspark.sql import functions as F
 
 from larder.llm import op2_packing, op3_mixing, op4_jaccard, op8_pii, op9_rules
 from larder.llm.queries import tokenizer_path
-from larder.llm.storage import shared_dir
+from larder.llm.storage import delete_at_end, shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weakly supervised rules keep."""
+    """Documents that the weakly supervised rules keep; null and empty texts go, repeated rows are judged each."""
     return op9_rules.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one whose id names the component; documents without id stay."""
-    found = op4_jaccard.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi")
-    return kept.union(docs.where("doc_id is null")).select(*docs.columns)
+    """One row of each group, the first in the table; rows are told apart by their place, so ids may repeat or be null.
+
+    Texts without words link with nothing and stay. docs gives its rows in one order each time, as a table
+    read from files does.
+    """
+    placed = docs.withColumn("__place", F.monotonically_increasing_id())
+    found = op4_jaccard.near_duplicates(placed, key="__place").where("doc_id = component_id").select(F.col("doc_id").alias("__place"))
+    return placed.join(found, "__place", "left_semi").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind."""
+    """All documents, personal data replaced by its kind; null and empty texts stay as they are."""
     return op8_pii.redact(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    copies = op3_mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    taken = docs.alias("d").join(copies.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")))
-    return taken.select("d.*", F.explode(F.sequence(F.lit(1), F.col("c.__copies"))).alias("__copy")).drop("__copy")
+    """Each row as often as the mix takes it; rows of one id, or without one, are taken each by themselves."""
+    return op3_mixing.mixed(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, placed in sequences of 2048 tokens."""
+    """Pieces of all documents, placed in sequences of 2048 tokens; null and empty texts are one end token."""
     return op2_packing.pack(docs, tokenizer_path())
 
 
@@ -61,5 +63,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
             docs.write.parquet(f"{base}/{name}")
+            delete_at_end(spark, f"{base}/{name}")
             docs = spark.read.parquet(f"{base}/{name}")
     return docs
