@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import op1_scoring, op2_packing, op3_mixing, op4_jaccard, op5_vectors, op6_quality, op7_chat, op8_pii, op9_rules, op10_sharding
+from larder.llm import op1_scoring, op2_packing, op3_mixing, op4_jaccard, op5_vectors, op6_quality, op7_chat, op8_pii, op9_rules, op10_sharding, op11_manifest, op12_negatives, op13_bpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,26 @@ def op10_sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, checked against one in which n_chars grew by 1 where 7 divides the id's crc32."""
+    docs = table(spark, sf_dir, "documents")
+    changed = F.col("n_chars") + F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, 1).otherwise(0)
+    return op11_manifest.verify(op11_manifest.manifest(docs, tampered={"n_chars": changed}))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return op12_negatives.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    return op13_bpe.digest(op13_bpe.decode(op13_bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,6 +105,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_personal_data": op8_personal_data,
         "op9_quality_rules": op9_quality_rules,
         "op10_sharding": op10_sharding_query,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_byte_bpe": op13_byte_bpe,
         "pipeline": pipeline,
     }
 
@@ -175,5 +198,38 @@ FROM s JOIN p ON key = coalesce(doc_id, 0)::UBIGINT
 """
 
 
+MANIFEST_SQL = r"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS crc),
+r AS (SELECT *, n_chars + CASE WHEN xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda c, b: xor(c // 256, tab.crc[xor(c % 256, b) + 1]), 4294967295), 4294967295) % 7 = 0
+  THEN 1 ELSE 0 END AS changed FROM documents, tab),
+f AS (SELECT doc_id, coalesce('=' || lang, '-') AS g, changed, n_chars, text, lang,
+  coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head, coalesce(strlen(text) || ':' || text, '-') AS tail FROM r),
+d AS (SELECT doc_id, g, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf, sha256(head || coalesce(strlen(changed::VARCHAR) || ':' || changed, '-') || tail) AS claimed FROM f),
+n AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS size FROM d),
+a(k, g, i, size, node) AS (SELECT 0, g, i, size, leaf FROM n UNION ALL SELECT k + 1, g, i // 2, (size + 1) // 2, sha256(string_agg(node, '' ORDER BY i)) FROM a WHERE size > 1 GROUP BY k, g, i // 2, size),
+s AS (SELECT g, node AS subroot, max(k) OVER () AS deep, row_number() OVER (ORDER BY g) - 1 AS j, count(*) OVER () AS size FROM a WHERE size = 1),
+t(k, i, size, node) AS (SELECT 0, j, size, subroot FROM s UNION ALL SELECT k + 1, i // 2, (size + 1) // 2, sha256(string_agg(node, '' ORDER BY i)) FROM t WHERE size > 1 GROUP BY k, i // 2, size),
+w AS (SELECT doc_id, n.g, n.i, leaf, claimed, l.k, (n.i // (2 ** l.k)::BIGINT) % 2 AS side, b.node AS beside FROM n JOIN (SELECT DISTINCT g, k FROM a WHERE size > 1) l USING (g)
+        LEFT JOIN a b ON b.g = n.g AND b.k = l.k AND b.i = xor(n.i // (2 ** l.k)::BIGINT, 1)
+      UNION ALL SELECT doc_id, n.g, n.i, leaf, claimed, 1000 + l.k, (s.j // (2 ** l.k)::BIGINT) % 2, b.node FROM n JOIN s USING (g) JOIN (SELECT DISTINCT k FROM t WHERE size > 1) l ON true
+        LEFT JOIN t b ON b.k = l.k AND b.i = xor(s.j // (2 ** l.k)::BIGINT, 1)),
+steps AS (SELECT g, i, list(struct_pack(l := CASE WHEN side = 1 THEN beside ELSE '' END, r := CASE WHEN side = 0 THEN coalesce(beside, '') ELSE '' END) ORDER BY k) AS path, string_agg(coalesce(beside, ''), '' ORDER BY k) AS beside FROM w GROUP BY 1, 2),
+c(g, i, z, node) AS (SELECT g, i, 0, claimed FROM n UNION ALL SELECT c.g, c.i, z + 1, sha256(path[z + 1].l || node || path[z + 1].r) FROM c JOIN steps ON c.g = steps.g AND c.i = steps.i WHERE z < len(path)),
+e AS (SELECT g, i, arg_max(node, z) AS folded_root FROM c GROUP BY 1, 2)
+SELECT n.doc_id, leaf, subroot, root, sha256(coalesce(beside, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM n JOIN s USING (g) JOIN e ON e.g = n.g AND e.i = n.i LEFT JOIN steps p ON p.g = n.g AND p.i = n.i, (SELECT node AS root FROM t WHERE size = 1)
+"""
+
+NEGATIVES_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2]))::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) AS k FROM s WHERE same),
+n AS (SELECT p.anchor_id, p.other AS positive_id, p.k AS positive_rank, row_number() OVER (PARTITION BY p.anchor_id, p.other ORDER BY s.score DESC, s.other) AS rank, s.other AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score WHERE p.k <= 5)
+SELECT anchor_id, positive_id, positive_rank::INT AS positive_rank, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_lm_scoring": SCORING_SQL, "op3_mixing": MIXING_SQL, "op4_ngram_jaccard": JACCARD_SQL, "op5_embedding_dedup": VECTOR_SQL, "op7_chat_formatting": CHAT_SQL, "op10_sharding": SHARDING_SQL}
+    return {"op1_lm_scoring": SCORING_SQL, "op3_mixing": MIXING_SQL, "op4_ngram_jaccard": JACCARD_SQL, "op5_embedding_dedup": VECTOR_SQL, "op7_chat_formatting": CHAT_SQL, "op10_sharding": SHARDING_SQL, "op11_merkle_manifest": MANIFEST_SQL, "op12_hard_negatives": NEGATIVES_SQL}
