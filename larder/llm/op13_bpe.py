@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import codecs
 import functools
+import hashlib
 import itertools
 import os
 import re
@@ -49,28 +50,33 @@ class ByteCoder:
     """A tokenizer of the tokenizers library from a rank file, and the bytes of its ids."""
 
     def __init__(self, ranks_path: str, pattern: str):
-        from tokenizers import Regex, Tokenizer, models, pre_tokenizers
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, Path(ranks_path).read_bytes().splitlines())}
+        lines = map(bytes.split, Path(ranks_path).read_bytes().splitlines())
         table = byte_table()
-        written = {token: "".join(table[b] for b in token) for token in ranks}
-        merges = []
-        for token in sorted(ranks, key=ranks.__getitem__):
-            pairs = [(token[:k], token[k:]) for k in range(1, len(token)) if token[:k] in ranks and token[k:] in ranks]
-            merges += [(written[a], written[b]) for a, b in sorted(pairs, key=lambda p: (ranks[p[0]], ranks[p[1]]))]
-        self.tokenizer = Tokenizer(models.BPE({written[t]: r for t, r in ranks.items()}, merges, ignore_merges=True))
-        split = pre_tokenizers.Split(Regex(pattern), "isolated")
-        self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([split, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.pattern = pattern
+        self.vocabulary = {"".join(table[b] for b in base64.b64decode(token)): int(rank) for token, rank in lines}
         back = {c: b for b, c in enumerate(table)}
-        tokens = [b"\xef\xbf\xbd"] * (max(ranks.values()) + 2)  # ids without a token, the last entry among them: U+FFFD
-        for text, rank in self.tokenizer.get_vocab().items():
-            tokens[rank] = bytes(back[c] for c in text)
+        tokens = [b"\xef\xbf\xbd"] * (max(self.vocabulary.values()) + 2)  # ids without a token, the last entry among them: U+FFFD
+        for written, rank in self.vocabulary.items():
+            tokens[rank] = bytes(back[c] for c in written)
         self.lengths = np.array([len(t) for t in tokens], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.kept: dict[str, bytes] = {}
 
+    @functools.cached_property
+    def tokenizer(self):
+        from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        ranks, merges = self.vocabulary, []
+        for token in sorted(ranks, key=ranks.__getitem__):
+            pairs = [(token[:k], token[k:]) for k in range(1, len(token)) if token[:k] in ranks and token[k:] in ranks]
+            merges += sorted(pairs, key=lambda p: (ranks[p[0]], ranks[p[1]]))
+        out = Tokenizer(models.BPE(ranks, merges, ignore_merges=True))
+        split = pre_tokenizers.Split(Regex(self.pattern), "isolated")
+        out.pre_tokenizer = pre_tokenizers.Sequence([split, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        return out
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as if each match of the pattern were merged by itself."""
         out, held, size = [], [], 0
@@ -156,59 +162,66 @@ def coder(ranks_path: str, pattern: str) -> ByteCoder:
     return ByteCoder(ranks_path, pattern)
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def encoded(batches: Batches, code: ByteCoder) -> Batches:
+    """doc_id, text -> doc_id, ids, starts, ends, for about TOGETHER bytes of text at a time."""
+    for batch in batches:
+        for part in slices(batch, "text", TOGETHER):
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            found = code.encode(texts)
+            spans = [code.offsets(t, ids) for t, ids in zip(texts, found, strict=True)]
+            columns = [part.column("doc_id"), lists(found), lists([a for a, _ in spans]), lists([b for _, b in spans])]
+            yield pa.record_batch(columns, names=["doc_id", "ids", "starts", "ends"])
+
+
+def decoded(batches: Batches, code: ByteCoder) -> Batches:
+    """Batches with ids -> the same with the bytes and the text of the ids."""
+    for batch in batches:
+        raw = [None if ids is None else code.decode(ids) for ids in arrays(batch.column("ids"))]
+        texts = [None if b is None else b.decode("utf-8", "replace") for b in raw]
+        yield pa.record_batch([*batch.columns, pa.array(raw, pa.binary()), pa.array(texts, pa.string())], names=[*batch.schema.names, "bytes", "text"])
+
+
+def digested(batches: Batches) -> Batches:
+    """doc_id, ids, bytes -> doc_id, n_tokens, ids_sha256 (of little-endian unsigned 32-bit integers), decoded_sha256."""
+    for batch in batches:
+        ids = [ids.astype("<u4") for ids in arrays(batch.column("ids"))]
+        sums = [[hashlib.sha256(x).hexdigest() for x in column] for column in (ids, batch.column("bytes").to_pylist())]
+        yield pa.record_batch([batch.column("doc_id"), pa.array(map(len, ids), pa.int64()), *map(pa.array, sums)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def texts_of(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key (as long), ids, starts, ends of every row: the ids of its whole text and the code points that each spans.
 
     ranks_path names a file that every machine has. A null text counts as empty and gives empty arrays; null
     and repeated keys are rows like any other; an empty table gives an empty result; further columns are left
-    out. Texts of any length are encoded part by part; only a stretch without ASCII white space is held whole.
+    out. Texts of any length are encoded part by part; only a stretch without white space is held whole.
     """
+    return texts_of(docs, key, text).mapInArrow(lambda batches: encoded(batches, coder(ranks_path, pattern)), "doc_id long, ids array<int>, starts array<int>, ends array<int>")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = coder(ranks_path, pattern)
-        for batch in batches:
-            for part in slices(batch, "text", TOGETHER):
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                found = code.encode(texts)
-                spans = [code.offsets(t, ids) for t, ids in zip(texts, found, strict=True)]
-                columns = [part.column("doc_id"), lists(found), lists([a for a, _ in spans]), lists([b for _, b in spans])]
-                yield pa.record_batch(columns, names=["doc_id", "ids", "starts", "ends"])
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, starts array<int>, ends array<int>")
-
-
-def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """encoded and for each row `bytes` and `text` of its ids; in text, bytes that are no UTF-8 are U+FFFD.
+def decode(ids: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """The table (with a column ids) and for each row `bytes` and `text` of its ids; in text, bytes that are no UTF-8 are U+FFFD.
 
     Ids cut anywhere can be decoded: a character whose bytes are split over two rows is whole again when
     their bytes are joined. Null ids give nulls, a null among ids and an id outside the vocabulary U+FFFD.
-    Columns of these two names are replaced.
+    Columns named bytes or text are replaced.
     """
-    kept = encoded.drop("bytes", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = coder(ranks_path, pattern)
-        for batch in batches:
-            raw = [None if ids is None else code.decode(ids) for ids in arrays(batch.column("ids"))]
-            texts = [None if b is None else b.decode("utf-8", "replace") for b in raw]
-            yield pa.record_batch([*batch.columns, pa.array(raw, pa.binary()), pa.array(texts, pa.string())], names=[*batch.schema.names, "bytes", "text"])
-
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("bytes", BinaryType()), StructField("text", StringType())]))
-
-
-def digest(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers), decoded_sha256."""
-
+    kept = ids.drop("bytes", "text")
+    more = StructType([*kept.schema.fields, StructField("bytes", BinaryType()), StructField("text", StringType())])
+    return kept.mapInArrow(lambda batches: decoded(batches, coder(ranks_path, pattern)), more)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = [None if ids is None else ids.astype("<u4").tobytes() for ids in arrays(batch.column("ids"))]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("bytes"), pa.array(packed, pa.binary())], names=["doc_id", "bytes", "packed"])
 
-    rows = decoded.select("doc_id", "ids", "bytes").mapInArrow(run, "doc_id long, bytes binary, packed binary")
-    tokens = (F.octet_length("packed") / 4).cast("long").alias("n_tokens")
-    return rows.select("doc_id", tokens, F.sha2("packed", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """encode, decode and the digests of both in one pass, so that ids don't leave their worker in between; rows as in encode."""
+    run = lambda batches: digested(decoded(encoded(batches, coder(ranks_path, pattern)), coder(ranks_path, pattern)))
+    return texts_of(docs, key, text).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def lists(values: list[np.ndarray]) -> pa.ListArray:

@@ -83,8 +83,7 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return op13_bpe.digest(op13_bpe.decode(op13_bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern))
+    return op13_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
