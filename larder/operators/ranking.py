@@ -1,4 +1,4 @@
-"""One row per key, ranked options and nearest neighbours."""
+"""One row per key and ranked options."""
 
 from __future__ import annotations
 
@@ -27,24 +27,3 @@ def placed(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: st
 def latest(df: DataFrame, keys: Sequence[str], generation: Sequence[str], values: Sequence[str]) -> DataFrame:
     """The values of the greatest generation of each key: one hash aggregate, no sort."""
     return df.groupBy(*keys).agg(F.max(F.struct(*generation, *values)).alias("last")).select(*keys, *[F.col(f"last.{c}") for c in (*generation, *values)])
-
-
-def nearest(points: DataFrame, places: DataFrame, distance: Column, most: int, radius_km: float) -> DataFrame:
-    """For each point (point_id, lat, lon) up to `most` places (place_id, plat, plon) within the radius, nearest first.
-
-    Points and places meet by grid cell: bands of latitude as high as the radius, each cut into cells at
-    least as wide, fewer towards the poles. A place is sent to the cells around its longitude in its band
-    and the two beside it, over the date line too, so what is near always meets and no place meets every point.
-    """
-    high = radius_km / 111.0
-    band = lambda lat: F.floor(lat / high)
-    # cells of a band: its latitude farthest from the equator is where a degree is shortest
-    top = lambda b: F.least(F.greatest(F.abs(b * high), F.abs((b + 1) * high)) + high, F.lit(90.0))
-    cells = lambda b: F.greatest(F.lit(1).cast("long"), F.floor(360 * F.cos(F.radians(top(b))) / (1.1 * high)))
-    cell = lambda lon, b: F.pmod(F.floor((lon + 180) / 360 * cells(b)), cells(b))
-    at = points.withColumn("band", band(F.col("lat"))).withColumn("cell", cell(F.col("lon"), F.col("band")))
-    spread = places.withColumn("band", F.explode(F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda d: d + band(F.col("plat")))))
-    around = F.array_distinct(F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda d: F.pmod(d + cell(F.col("plon"), F.col("band")), cells(F.col("band")))))
-    met = at.join(spread.withColumn("cell", F.explode(around)), ["band", "cell"]).drop("band", "cell")
-    near = met.withColumn("km", distance).where(F.col("km") <= radius_km)
-    return ranked(near, ["point_id"], [F.asc("km"), F.asc("place_id")], most)

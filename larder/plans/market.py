@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from larder.functions import food
 from larder.functions.measure import EUR, convert, haversine_km, round2
 from larder.functions.text import json_ld, normalise, og_image, strip_tags
-from larder.operators import ranking
+from larder.operators import near, ranking
 from larder.plans.carriers import table
 from larder.plans.kitchen import NAMES, NAMES_SQL, QUANTITIES, pick
 from larder.plans.shopping import serves
+from larder.sources import layout
+from larder.sources.scratch import fresh_path
 from larder.sources.tables import PRICE, load_prices, prices_of, provider
 
 # The registry of the demonstration, one document per market; _default holds for the others.
@@ -181,12 +183,18 @@ SELECT l_partkey, max(l_suppkey) FILTER (place = 1) AS seller, max(price) FILTER
 
 
 def p17_stores_in_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stores of the wanted categories within 100 km of each nation's middle, 60 of each at most, nearest first."""
+    """Stores of the wanted categories within 300 km of each nation's middle, 60 of each at most, nearest first.
+
+    The stores are laid out along a curve; the circles of the 25 nations (by definition of the table) are ranges of its keys.
+    """
     lat, lon = lambda k, a: (F.col(k) * a % 1000) / 50 + 60, lambda k, a: (F.col(k) * a % 777) / 4 - 180
     middle = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("point_id"), lat("n_nationkey", 331).alias("lat"), lon("n_nationkey", 97).alias("lon"))
     stores = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("place_id"), food.shop_category(pick(("fishmonger", "general", "kiosk", "deli"), F.col("p_partkey"))).alias("category"), lat("p_partkey", 7).alias("plat"), lon("p_partkey", 13).alias("plon"))
-    near = ranking.nearest(middle, stores.where("category <> 'other'"), haversine_km(*[F.col(c) for c in ("lat", "lon", "plat", "plon")]), 60, 300.0)
-    return near.select("point_id", "place_id", "category", "rank", F.round("km", 3).alias("km"))
+    path = fresh_path(spark)
+    layout.write_stores(stores, path)
+    around = layout.stores_around(spark, path, [(r.lat, r.lon, 300.0) for r in middle.collect()]).where("category <> 'other'")
+    found = near.nearest(middle, around, haversine_km(*[F.col(c) for c in ("lat", "lon", "plat", "plon")]), 60, 300.0)
+    return found.select("point_id", "place_id", "category", "rank", F.round("km", 3).alias("km"))
 
 
 P17_SQL = """WITH p AS (SELECT n_nationkey::BIGINT AS point_id, (n_nationkey * 331 % 1000) / 50 + 60 AS lat, (n_nationkey * 97 % 777) / 4 - 180 AS lon FROM nation),
@@ -225,6 +233,21 @@ def s2_place_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 S2_SQL = f"WITH {_CATALOGUE} SELECT key, city, price, confidence FROM c WHERE price > 0 AND market = 'M0' AND city IN ('*', 'rome')"
 
 
+def s2_market_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Baseline and city prices of the markets of one region's nations, from a table of files by country.
+
+    Which countries these are is known only when nations are read: the scan then leaves out the files of the others.
+    """
+    path = fresh_path(spark)
+    layout.write_prices(catalogue_prices(spark, sf_dir).withColumnRenamed("market", "country"), path)
+    europe = table(spark, sf_dir, "nation").where("n_regionkey = 3 and n_nationkey < 20").select(F.concat(F.lit("M"), market_of(F.col("n_nationkey"))).alias("country")).distinct()
+    return layout.read_markets(spark, path, europe).where(F.col("city").isin("*", "rome")).select("country", "key", "city", "price", "confidence")
+
+
+S2_MARKET_SQL = f"""WITH {_CATALOGUE} SELECT market AS country, key, city, price, confidence FROM c
+WHERE price > 0 AND city IN ('*', 'rome') AND market IN (SELECT 'M' || n_nationkey % 4 FROM nation WHERE n_regionkey = 3 AND n_nationkey < 20)"""
+
+
 @provider("observed")
 def observed(spark: SparkSession, place: str) -> DataFrame:
     """lineitem as price rows of parts."""
@@ -352,6 +375,7 @@ QUERIES = {
     "p17_stores_in_radius": (p17_stores_in_radius, P17_SQL),
     "s1_catalogue_prices": (s1_catalogue_prices, S1_SQL),
     "s2_place_prices": (s2_place_prices, S2_SQL),
+    "s2_market_prices": (s2_market_prices, S2_MARKET_SQL),
     "c1_load_prices": (c1_load_prices, C1_SQL),
     "f40_converted": (f40_converted, F40_SQL),
     "f70_locations": (f70_locations, F70_SQL),

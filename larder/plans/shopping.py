@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.measure import haversine_km
 from larder.functions.text import encode_component, host, is_product_page, slug, strip_tags
-from larder.operators import ranking
+from larder.operators import near
 from larder.plans.carriers import table
 from larder.streaming.events import hourly_counts
 
@@ -82,8 +82,7 @@ def c13_nearest_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("point_id"), lat("c_custkey", 37).alias("lat"), lon("c_custkey", 53).alias("lon"))
     stores = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("place_id"), lat("s_suppkey", 91).alias("plat"), lon("s_suppkey", 17).alias("plon"))
     km = haversine_km(*[F.col(c) for c in ("lat", "lon", "plat", "plon")])
-    near = ranking.nearest(points, stores, km, 8, 300.0)
-    return near.select("point_id", "place_id", "rank", F.round("km", 3).alias("km"))
+    return near.nearest(points, stores, km, 8, 300.0).select("point_id", "place_id", "rank", F.round("km", 3).alias("km"))
 
 
 C13_SQL = """WITH p AS (SELECT c_custkey AS point_id, (c_custkey * 37 % 1000) / 50 + 40 AS lat, (c_custkey * 53 % 777) / 40 AS lon FROM customer),
