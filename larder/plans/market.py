@@ -337,7 +337,7 @@ def u2_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recipes of two sets one after the other, and the one of a cuisine whose turn a number is, negative numbers too."""
     part = table(spark, sf_dir, "part")
     sets = [part.where("p_size <= 25").select("p_type", "p_partkey", F.lit(k).alias("part")) if k == 0 else part.where("p_size > 25").select("p_type", "p_partkey", F.lit(k).alias("part")) for k in (0, 1)]
-    ranked = ranking.placed(reduce(DataFrame.unionByName, sets), ["p_type"], [F.asc("part"), F.asc("p_partkey")]).select("p_type", "p_partkey", (F.col("place") - 1).cast("long").alias("turn"))
+    ranked = ranking.numbered(reduce(DataFrame.unionByName, sets), ["p_type"], ["part", "p_partkey"]).select("p_type", "p_partkey", (F.col("place") - 1).cast("long").alias("turn"))
     sizes = part.groupBy("p_type").agg(F.count("*").alias("n"))
     asked = table(spark, sf_dir, "customer").select("c_custkey", pick(("ECONOMY", "PROMO", "STANDARD", "NONE"), F.col("c_custkey")).alias("p_type"), (F.col("c_custkey") * 31 - 700).alias("number"))
     turns = asked.join(F.broadcast(sizes), "p_type", "left").withColumn("turn", F.pmod("number", "n"))
