@@ -1,9 +1,9 @@
 """The k nearest places of every point, by rings of cells that are as small as the places around are dense.
 
 Points and places lie on a sphere in space, where distances are chords, so neither the poles nor the date line
-are special. Cells are cubes whose side is the chord of the radius at level 0 and halves at each level. A point
-starts at the deepest level at which its own cell holds k places: these bound its k-th distance by the cell's
-diagonal, and only the cells which that ball touches are looked at. The nearest of them that hold k places
+are special. Cells are cubes whose side is the chord of the radius at level 0 and halves at each level. The
+deepest cell around a point that holds k places bounds its k-th distance by how far the cell reaches; of the
+next smaller cells, only those which that ball touches are looked at. The nearest of them that hold k places
 together bound it further. A cell of many places (the edge of a town, seen from the country) is split, and
 only the parts that the bound reaches are kept, until no kept cell holds many. So a point meets places in
 proportion to k, wherever it lies.
@@ -32,28 +32,31 @@ def on_sphere(lat: Column, lon: Column) -> dict[str, Column]:
     return {"x": EARTH_KM * F.cos(a) * F.cos(b), "y": EARTH_KM * F.cos(a) * F.sin(b), "z": EARTH_KM * F.sin(a)}
 
 
-def _side(chord: float) -> Column:
-    return chord * F.pow(F.lit(0.5), F.col("level"))
+def _side(chord: float, level: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(chord / 2**k) for k in range(LEVELS + 1)]), (level + 1).cast("int"))
 
 
-def _least(v: str, side: Column) -> Column:
+def _square(parts: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, (p * p for p in parts))
+
+
+def _most(v: str, side: Column) -> Column:
+    """How far a cell reaches from the point along an axis."""
     low = F.col(f"c{v}") * side
-    return F.greatest(low - F.col(v), F.col(v) - low - side, F.lit(0.0))
+    return F.greatest(F.col(v) - low, low + side - F.col(v))
 
 
-def _measured(df: DataFrame, chord: float) -> DataFrame:
-    """Cells with the squares of their least and most distance from the point; those that don't touch the sphere or the ball go."""
-    side = _side(chord)
-    inner, outer, least, most = [], [], [], []
+def _measured(df: DataFrame) -> DataFrame:
+    """Cells (of a side) with the squares of their least and most distance from the point; those that don't touch the sphere or the ball go."""
+    side = F.col("side")
+    inner, outer, least = [], [], []
     for v in "xyz":
         low = F.col(f"c{v}") * side
         inner.append(F.greatest(low, -low - side, F.lit(0.0)))
-        outer.append(F.greatest(F.abs(low), F.abs(low + side)))
-        least.append(_least(v, side))
-        most.append(F.greatest(F.abs(F.col(v) - low), F.abs(low + side - F.col(v))))
-    square = lambda parts: reduce(lambda a, b: a + b, (p * p for p in parts))
-    shell = (square(inner) <= (EARTH_KM + SLACK) ** 2) & (square(outer) >= (EARTH_KM - SLACK) ** 2)
-    return df.where(shell).withColumns({"least": square(least), "most": square(most)}).where("least <= bound * bound")
+        outer.append(F.greatest(-low, low + side))
+        least.append(F.greatest(low - F.col(v), F.col(v) - low - side, F.lit(0.0)))
+    shell = (_square(inner) <= (EARTH_KM + SLACK) ** 2) & (_square(outer) >= (EARTH_KM - SLACK) ** 2)
+    return df.withColumn("least", _square(least)).where("least <= bound * bound").where(shell).withColumn("most", _square([_most(v, side) for v in "xyz"]))
 
 
 def _tightened(df: DataFrame, k: int) -> DataFrame:
@@ -67,7 +70,8 @@ def _tightened(df: DataFrame, k: int) -> DataFrame:
 def candidates(points: DataFrame, places: DataFrame, k: int, radius_km: float) -> DataFrame:
     """point_id, lat, lon and every place among which its k nearest within the radius are sure to be."""
     chord = 2 * EARTH_KM * math.sin(min(radius_km / (2 * EARTH_KM), math.pi / 2)) * (1 + 1e-9) + SLACK
-    cells = {f"c{v}": F.floor(F.col(v) / _side(chord)) for v in "xyz"}
+    side = _side(chord, F.col("level"))
+    cells = {f"c{v}": F.floor(F.col(v) / side) for v in "xyz"}
     levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("level")
     first = ranked(places, ["plat", "plon"], [F.asc("place_id")], k, "__same").drop("__same")  # of places at one spot, only k can matter
     dealt = kept(first.withColumns(on_sphere(F.col("plat"), F.col("plon"))))
@@ -75,23 +79,26 @@ def candidates(points: DataFrame, places: DataFrame, k: int, radius_km: float) -
     nodes = kept(dealt.select("x", "y", "z", levels).withColumns(cells).groupBy(*CELL).agg(F.count("*").alias("n")))
 
     at = points.select("point_id", "lat", "lon").withColumns(on_sphere(F.col("lat"), F.col("lon")))
-    own = at.select("point_id", "x", "y", "z", levels).withColumns(cells).join(nodes.where(F.col("n") >= k), CELL)
-    start = at.join(own.groupBy("point_id").agg(F.max("level").alias("level")), "point_id", "left")
-    diagonal = math.sqrt(3) * _side(chord) + SLACK
-    ball = start.withColumn("bound", F.coalesce(F.least(F.lit(chord), diagonal), F.lit(chord))).withColumn("level", F.coalesce("level", F.lit(0)))
+    own = at.select("point_id", "x", "y", "z", levels).withColumns(cells).join(nodes.where(F.col("n") >= k).drop("n"), CELL)
+    reach = F.sqrt(_square([_most(v, side) for v in "xyz"])) + SLACK
+    deepest = own.groupBy("point_id").agg(F.max(F.struct("level", reach.alias("reach"))).alias("own"))
+    start = at.join(deepest, "point_id", "left")
+    held = F.col("own").isNotNull()
+    ball = start.withColumn("bound", F.when(held, F.least(F.lit(chord), "own.reach")).otherwise(chord)).withColumn("level", F.when(held, F.least(F.col("own.level") + 1, F.lit(LEVELS))).otherwise(0)).drop("own")
+    ball = kept(ball.withColumn("side", side))
     for v in "xyz":
-        ends = [F.floor((F.col(v) + sign * F.col("bound")) / _side(chord)) for sign in (-1, 1)]
+        ends = [F.floor((F.col(v) + sign * F.col("bound")) / F.col("side")) for sign in (-1, 1)]
         ball = ball.withColumn(f"c{v}", F.explode(F.sequence(*ends)))
-    found = kept(_tightened(_measured(ball, chord).join(nodes, CELL), k))
+    found = kept(_tightened(_measured(ball).join(nodes, CELL), k))
 
     many = (F.col("n") > MANY * k) & (F.col("level") < LEVELS)
     settled = [found.where(~many)]
     dense = found.where(many)
     while not dense.isEmpty():
-        halves = dense.drop("n").withColumn("level", F.col("level") + 1)
+        halves = dense.drop("n").withColumns({"level": F.col("level") + 1, "side": F.col("side") / 2})
         for v in "xyz":
             halves = halves.withColumn(f"c{v}", F.explode(F.array(2 * F.col(f"c{v}"), 2 * F.col(f"c{v}") + 1)))
-        found = kept(_tightened(_measured(halves, chord).join(nodes, CELL), k))
+        found = kept(_tightened(_measured(halves).join(nodes, CELL), k))
         settled.append(found.where(~many))
         dense = found.where(many)
     met = reduce(DataFrame.unionByName, settled).select("point_id", "lat", "lon", *CELL)

@@ -11,6 +11,7 @@ from larder.functions.quantity import js_round, pack_count, parse_shopping
 from larder.functions.text import capitalise, normalise
 from larder.operators import baskets, matching, ranking
 from larder.plans.carriers import customers, places, table
+from larder.sources.scratch import kept
 
 # Ingredient names, quantities and priced goods that rows of the driver's tables stand for.
 NAMES = (
@@ -68,11 +69,15 @@ CATEGORY_SQL = """CASE WHEN regexp_matches(lower(name), 'chicken|beef|pork|lamb|
 def grocery(of: DataFrame, scale: Column) -> DataFrame:
     """basket, key, name, kind, amount, quantity, category, place of lines (basket, name, text, ord): A4 with F4, F5, F27, P12 and O1.
 
-    place is the row's place in its basket's list: by category, then name, lower case first.
+    place is the row's place in its basket's list: by category, then name, lower case first. Names and texts are read
+    once each, however many lines hold them; both tables are written on the way, as the optimiser would else move their
+    rules down to the lines again.
     """
-    keyed = of.withColumns({"key": food.plain_name(F.col("name")), "q": food.recipe_quantity(F.col("text"))}).where(food.is_bought(F.col("key")) & F.col("q").isNotNull())
-    parsed = keyed.select("basket", "key", "name", "ord", F.col("q.kind").alias("kind"), (F.col("q.amount") * F.greatest(F.lit(0.25), scale)).alias("amount"), F.col("q.label").alias("label"))
-    merged = baskets.merge_lines(parsed).withColumn("category", food.category(F.col("name"))).withColumn("name", capitalise(F.col("name")))
+    names = kept(kept(of.select("name").distinct()).withColumn("key", food.plain_name(F.col("name"))).where(food.is_bought(F.col("key"))))
+    texts = kept(kept(of.select("text").distinct()).withColumn("q", food.recipe_quantity(F.col("text"))).where("q is not null").select("text", F.col("q.kind").alias("kind"), F.col("q.amount").alias("amount"), F.col("q.label").alias("label")))
+    parsed = of.withColumn("by", F.greatest(F.lit(0.25), scale)).join(names, "name").join(texts, "text").select("basket", "key", "name", "ord", "kind", (F.col("amount") * F.col("by")).alias("amount"), "label")
+    labels = kept(names.select("name", food.category(F.col("name")).alias("category"), capitalise(F.col("name")).alias("shown")))
+    merged = baskets.merge_lines(parsed).join(labels, "name").withColumn("name", F.col("shown"))
     return ranking.placed(merged, ["basket"], [F.asc(food.category_place(F.col("category"))), F.asc(F.lower("name")), F.desc("name")], "place")
 
 
@@ -121,7 +126,7 @@ def c12_import_grocery(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = merged.select("basket", "i.name", "i.text", F.struct("day", "meal", "pos").alias("ord"))
     people, weeks = F.col("basket") % 6 + 1, F.when(F.col("basket") % 3 == 0, 30.0 / 7).otherwise(1.0)
     swaps = spark.createDataFrame([("Bread", "Wholegrain bread"), ("Rice", "Potatoes")], "name string, other string")
-    listed = grocery(rows, people / 4 * weeks).join(F.broadcast(swaps), "name", "left")
+    listed = grocery(kept(rows), people / 4 * weeks).join(F.broadcast(swaps), "name", "left")
     return listed.select("basket", "key", F.coalesce("other", "name").alias("name"), "quantity", "category", "place")
 
 

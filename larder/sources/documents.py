@@ -6,12 +6,15 @@ finds. Nothing is joined or exploded until faults are listed, so a document is o
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larder.sources.scratch import kept
+
 
 @dataclass(frozen=True)
 class Field:
@@ -47,11 +50,12 @@ PLAN_TYPE = """struct<budgetAnalysis: string, estimatedCost: double, safetyMargi
   mealPlan: array<struct<day: string, breakfast: string, lunch: string, dinner: string>>, groceryList: array<struct<name: string, quantity: string, estimatedCost: double, category: string>>, savingTips: array<string>>"""
 
 FAULTS = "array<struct<path: string, reason: string>>"
-_KINDS = {"string": "^STRING", "number": "^(BIGINT|DECIMAL|DOUBLE|FLOAT)", "boolean": "^BOOLEAN", "object": "^OBJECT", "array": "^ARRAY"}
+_KINDS = {"string": ("STRING",), "number": ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), "boolean": ("BOOLEAN",), "object": ("OBJECT",), "array": ("ARRAY",)}
 
 
-def _is(value: Column, kind: str) -> Column:
-    return F.coalesce(F.schema_of_variant(value).rlike(_KINDS[kind]), F.lit(False))
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), value being worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def _fault(path: Column, reason: str) -> Column:
@@ -61,7 +65,6 @@ def _fault(path: Column, reason: str) -> Column:
 def _faults(at: Column, value: Column, field: Field) -> Column:
     """The faults of one value (null: it is missing) at a path; of its items and their fields too."""
     none = F.array().cast(FAULTS)
-    is_null = F.coalesce(F.is_variant_null(value), F.lit(False))
     inner = none
     if field.kind == "object":
         inner = _of_object(at, value, field.fields)
@@ -73,17 +76,19 @@ def _faults(at: Column, value: Column, field: Field) -> Column:
         inner = F.when(F.try_variant_get(value, "$", "string").isin(*field.among), none).otherwise(_fault(at, "not one of " + ", ".join(field.among)))
     elif field.least is not None:
         inner = F.when(F.try_variant_get(value, "$", "double") >= field.least, none).otherwise(_fault(at, f"below {field.least:g}"))
-    missing = none if field.optional else _fault(at, "missing")
-    return (
-        F.when(value.isNull(), missing)
-        .when(is_null, none if field.nullable else _fault(at, f"expected {field.kind}"))
-        .when(~_is(value, field.kind), _fault(at, f"expected {field.kind}"))
-        .otherwise(inner)
-    )
+    missing, wrong = none if field.optional else _fault(at, "missing"), _fault(at, f"expected {field.kind}")
+
+    def tested(said: Column) -> Column:
+        """said: the value's kind, null where it is missing."""
+        null = none if field.nullable else wrong
+        return F.when(said.isNull(), missing).when(reduce(lambda a, b: a | b, (said.startswith(k) for k in _KINDS[field.kind])), inner).when(said == "VOID", null).otherwise(wrong)
+
+    return _let(F.schema_of_variant(value), tested)
 
 
 def _of_object(at: Column, value: Column, fields: Sequence[Field]) -> Column:
-    return F.flatten(F.array(*[_faults(F.concat(at, F.lit(f".{f.name}")), F.try_variant_get(value, f"$.{f.name}", "variant"), f) for f in fields]))
+    own = lambda f: _let(F.try_variant_get(value, f"$.{f.name}", "variant"), lambda v: _faults(F.concat(at, F.lit(f".{f.name}")), v, f))
+    return F.flatten(F.array(*[own(f) for f in fields]))
 
 
 def checked(texts: DataFrame, contract: Sequence[Field], kind: str) -> tuple[DataFrame, DataFrame]:
@@ -93,8 +98,8 @@ def checked(texts: DataFrame, contract: Sequence[Field], kind: str) -> tuple[Dat
     at $. Fields that the contract lacks are let go.
     """
     value = texts.select("id", F.try_parse_json("document").alias("value"))
-    root = F.lit("$")
-    faults = F.when(F.col("value").isNull(), _fault(root, "no JSON")).when(~_is(F.col("value"), "object"), _fault(root, "expected object")).otherwise(_of_object(root, F.col("value"), contract))
-    tested = value.withColumn("faults", faults)
-    good = tested.where(F.size("faults") == 0).select("id", F.variant_get("value", "$", kind).alias("record"))
+    faults = _faults(F.lit("$"), F.col("value"), Field("", "object", fields=tuple(contract)))
+    whole = value.select("id", "value", F.when(F.col("value").isNull(), _fault(F.lit("$"), "no JSON")).otherwise(faults).alias("faults"))
+    tested = kept(whole.select("id", "faults", F.when(F.size("faults") == 0, F.variant_get("value", "$", kind)).alias("record")))
+    good = tested.where(F.size("faults") == 0).select("id", "record")
     return good, tested.select("id", F.explode("faults").alias("f")).select("id", "f.path", "f.reason")
