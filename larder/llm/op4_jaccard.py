@@ -33,6 +33,8 @@ from larder.llm.text import mix, slices, words
 
 WIDTH = 5
 PER_BUCKET, PER_CHUNK = 500_000, 1_500_000
+#: Sets of a chunk; the step from one to another fits two bytes.
+MOST_HELD = 60_000
 LONGEST = 16
 #: Cost of a verification against sending one candidate from a list.
 VERIFY_COST = 6.0
@@ -126,16 +128,20 @@ def postings(width: int, buckets: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             n = np.array([len(s) for s in held], "<u4")
-            rows = [(-1 - chunk, chunk, np.array(ids, "<i8").tobytes(), n.tobytes(), b"")]
+            yield from _rows([(-1 - chunk, chunk, np.array(ids, "<i8").tobytes(), n.tobytes(), b"")]).to_batches()
             allh, owner = np.concatenate(held), np.repeat(np.arange(len(held), dtype="<u4"), n)
             bucket = high_bits(allh, buckets)
             order = np.argsort(bucket.astype(np.uint16) if buckets <= 65536 else bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            rows = []
             for k in np.flatnonzero(np.diff(edges)):
                 own = order[edges[k] : edges[k + 1]]
-                counts = np.bincount(owner[own], minlength=len(held)).astype("<u4")
-                rows.append((int(k), chunk, pack6(allh[own]), counts.tobytes(), b""))
-            yield from _rows(rows).to_batches(max_chunksize=64)
+                rows.append((int(k), chunk, pack6(allh[own]), owner_steps(owner[own]), b""))
+                if len(rows) == 64:
+                    yield from _rows(rows).to_batches()
+                    rows = []
+            if rows:
+                yield from _rows(rows).to_batches()
 
         for batch in batches:
             for part in slices(batch, "text"):
@@ -145,7 +151,10 @@ def postings(width: int, buckets: int):
                         held.append(own)
                         ids.append(vertex)
                         seen.add(vertex)
-                if sum(map(len, held)) >= PER_CHUNK or len(held) > 60_000:
+                        if len(held) == MOST_HELD:
+                            yield from flush()
+                            held, ids, chunk = [], [], chunk + 1
+                if sum(map(len, held)) >= PER_CHUNK:
                     yield from flush()
                     held, ids, chunk = [], [], chunk + 1
         if held:
@@ -154,6 +163,15 @@ def postings(width: int, buckets: int):
     return run
 
 
+def owner_steps(owner: np.ndarray) -> bytes:
+    """Ascending numbers of a chunk's sets, as the steps between them: two bytes a hash, however many buckets there are."""
+    return np.diff(owner, prepend=owner.dtype.type(0)).astype("<u2").tobytes()
+
+
+def owners_of(steps: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(steps, "<u2"), dtype="<u4")
+
+
 def frequencies(table: pa.Table) -> pa.Table:
     """Hashes of a bucket from all chunks -> for each chunk those in two sets or more, with their frequency."""
     if table.column("bucket")[0].as_py() < 0:
@@ -168,8 +186,7 @@ def frequencies(table: pa.Table) -> pa.Table:
     df[order] = np.repeat(np.diff(edges), np.diff(edges))
     rows, at = [], 0
     for r, own in zip(parts, hashes, strict=True):
-        counts = np.frombuffer(r["y"], "<u4")
-        owner = np.repeat(np.arange(len(counts), dtype="<u4"), counts)
+        owner = owners_of(r["y"])
         f = df[at : at + len(own)]
         at += len(own)
         keep = f > 1

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larder.llm import op11_manifest, op12_negatives, op13_bpe, queries
+from larder.llm import op4_jaccard, op11_manifest, op12_negatives, op13_bpe, queries
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, g string, idx long, node string, part int, path string, ids long, bytes string, place long"
@@ -203,3 +203,18 @@ def test_queries_cover_their_tables(spark):
     got = queries.op12_hard_negatives(spark, SF).collect()
     moved = [(r.vec_id, (r.label + 1) % 10 if r.vec_id % 7 == 0 else r.label, [int(np.floor(256 * float(v))) for v in r.embedding]) for r in vectors.collect()]
     assert Counter(map(tuple, got)) == Counter(plain_negatives(moved, lambda i: i % 100 == 0))
+
+
+def test_postings_follow_the_hashes_and_not_the_buckets():
+    rng = np.random.default_rng(9)
+    owner, h = np.sort(rng.integers(0, 60_000, 200_000)).astype("<u4"), rng.integers(0, 2**63, 200_000, dtype=np.uint64) * np.uint64(2)
+    for buckets in (256, 131_072):
+        bucket, total = op4_jaccard.high_bits(h, buckets), 0
+        order = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for k in np.flatnonzero(np.diff(edges)):
+            own = owner[order[edges[k] : edges[k + 1]]]
+            steps = op4_jaccard.owner_steps(own)
+            assert (op4_jaccard.owners_of(steps) == own).all()
+            total += len(steps)
+        assert total == 2 * len(owner)
