@@ -350,7 +350,7 @@ SELECT c_custkey, a.p_type, p_partkey AS recipe FROM a LEFT JOIN r ON r.p_type =
 
 
 def o4_saved_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each customer's saved plans, the newest first; deleted ones are gone."""
+    """Each customer's saved plans, the newest first; those of one status don't count as saved."""
     saved = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select("o_custkey", "o_orderkey", F.col("o_orderdate").alias("at"), "o_totalprice")
     return ranking.placed(saved, ["o_custkey"], [F.desc("at"), F.desc("o_orderkey")]).select("o_custkey", "place", "o_orderkey", "o_totalprice")
 

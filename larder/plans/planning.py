@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.functions.measure import budget_tier, draw, lcg_states, round2
-from larder.functions.quantity import js_round, parse_shopping, scale_template
+from larder.functions.quantity import js_round, lookup, parse_shopping, scale_template
 from larder.functions.text import capitalise
 from larder.operators import baskets, ranking
 from larder.plans.carriers import table
@@ -122,18 +122,33 @@ FROM (SELECT *, CASE WHEN weekly_ THEN 30.0::DOUBLE / 7 ELSE 1.0::DOUBLE END / l
 )
 
 
-def c6_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to five remarks per profile, each only where its number is above 0."""
-    s = score(profiles(spark, sf_dir))
+# What a household spends in a week, by city; OTHER_WEEKLY elsewhere.
+CITY_WEEKLY = {"london": 135, "naples": 95, "berlin": 110, "dubai": 165}
+OTHER_WEEKLY = 120
+_CITIES = ("London", "NAPLES", "Berlin", "dubai", "Rome")
+
+
+def insights(scored: DataFrame, city: Column) -> DataFrame:
+    """id, key, value: up to four remarks on each scored profile, each only where its number is above 0."""
+    average = F.coalesce(lookup(CITY_WEEKLY, F.lower(city)), F.lit(OTHER_WEEKLY))
     row = lambda key, value: F.when(value > 0, F.struct(F.lit(key).alias("key"), value.cast("double").alias("value")))
-    below = js_round((120 - F.col("weekly")) / 120 * 100)
-    return s.select("id", F.explode(F.array_compact(F.array(row("below_average", below), row("reused", F.col("reused")), row("annual_savings", F.col("annual_savings")), row("zero_spend", F.col("zero_spend")), row("saved_kg", F.col("saved_kg"))))).alias("r")).select("id", "r.key", "r.value")
+    below = js_round((average - F.col("weekly")) / average * 100)
+    rows = [row("below_average", below), row("reused", F.col("reused")), row("annual_savings", F.col("annual_savings")), row("zero_spend", F.col("zero_spend"))]
+    return scored.select("id", F.explode(F.array_compact(F.array(*rows))).alias("r")).select("id", "r.key", "r.value")
+
+
+def c6_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remarks on every profile, spending compared with the average of its city."""
+    city = F.element_at(F.array(*[F.lit(c) for c in _CITIES]), (F.col("id") % 5 + 1).cast("int"))
+    return insights(score(profiles(spark, sf_dir)), city)
 
 
 C6_SQL = (
     C5_CTE
-    + f""", e AS (SELECT id, {_r("(120 - " + _r("spend / scale", "100") + ") / 120 * 100")} AS below, savings * CASE WHEN weekly_ THEN 52 ELSE 12 END AS annual, saved_kg, greatest(least(items, 12), CASE WHEN zero = 1 THEN least(6, greatest(3, floor(items * 0.25::DOUBLE + 0.5))) ELSE 0 END) AS reused, CASE WHEN zero = 1 THEN {_r(_r("spend / scale", "100") + " / 7", "100")} ELSE 0.0 END AS zsd FROM d)
-SELECT id, 'below_average' AS key, below::DOUBLE AS value FROM e WHERE below > 0 UNION ALL SELECT id, 'reused', reused::DOUBLE FROM e WHERE reused > 0 UNION ALL SELECT id, 'zero_spend', zsd::DOUBLE FROM e WHERE zsd > 0 UNION ALL SELECT id, 'annual_savings', annual::DOUBLE FROM e WHERE annual > 0 UNION ALL SELECT id, 'saved_kg', saved_kg::DOUBLE FROM e WHERE saved_kg > 0"""
+    + f""", a AS (SELECT *, [135, 95, 110, 165, 120][id % 5 + 1] AS average FROM d),
+e AS (SELECT id, {_r("(average - " + _r("spend / scale", "100") + ") / average * 100")} AS below, savings * CASE WHEN weekly_ THEN 52 ELSE 12 END AS annual, greatest(least(items, 12), CASE WHEN zero = 1 THEN least(6, greatest(3, floor(items * 0.25::DOUBLE + 0.5))) ELSE 0 END) AS reused, CASE WHEN zero = 1 THEN {_r(_r("spend / scale", "100") + " / 7", "100")} ELSE 0.0 END AS zsd FROM a)
+SELECT id, 'below_average' AS key, below::DOUBLE AS value FROM e WHERE below > 0 UNION ALL SELECT id, 'reused', reused::DOUBLE FROM e WHERE reused > 0
+UNION ALL SELECT id, 'zero_spend', zsd::DOUBLE FROM e WHERE zsd > 0 UNION ALL SELECT id, 'annual_savings', annual::DOUBLE FROM e WHERE annual > 0"""
 )
 
 # ---- C7, P1, F45: seeded plans ----
