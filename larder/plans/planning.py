@@ -145,8 +145,8 @@ def c6_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 C6_SQL = (
     C5_CTE
-    + f""", a AS (SELECT *, [135, 95, 110, 165, 120][id % 5 + 1] AS average FROM d),
-e AS (SELECT id, {_r("(average - " + _r("spend / scale", "100") + ") / average * 100")} AS below, savings * CASE WHEN weekly_ THEN 52 ELSE 12 END AS annual, greatest(least(items, 12), CASE WHEN zero = 1 THEN least(6, greatest(3, floor(items * 0.25::DOUBLE + 0.5))) ELSE 0 END) AS reused, CASE WHEN zero = 1 THEN {_r(_r("spend / scale", "100") + " / 7", "100")} ELSE 0.0 END AS zsd FROM a)
+    + f""", av AS (SELECT *, [135, 95, 110, 165, 120][id % 5 + 1] AS average FROM d),
+e AS (SELECT id, {_r("(average - " + _r("spend / scale", "100") + ") / average * 100")} AS below, savings * CASE WHEN weekly_ THEN 52 ELSE 12 END AS annual, greatest(least(items, 12), CASE WHEN zero = 1 THEN least(6, greatest(3, floor(items * 0.25::DOUBLE + 0.5))) ELSE 0 END) AS reused, CASE WHEN zero = 1 THEN {_r(_r("spend / scale", "100") + " / 7", "100")} ELSE 0.0 END AS zsd FROM av)
 SELECT id, 'below_average' AS key, below::DOUBLE AS value FROM e WHERE below > 0 UNION ALL SELECT id, 'reused', reused::DOUBLE FROM e WHERE reused > 0
 UNION ALL SELECT id, 'zero_spend', zsd::DOUBLE FROM e WHERE zsd > 0 UNION ALL SELECT id, 'annual_savings', annual::DOUBLE FROM e WHERE annual > 0"""
 )
