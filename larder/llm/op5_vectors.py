@@ -3,11 +3,12 @@
 A pass orders the vectors of a label lexicographically by concatenated random hashes: the signs of random
 projections, taken around the label's mean, so that a label of one topic is spread too. Neighbours in that
 order are compared in bounded windows; the pairs that link are united across all passes, of which a larger
-label gets more. Inside each component found, every pair is then counted in pairs of blocks.
+label gets more. Batches of passes go on until QUIET of them in a row unite nothing new among all vectors.
+Inside each component found, every pair is then counted in pairs of blocks.
 
 An audit compares a sample of each label's vectors with the whole label. Where the passes found under LEAST
-of the sample's links, and in labels so small that all pairs are fewer comparisons than the passes, every
-pair of the label is compared in pairs of blocks instead. Exact copies are one class with a count.
+of the sample's links, every pair of the label is compared in pairs of blocks instead. Exact copies are one
+class with a count.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from larder.llm.storage import cut
 
 #: Passes of a label of up to MANY vectors, and more for each doubling above; vectors of a window, windows held at once.
 PASSES, MORE, MANY, WINDOW, HELD = 16, 2, 4096, 64, 64
-#: Labels of so many vectors have fewer pairs than comparisons in the passes.
-SMALL = 2 * PASSES * WINDOW
+#: Batches of passes in a row that unite nothing new before passes end.
+QUIET = 2
 #: Sampled vectors of a label, and the share of their links that passes have to find.
 AUDIT, LEAST = 256, 0.995
 PARTITION_BYTES = 16 << 20
@@ -84,7 +85,7 @@ def mean(table: pa.Table) -> pa.Table:
     return pa.table([table.column("label").slice(0, 1), table.column("dim").slice(0, 1), pa.array([n]), pa.array([(total / n).tobytes()], pa.binary())], names=["label", "dim", "rows", "mean"])
 
 
-def keyed(kind: type):
+def keyed(kind: type, turn: int):
     """vertex, label, dim, vector, mean, rows -> for each pass a row with its sort key: the signs of 64 projections, the first most significant."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +100,7 @@ def keyed(kind: type):
                 x = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None] - matrix(part.column("mean"), np.float64)
                 for number in range(PASSES + MORE * int(deep[own].max())):
                     again = np.flatnonzero(number < PASSES + MORE * deep[own])
-                    planes = np.random.default_rng([number, int(dim)]).standard_normal((64, int(dim)))
+                    planes = np.random.default_rng([number, int(dim), turn]).standard_normal((64, int(dim)))
                     keys = np.packbits(x[again] @ planes.T > 0, axis=1).view(">u8").ravel().astype(np.uint64)
                     some = part.take(pa.array(again))
                     columns = [some.column("label"), some.column("dim"), pa.array(np.full(len(again), number, np.int32)), pa.array((keys ^ np.uint64(1 << 63)).view(np.int64)), some.column("vertex"), some.column("vector")]
@@ -243,14 +244,34 @@ def links(members: DataFrame, threshold: float, kind: type) -> DataFrame:
     return cut(keyed.repartition(parts, *PAIR).sortWithinPartitions(*PAIR).mapInArrow(compared(threshold, kind), "vertex long, star long, around long"), "vector-links")
 
 
-def passed(members: DataFrame, threshold: float, kind: type) -> DataFrame:
-    """Stars (a, b) of the links that the passes find. members: vertex, label, dim, vector, mean, rows; each row is sent once a pass."""
-    rows = members.select("vertex", "label", "dim", "vector", "mean", "rows").mapInArrow(keyed(kind), "label long, dim int, pass int, key long, vertex long, vector binary")
+def passed(members: DataFrame, threshold: float, kind: type, batch: int = 0) -> DataFrame:
+    """Stars (a, b) of the links that a batch of passes finds; each batch has hashes of its own. members: vertex, label, dim, vector, mean, rows; each row is sent once a pass."""
+    rows = members.select("vertex", "label", "dim", "vector", "mean", "rows").mapInArrow(keyed(kind, batch), "label long, dim int, pass int, key long, vertex long, vector binary")
     order = ["label", "dim", "pass", "key", "vertex"]
     bytes_ = members.agg(F.sum(F.octet_length("vector"))).first()[0] or 0
     return rows.repartitionByRange(max(1, PASSES * bytes_ // PARTITION_BYTES), *order).sortWithinPartitions(*order).mapInArrow(neighbours(threshold, kind), "a long, b long").distinct()
 
 
+def united(members: DataFrame, threshold: float, kind: type) -> DataFrame:
+    """node, component of what the passes unite: batches of passes go on until QUIET of them in a row unite nothing new among all vectors."""
+    stars, quiet, batch = None, 0, 0
+    while quiet < QUIET:
+        fresh = cut(passed(members, threshold, kind, batch), "vector-stars")
+        if stars is not None:
+            a, b = (found.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")) for end in ("a", "b"))
+            named = fresh.join(a, "a", "left").join(b, "b", "left")
+            fresh = cut(named.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"), "vector-fresh")
+        batch += 1
+        if fresh.isEmpty():
+            quiet += 1
+            found = cut(connected_components(fresh), "vector-components") if stars is None else found
+            stars = fresh if stars is None else stars
+            continue
+        quiet, stars = 0, fresh if stars is None else stars.union(fresh)
+        found = cut(connected_components(cut(stars, "vector-united")), "vector-components")
+    return found
+
+
 def audited(members: DataFrame, threshold: float, kind: type) -> DataFrame:
     """label, dim, vertex, around: the links that about AUDIT vectors of each label have in the whole label."""
     blocks = F.ceil(F.col("rows") / (8 * BLOCK)).cast("int")
@@ -263,13 +284,14 @@ def audited(members: DataFrame, threshold: float, kind: type) -> DataFrame:
     return sample.select("vertex", "label", "dim").join(counted.groupBy("vertex").agg(F.sum("around").alias("around")), "vertex")
 
 
-def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, exact_up_to: int = 0) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding, label).
 
     Only rows of one label are compared. Vectors that are null, empty or zero or hold nulls, NaN or
     infinities, and rows with a null label, have no links and are their own component. Vectors of
     different lengths don't link. Rows with a null vec_id have no links and a null component. Repeated
-    rows are copies and count as links of each other. Empty in, empty out; further columns are left out.
+    rows are copies and count as links of each other. Empty in, empty out; further columns are left out. Labels of
+    up to exact_up_to vectors are compared whole instead of by passes.
     """
     kind = np.float32 if dict(vectors.dtypes)["embedding"] == "array<float>" else np.float64
     plain = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding")
@@ -282,21 +304,18 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataF
     members = classes.join(labels, ["label", "dim"])
     whole = lambda df: df.select("vertex", "label", "dim", F.lit(0).cast("long").alias("part"), "n", "vector")
 
-    met = links(whole(members.where(F.col("rows") <= SMALL)), threshold, kind)
-    stars = met.where("star <> vertex").select(F.col("star").alias("a"), F.col("vertex").alias("b"))
-    large = members.where(F.col("rows") > SMALL)
-    if not labels.where(F.col("rows") > SMALL).isEmpty():
-        found = cut(connected_components(cut(passed(large, threshold, kind), "vector-stars")), "vector-components")
-        inside = large.join(found, F.col("vertex") == F.col("node")).withColumn("part", F.col("component"))
-        held = links(inside.select("vertex", "label", "dim", "part", "n", "vector"), threshold, kind)
-        told = audited(large, threshold, kind).join(held.groupBy("vertex").agg(F.sum("around").alias("held")), "vertex", "left")
-        recall = told.groupBy("label", "dim").agg(F.sum("around").alias("around"), F.sum(F.coalesce("held", F.lit(0))).alias("held"))
-        weak = cut(recall.where(F.col("held") < LEAST * F.col("around")).select("label", "dim"), "vector-weak")
-        if not weak.isEmpty():
-            held = held.join(large.join(weak, ["label", "dim"]).select("vertex"), "vertex", "left_anti")
-            more = links(whole(large.join(weak, ["label", "dim"])), threshold, kind)
-            held, stars = held.union(more), stars.union(more.where("star <> vertex").select("star", "vertex"))
-        met, stars = met.union(held), stars.union(found.where("node <> component").select("component", "node"))
+    large = members.where(F.col("rows") > exact_up_to)
+    found = united(large, threshold, kind)
+    inside = large.join(found, F.col("vertex") == F.col("node")).withColumn("part", F.col("component"))
+    met = links(inside.select("vertex", "label", "dim", "part", "n", "vector"), threshold, kind)
+    stars = found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+    told = audited(large, threshold, kind).join(met.groupBy("vertex").agg(F.sum("around").alias("held")), "vertex", "left")
+    recall = told.groupBy("label", "dim").agg(F.sum("around").alias("around"), F.sum(F.coalesce("held", F.lit(0))).alias("held"))
+    weak = cut(recall.where(F.col("held") < LEAST * F.col("around")).select("label", "dim").union(labels.where(F.col("rows") <= exact_up_to).select("label", "dim")), "vector-weak")
+    if not weak.isEmpty():
+        met = met.join(members.join(weak, ["label", "dim"]).select("vertex"), "vertex", "left_anti")
+        more = links(whole(members.join(weak, ["label", "dim"])), threshold, kind)
+        met, stars = met.union(more), stars.union(more.where("star <> vertex").select("star", "vertex"))
     named = cut(connected_components(cut(stars.distinct(), "vector-edges")), "vector-named")
     around = met.groupBy("vertex").agg(F.sum("around").alias("around"))
     names = smallest_names(named, classes.select(F.col("vertex").alias("node"), F.col("first").alias("name")))
