@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larder.llm import op4_jaccard, op11_manifest, op12_negatives, op13_bpe, queries
+from larder.llm import op4_jaccard, op5_vectors, op11_manifest, op12_negatives, op13_bpe, queries
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, g string, idx long, node string, part int, path string, ids long, bytes string, place long"
@@ -218,3 +218,23 @@ def test_postings_follow_the_hashes_and_not_the_buckets():
             assert (op4_jaccard.owners_of(steps) == own).all()
             total += len(steps)
         assert total == 2 * len(owner)
+
+
+def test_passes_lose_no_planted_link_among_close_topics(spark):
+    rng = np.random.default_rng(21)
+    topics = rng.standard_normal((8, 64))
+    topics /= np.linalg.norm(topics, axis=1, keepdims=True)
+    own = rng.standard_normal((8 * 700, 64))
+    own /= np.linalg.norm(own, axis=1, keepdims=True)
+    x = np.sqrt(0.95) * np.repeat(topics, 700, axis=0) + np.sqrt(0.05) * own
+    for k in range(60):
+        x[90 * k + 1] = x[90 * k] + 0.018 * rng.standard_normal(64)
+    x = x.astype(np.float32).astype(float)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    df = spark.createDataFrame([(k, v.tolist(), 3) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int").repartition(6)
+    got = {r.vec_id: r.n_links for r in op5_vectors.near_duplicate_vectors(df).collect()}
+    assert want.sum() >= 100 and [got[k] for k in range(len(x))] == want.tolist()
+    whole = {r.vec_id: r.component_id for r in op5_vectors.near_duplicate_vectors(df, exact_up_to=10_000).collect()}
+    passes = {r.vec_id: r.component_id for r in op5_vectors.near_duplicate_vectors(df).collect()}
+    assert whole == passes
