@@ -4,25 +4,25 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Characters with a number of their own; other lower letters, capitals, digits and the rest share one each.
+#: Signs with a number of their own, as each letter a-z has, whatever its case; digits, other letters and the rest share one each.
 SIGNS = " .@-_+()[]:;,/=\"'#$%&*<>|!?\n\\{}~^`"
-N_CHARS = len(SIGNS) + 6
+N_CHARS = len(SIGNS) + 30
 
 
-_CLASS = np.full(128, 5, np.int64)
-_CLASS[48:58], _CLASS[97:123], _CLASS[65:91] = 1, 2, 3
-_CLASS[[ord(c) for c in SIGNS]] = np.arange(len(SIGNS)) + 6
+_CLASS = np.full(128, 3, np.int64)
+_CLASS[48:58], _CLASS[97:123], _CLASS[65:91] = 1, np.arange(26) + 4, np.arange(26) + 4
+_CLASS[[ord(c) for c in SIGNS]] = np.arange(len(SIGNS)) + 30
 
 
 def encode(text: str) -> np.ndarray:
     """Character classes 1 .. N_CHARS - 1 (0 is padding)."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    out = np.full(len(codes), 5, np.int64)
+    out = np.full(len(codes), 3, np.int64)
     plain = codes < 128
     out[plain] = _CLASS[codes[plain]]
     for i in np.flatnonzero(~plain):
         if text[i].isalpha():
-            out[i] = 4
+            out[i] = 2
     return out
 
 
@@ -71,25 +71,32 @@ class Tagger:
         e = both @ self.p["W"] + self.p["U"]
         return (e, both, kf, kb) if keep else e
 
-    def paths(self, e: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best tag paths of sequences with the emissions e (length x sequences x tags), and each character's probability of its tag.
+    def best(self, e: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Best tag paths of sequences with the emissions e (length x sequences x tags).
 
         Sequences end at their lengths: behind them no tag costs anything and only the last one goes on.
         """
         length, n, k = e.shape
-        at = np.arange(length)[:, None]
-        beyond = at >= lengths[None, :]
-        e = np.where(beyond[:, :, None], 0.0, e)
-        stay = np.where(np.eye(k, dtype=bool), 0.0, -1e9)
+        beyond, stay = self._beyond(e, lengths)
         score, back = e[0] + self.p["S"], np.empty((length, n, k), np.int8)
         for t in range(1, length):
             via = score[:, :, None] + np.where(beyond[t][:, None, None], stay, self.p["T"])
             back[t] = via.argmax(axis=1)
-            score = via.max(axis=1) + e[t]
+            score = via.max(axis=1) + np.where(beyond[t][:, None], 0.0, e[t])
         path = np.empty((n, length), np.int8)
         path[:, -1] = score.argmax(axis=1)
         for t in range(length - 1, 0, -1):
             path[:, t - 1] = back[t][np.arange(n), path[:, t]]
+        return path
+
+    def _beyond(self, e: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.arange(len(e))[:, None] >= lengths[None, :], np.where(np.eye(e.shape[2], dtype=bool), 0.0, -1e9)
+
+    def paths(self, e: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best tag paths, as best() gives them, and each character's probability of its tag."""
+        path, length = self.best(e, lengths), len(e)
+        beyond, stay = self._beyond(e, lengths)
+        e = np.where(beyond[:, :, None], 0.0, e)
         alpha, beta = np.empty_like(e), np.zeros_like(e)
         alpha[0] = e[0] + self.p["S"]
         for t in range(1, length):
@@ -127,19 +134,18 @@ class Tagger:
         np.add.at(dt, (gold[:-1].ravel(), gold[1:].ravel()), -1 / n)
         grad = {"T": dt, "S": de[0].sum(axis=0), "U": de.sum(axis=(0, 1)), "W": np.tensordot(both, de, ((0, 1), (0, 1)))}
         dboth = de @ self.p["W"].T
-        h = self.hidden
+        h, read = self.hidden, np.eye(N_CHARS)[x.T.ravel()]
         for d, kept, dout in (("f", kf, dboth[:, :, :h]), ("b", kb, dboth[:, :, h:])):
-            dx, dh = np.zeros((N_CHARS, 4 * h)), np.zeros((h, 4 * h))
-            ds, dc = np.zeros((n, h)), np.zeros((n, h))
+            ds, dc, dzs, pasts = np.zeros((n, h)), np.zeros((n, h)), np.empty((length, n, 4 * h)), np.empty((length, n, h))
             for t, ifo, g, before, past, squashed in reversed(kept):
                 ds = ds + dout[t]
                 i, f, o = ifo[:, :h], ifo[:, h : 2 * h], ifo[:, 2 * h :]
                 dc = dc + ds * o * (1 - squashed**2)
                 dz = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), ds * squashed * o * (1 - o), dc * i * (1 - g**2)], axis=1)
-                np.add.at(dx, x[:, t], dz)
-                dh += past.T @ dz
+                dzs[t], pasts[t] = dz, past
                 ds, dc = dz @ self.p[f"H{d}"].T, dc * f
-            grad[f"X{d}"], grad[f"H{d}"] = dx, dh
+            flat = dzs.reshape(-1, 4 * h)
+            grad[f"X{d}"], grad[f"H{d}"] = read.T @ flat, pasts.reshape(-1, h).T @ flat
         return float((whole - got).mean()), grad
 
     def train(self, x: np.ndarray, y: np.ndarray, epochs: int, batch: int = 48, rate: float = 0.012, seed: int = 3) -> float:
@@ -163,3 +169,16 @@ class Tagger:
                     self.p[k] = self.p[k] - rate * (1 - 0.9 * step / steps) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
             mean = float(np.mean(seen))
         return mean
+
+    def save(self, path: str) -> None:
+        np.savez_compressed(path, **{k: v.astype(np.float32) for k, v in self.p.items()})
+
+    @classmethod
+    def load(cls, path: str) -> Tagger:
+        with np.load(path) as held:
+            p = {k: held[k].astype(float) for k in held.files}
+        tagger = cls(len(p["S"]), len(p["Hf"]))
+        if {k: v.shape for k, v in p.items()} != {k: v.shape for k, v in tagger.p.items()}:
+            raise ValueError(f"{path} holds weights of another network")
+        tagger.p = p
+        return tagger

@@ -1,21 +1,25 @@
 """Personal data: patterns for the plain forms, a character BiLSTM-CRF for written variants of them.
 
-The tagger is trained in numpy from labelled spans. It reads every stretch of a text that can hold a
-span that passes(): each whole run of digits and their separators, each @, and each whole address or
-number with a written "at" or "dot", bare or bracketed, in any case; and REACH characters around them.
-Each stretch is cut into overlapping windows; a character takes its emissions from the window in which it
-lies most central, and one CRF decoding over the whole stretch reconciles them. What lies outside of the
-stretches can't pass, whatever its tags. A span of the tagger is
-kept if its probability is high, its form passes the kind's check, and no pattern's span touches it. A
-written address or ip that the tagger finds anything of goes whole, however long it is. A bare "at" before a domain
-with plain dots only ("look at example.org") isn't read as an address.
+The tagger is trained in numpy from labelled spans (`python -m larder.llm.op8_pii` trains it and writes
+WEIGHTS, which every later run reads). It reads the characters as they stand; kind and limits of an added
+span are those of its decoded tags. It reads every stretch of a text that can hold a span that passes(),
+and REACH characters around it: runs of ten digits or more with their separators (a card or phone that
+passes lies inside one), every name, @ or "at", bare or bracketed, and host with a dot, plain or written,
+and every ip with a written dot. Each stretch is cut into overlapping windows; a character takes its
+emissions from the window in which it lies most central, and one CRF decoding over the whole stretch
+reconciles them. A decoded span is kept if it isn't cut out of a longer word or number, its form passes
+the kind's check, and no pattern's span touches it; an address may also reach beyond the patterns'
+addresses inside it. An "at" inside the host of an address before it belongs to that host.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +30,12 @@ from larder.llm.bilstm_crf import Tagger, encode
 
 Span = tuple[str, int, int]
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, STRIDE, REACH = 64, 32, 32
+WINDOW, STRIDE, REACH = 96, 48, 48
 #: Characters decoded as one sequence; longer stretches are decoded in such parts, which overlap by twice REACH.
 PART = 8192
-SURE = 0.5
+#: Made-up texts that the tagger learns from, and its trained weights.
+TEXTS = 6000
+WEIGHTS = os.path.join(os.path.dirname(__file__), "op8_tagger.npz")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -39,11 +45,12 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _RUN = re.compile(r"\+?\(?[0-9](?:[0-9 ./()-]*[0-9])?")
 _AT = re.compile(r"@|[(\[{]\s?at\s?[)\]}]|(?<=\s)at(?=\s)", re.IGNORECASE)
-_DOT = r"(?:\s?[(\[{]\s?(?:dot|\.)\s?[)\]}]\s?|\sdot\s|\.)"
+_SAID_DOT = r"(?:\s?[(\[{]\s?(?:dot|\.)\s?[)\]}]\s?|\sdot\s)"
+_DOT = rf"(?:{_SAID_DOT}|\.)"
 _HOST = re.compile(rf"\s?[\w-]++(?:{_DOT}[\w-]++)++", re.IGNORECASE)
-_WRITTEN_DOT = re.compile(r"[(\[{]\s?(?:dot|\.)\s?[)\]}]|(?<=\s)dot(?=\s)", re.IGNORECASE)
+_NAME = re.compile(rf"[\w.%+-]++(?:{_SAID_DOT}[\w.%+-]++)*+", re.IGNORECASE)
+_EMAIL = re.compile(rf"{_NAME.pattern}(?:\s?(?:@|[(\[{{]\s?at\s?[)\]}}])\s?|\sat\s)[\w-]++(?:{_DOT}[\w-]++)++", re.IGNORECASE)
 _WRITTEN_IP = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
-_LETTERS = re.compile(r"[A-Za-z]+")
 
 
 def luhn(digits: str) -> bool:
@@ -91,54 +98,88 @@ def base_spans(text: str) -> list[Span]:
 # ---- labelled spans ----
 
 
+#: Words of the made-up texts beside invented ones.
+_PLAIN = "the a of and to in is was for on with by from that this at dot or an it as he she they we you der die und das le la et il di che el los con por not all some new old day house river table green little morning".split()
+_CUES = "mail email e-mail contact write reach ask address message or to from cc".split()
+_VERBS = "look looked met arrived see seen stay read more found available hosted published visit us live join started team page news shop is are it them".split()
+_TOPS = "com org net de it fr io info edu eu es co.uk ac.uk example test".split()
+
+
 def labelled_examples(n: int = 1500, seed: int = 5) -> list[tuple[str, list[Span]]]:
     """Made-up texts with labelled spans: plain forms, written variants, and look-alikes without a label."""
     rng = np.random.default_rng(seed)
     pick = lambda *xs: xs[rng.integers(len(xs))]
     digits = lambda k: "".join(map(str, rng.integers(0, 10, k)))
-    word = lambda: "".join(pick(*"bcdfghlmnprstvw") + pick(*"aeiouéö") for _ in range(rng.integers(1, 5)))
+    sound = lambda: pick(*"bcdfghjklmnprstvwxyz", "ch", "st", "th") + pick(*"aeiou") + pick("", "", "", *"nrstlm")
+    label = lambda: "".join(sound() for _ in range(pick(1, 1, 2, 2, 3, 4)))
+
+    def word() -> str:
+        w = pick(*_PLAIN) if rng.random() < 0.5 else "".join(pick(sound(), sound(), sound(), "é", "ö") for _ in range(rng.integers(1, 5)))
+        return w.capitalize() if rng.random() < 0.1 else w
 
     def card(sep: str) -> str:
         body = str(rng.integers(2, 7)) + digits(14)
         whole = body + next(c for c in "0123456789" if luhn(body + c))
         return sep.join(whole[i : i + 4] for i in range(0, 16, 4))
 
+    def host(dot: str) -> str:
+        parts = [label() for _ in range(pick(0, 0, 0, 1, 1, 3))] + [pick(label(), label(), f"{label()}-{label()}", label() + digits(2))]
+        return dot.join([*parts, *pick(*_TOPS).split(".")])
+
     def made(kind: str) -> str:
         if kind == "email":
-            name, host, top = pick("", ".", "_", "-").join(word() for _ in range(pick(1, 2, 2, 2, 6))) + digits(rng.integers(0, 3)), word(), pick("com", "org", "net", "de")
-            name, host = (re.sub("[éö]", "o", s) for s in (name, host))
-            parts = [re.sub("[éö]", "o", word()) for _ in range(pick(0, 0, 1, 3))] + [host, top]
-            at, dot = pick(("@", "."), (" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "."), ("[at]", "."), (" (AT) ", " (DOT) "), ("[AT]", "."), (" at ", " dot "), (" AT ", " DOT "), ("@", "[.]"), (" {at} ", " {dot} "))
-            return name + at + dot.join(parts)
+            at, dot = pick(
+                ("@", "."), ("@", "[.]"), ("@", " dot "), ("(at)", "."), ("[at]", "."), (" (at) ", "."), (" [at] ", "."), ("(at)", "(dot)"), ("[at]", "[dot]"),
+                (" (at) ", " (dot) "), (" [at] ", " [dot] "), (" {at} ", " {dot} "), (" at ", " dot "), (" at ", " dot "), (" at ", "."),
+            )
+            inner = pick("", ".", ".", "_", "-", "+")
+            if inner == "." and dot != "." and rng.random() < 0.5:
+                inner = dot
+            many = pick(1, 2, 2, 2, 3, 8) if inner else pick(1, 1, 1, 2)
+            name = inner.join(pick(label(), label(), label(), sound()[0], pick(*_PLAIN)) for _ in range(many)) + pick("", "", digits(rng.integers(1, 4)))
+            whole = name + at + host(dot)
+            if (at, dot) == (" at ", "."):
+                whole = name + " at " + host(".")
+            if rng.random() < 0.15:
+                whole = whole.upper()
+            return whole
         if kind == "ip":
-            return pick(".", ".", "[.]", " (dot) ", "(dot)", " dot ", " [dot] ").join(str(rng.integers(0, 256)) for _ in range(4))
+            return pick(".", "[.]", "(.)", " (dot) ", "(dot)", " dot ", " [dot] ", "[dot]", " DOT ").join(str(rng.integers(0, 256)) for _ in range(4))
         if kind == "card":
             return card(pick("", " ", "-", ".", "/"))
         area, a, b = digits(3), digits(3), digits(4)
-        return pick(f"+{rng.integers(1, 99)} ({area}) {a}-{b}", f"({area}) {a}-{b}", f"({area}) {a} {b}", f"+{rng.integers(1, 99)} {area} {a} {b}", f"+{rng.integers(1, 99)}-{area}-{a}-{b}", f"{area}-{a}-{b}", f"{area} {a} {b}", f"{area}.{a}.{b}")
+        return pick(f"+{rng.integers(1, 99)} ({area}) {a}-{b}", f"({area}) {a}-{b}", f"({area}) {a} {b}", f"({area}) {a}.{b}", f"+{rng.integers(1, 99)} {area} {a} {b}", f"+{rng.integers(1, 99)}-{area}-{a}-{b}", f"{area}-{a}-{b}", f"{area} {a} {b}", f"{area}.{a}.{b}", f"0{digits(2)} {digits(3)} {digits(4)}", f"0{digits(2)} {digits(7)}")
 
     def decoy() -> str:
         code = "".join(pick(*"0123456789abcdef") for _ in range(40))
-        return pick(f'token = "{code}"', f"version {rng.integers(1, 9)}.{rng.integers(0, 9)}", digits(16), digits(4), f"{digits(2)}.{digits(2)}.{digits(4)}", f"{digits(3)}-{digits(3)}", f"$ {digits(3)}.{digits(2)}", f"@{word()}", digits(rng.integers(5, 12)), f"{digits(1)},{digits(3)}", f"({digits(4)})", f"{digits(4)}-{digits(2)}-{digits(2)}", f"20{digits(2)}-{digits(2)}-{digits(2)} {digits(2)}{pick(*':.')}{digits(2)}", f"[{digits(2)}]")
+        date = f"20{digits(2)}-{digits(2)}-{digits(2)}"
+        return pick(
+            f'token = "{code}"', f"version {rng.integers(1, 9)}.{rng.integers(0, 9)}", digits(16), digits(4), f"{digits(2)}.{digits(2)}.{digits(4)}", f"{digits(3)}-{digits(3)}",
+            f"$ {digits(3)}.{digits(2)}", f"@{word()}", digits(rng.integers(5, 12)), f"{digits(1)},{digits(3)}", f"({digits(4)})", f"{date} {digits(2)}{pick(*':.')}{digits(2)}",
+            f"{date} {digits(2)}.{digits(2)} and {date} {digits(2)}{pick(*':.')}{digits(2)}", f"{date} - {date}", f"[{digits(2)}]", " ".join(digits(rng.integers(1, 4)) for _ in range(rng.integers(4, 12))),
+            f"{pick(*_VERBS)} at {host('.')}", f"{pick(*_VERBS)} at {host('.')} on {digits(2)}.{digits(2)}.{digits(4)}", f"{word()} {pick(*_VERBS)} at {word()}.{word()}", f"{pick(*_VERBS)} at {digits(2)}.{digits(2)}", f"the dot {word()} at {word()}",
+        )
 
     out = []
     for _ in range(n):
         text, spans = "", []
         for _ in range(rng.integers(1, 4)):
-            text += " ".join(word() for _ in range(rng.integers(0, 5))) + pick(" ", ". ", "\n", ", ", " ")
+            text += " ".join(word() for _ in range(rng.integers(0, 6))) + pick(" ", ". ", "\n", ", ", " ", ": ", " (", ' "', " <")
             if rng.random() < 0.6:
-                kind = pick(*KINDS)
+                kind = pick("email", "email", *KINDS)
                 piece = made(kind)
+                if " at " in piece and " dot " not in piece or rng.random() < 0.15:
+                    text += pick("", word() + " ") + pick(*_CUES) + pick(" ", ": ", " ")
                 spans.append((kind, len(text), len(text) + len(piece)))
             else:
                 piece = decoy()
-            text += piece + pick(" ", ". ", ", ", "")
+            text += piece + pick(" ", ". ", ", ", "\n", "; ", ") ", '" ', "> ", "? ")
         out.append((text, spans))
     return out
 
 
 def windows_of(text: str, spans: Sequence[Span]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    x, y = marked(text, 0, len(text), addresses(text)), np.zeros(len(text), np.int64)
+    x, y = encode(text), np.zeros(len(text), np.int64)
     for kind, a, b in spans:
         y[a:b] = 2 * KINDS.index(kind) + 2
         y[a] -= 1
@@ -148,60 +189,44 @@ def windows_of(text: str, spans: Sequence[Span]) -> Iterator[tuple[np.ndarray, n
         yield np.pad(x[own], (0, pad)), np.pad(y[own], (0, pad))
 
 
-def train(examples: Sequence[tuple[str, Sequence[Span]]], epochs: int = 7, hidden: int = 24) -> Tagger:
+def train(examples: Sequence[tuple[str, Sequence[Span]]], epochs: int = 8, hidden: int = 32) -> Tagger:
     """A tagger of 2 tags per kind (first, inside) and 0 (outside) from labelled texts."""
     pairs = [w for text, spans in examples for w in windows_of(text, spans)]
     tagger = Tagger(2 * len(KINDS) + 1, hidden)
-    tagger.train(np.stack([p[0] for p in pairs]), np.stack([p[1] for p in pairs]), epochs)
+    tagger.train(np.stack([p[0] for p in pairs]), np.stack([p[1] for p in pairs]), epochs, batch=96)
     return tagger
 
 
 # ---- whole texts ----
 
 
-def addresses(text: str) -> list[Span]:
-    """Every stretch that has the form of an address with an @ or a written "at", or of an ip with written dots.
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Stretches that hold every span that passes(): long runs of digits, addresses with any "at", ips with a written dot.
 
-    Linear in the text: what stands before an "at" ends at the one before it.
+    Linear in the text: no name and no host is read twice.
     """
-    out: list[Span] = []
-    low = text.lower()
+    out = [(m.start(), m.end()) for m in _RUN.finditer(text) if len(only_digits(m[0])) >= 10] if _DIGIT.search(text) else []
+    low, done, hosts = text.lower(), 0, []
     if "@" in low or "at" in low:
         for m in _AT.finditer(text):
-            start = m.start()
-            if start and text[start - 1].isspace():
-                start -= 1
-            name = start
-            while name and (text[name - 1].isalnum() or text[name - 1] in "_.%+-"):
-                name -= 1
-            host = _HOST.match(text, m.end())
-            if name < start and host and (m[0][0] in "@([{" or _WRITTEN_DOT.search(host[0])):
-                while text[name] == "." and name < start - 1:
-                    name += 1
-                out.append(("email", name, host.end()))
+            if m.start() >= done and (host := _HOST.match(text, m.end())):
+                hosts.append((m.start(), host.end()))
+                done = host.end()
+    if hosts:
+        names = {m.end(): m.start() for m in _NAME.finditer(text)}
+        for at, end in hosts:
+            name = names.get(at, names.get(at - 1) if at and text[at - 1].isspace() else None)
+            if name is not None:
+                out.append((name, end))
     if "dot" in low or "." in low and any(c in low for c in "([{"):
-        out += [("ip", m.start(), m.end()) for m in _WRITTEN_IP.finditer(text) if passes("ip", m[0])]
+        out += [(m.start(), m.end()) for m in _WRITTEN_IP.finditer(text) if _DIGIT.search(text)]
     return out
 
 
-def marked(text: str, a: int, b: int, found: Sequence[Span]) -> np.ndarray:
-    """Classes of text[a:b]; the letters of a written "at" or "dot" of an address have the class of @ or of a full stop."""
-    x = encode(text[a:b])
-    for _, start, end in found:
-        if start < b and end > a:
-            for pattern, sign in ((_AT, "@"), (_WRITTEN_DOT, ".")):
-                for m in pattern.finditer(text, start, end):
-                    for w in _LETTERS.finditer(text, m.start(), m.end()):
-                        x[max(0, w.start() - a) : max(0, w.end() - a)] = encode(sign)[0]
-    return x
-
-
-def regions(text: str, found: Sequence[Span]) -> list[tuple[int, int]]:
-    """Runs of digits, @ and the addresses found, whole, with REACH around them, merged where they meet."""
-    own = [(m.start(), m.end()) for m in _RUN.finditer(text)] if _DIGIT.search(text) else []
-    own += [(i, i + 1) for i, c in enumerate(text) if c == "@"] if "@" in text else []
+def regions(text: str) -> list[tuple[int, int]]:
+    """The candidates with REACH around them, merged where they meet."""
     out: list[list[int]] = []
-    for start, end in sorted([*own, *((a, b) for _, a, b in found)]):
+    for start, end in sorted(candidates(text)):
         a, b = max(0, start - REACH), min(len(text), end + REACH)
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
@@ -216,12 +241,18 @@ def passes(kind: str, piece: str) -> bool:
     if kind == "card":
         return 16 <= len(digits) <= 19 and luhn(digits) and re.fullmatch(r"[0-9]+(?:[ ./-]{1,2}[0-9]+)*", piece) is not None
     if kind == "phone":
-        return 10 <= len(digits) <= 15 and re.fullmatch(r"\+?[0-9]*[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]+(?:[ .-][0-9]+)*|\+?[0-9]{1,4}(?:[ .-][0-9]{2,5}){2,4}", piece) is not None
+        return 10 <= len(digits) <= 15 and re.fullmatch(r"\+?[0-9]*[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]+(?:[ .-][0-9]+)*|\+?[0-9]{1,4}(?:[ .-][0-9]{2,7}){1,4}", piece) is not None
     if kind == "email":
-        return re.fullmatch(rf"[\w.%+-]+\s?(?:@|[(\[{{]\s?at\s?[)\]}}])\s?[\w-]+(?:(?:{_DOT}|\s?\.\s?)[\w-]+)+", piece, re.IGNORECASE) is not None
+        return _EMAIL.fullmatch(piece) is not None
     return _WRITTEN_IP.fullmatch(piece) is not None and all(int(p) <= 255 for p in re.findall("[0-9]+", piece))
 
 
+def whole(kind: str, text: str, a: int, b: int) -> bool:
+    """Whether text[a:b] isn't cut out of a longer number or, for an address, a longer word."""
+    inside = (lambda c: c == "_" or c.isalnum()) if kind == "email" else str.isdigit
+    return not (a and inside(text[a - 1]) and inside(text[a])) and not (b < len(text) and inside(text[b]) and inside(text[b - 1]))
+
+
 def parts_of(a: int, b: int) -> Iterator[tuple[int, int]]:
     """a .. b in overlapping parts of PART characters."""
     for at in range(a, max(a + 1, b - 2 * REACH), PART - 2 * REACH):
@@ -253,10 +284,10 @@ def emissions(x: np.ndarray, lengths: np.ndarray, tagger: Tagger, batch: int = 5
     return out
 
 
-def decoded(x: np.ndarray, lengths: np.ndarray, tagger: Tagger, limit: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
-    """Tags and their probabilities of sequences laid end to end in x: sequences of like length are decoded together."""
+def decoded(x: np.ndarray, lengths: np.ndarray, tagger: Tagger, limit: int = 1 << 18) -> np.ndarray:
+    """Tags of sequences laid end to end in x: sequences of like length are decoded together."""
     e, starts = emissions(x, lengths, tagger), np.cumsum(lengths) - lengths
-    tags, sure = np.zeros(len(x), np.int8), np.zeros(len(x))
+    tags = np.zeros(len(x), np.int8)
     order, at = np.argsort(lengths, kind="stable"), 0
     while at < len(order):
         upto = at + 1
@@ -265,72 +296,62 @@ def decoded(x: np.ndarray, lengths: np.ndarray, tagger: Tagger, limit: int = 1 <
         own = order[at:upto]
         places = np.arange(lengths[own].max())[None, :] + starts[own, None]
         known = places < (starts + lengths)[own, None]
-        path, p = tagger.paths(e[np.minimum(places, len(x) - 1)].transpose(1, 0, 2), lengths[own])
-        tags[places[known]], sure[places[known]] = path[known], p[known]
+        tags[places[known]] = tagger.best(e[np.minimum(places, len(x) - 1)].transpose(1, 0, 2), lengths[own])[known]
         at = upto
-    return tags, sure
+    return tags
 
 
-def tagged_spans(texts: Sequence[str], found: Sequence[Sequence[Span]], tagger: Tagger) -> list[list[Span]]:
-    """The tagger's spans of each text, given the addresses of each."""
-    places = [(i, a, b) for i, (t, f) in enumerate(zip(texts, found, strict=True)) for a, b in regions(t, f)]
+def tagged_spans(texts: Sequence[str], tagger: Tagger) -> list[list[Span]]:
+    """The tagger's spans of each text."""
+    places = [(i, a, b) for i, t in enumerate(texts) for a, b in regions(t)]
     out: list[list[Span]] = [[] for _ in texts]
     if not places:
         return out
     parts = [(k, a, b) for k, (_, x, y) in enumerate(places) for a, b in parts_of(x, y)]
     lengths = np.array([b - a for _, a, b in parts], np.int64)
-    tags, sure = decoded(np.concatenate([marked(texts[places[k][0]], a, b, found[places[k][0]]) for k, a, b in parts]), lengths, tagger)
+    tags = decoded(np.concatenate([encode(texts[places[k][0]][a:b]) for k, a, b in parts]), lengths, tagger)
     # of what two parts of a stretch share, each keeps the half on its own side
-    whole = np.ones(len(tags), bool)
+    own = np.ones(len(tags), bool)
     for end, (k, a, b), before, after in zip(np.cumsum(lengths), parts, [None, *parts], [*parts[1:], None], strict=False):
         if before and before[0] == k:
-            whole[end - (b - a) : end - (b - a) + REACH] = False
+            own[end - (b - a) : end - (b - a) + REACH] = False
         if after and after[0] == k:
-            whole[end - REACH : end] = False
-    tags, sure = tags[whole], sure[whole]
-    at = 0
+            own[end - REACH : end] = False
+    tags, at = tags[own], 0
     for i, a, b in places:
-        own = slice(at, at + b - a)
+        out[i] += [(kind, a + x, a + y) for kind, x, y in spans_of(tags[at : at + b - a])]
         at += b - a
-        out[i] += [(kind, a + x, a + y) for kind, x, y in spans_of(tags[own], sure[own], [(s, x - a, y - a) for s, x, y in found[i] if x < b and a < y])]
     return out
 
 
-def spans_of(tags: np.ndarray, sure: np.ndarray, found: Sequence[Span]) -> list[Span]:
-    """Runs of one kind's tags; kept if each character is sure, or if they touch an address found of their kind."""
+def spans_of(tags: np.ndarray) -> list[Span]:
+    """Runs of one kind's tags; a first tag begins a run of its own."""
     kind = (tags.astype(np.int64) + 1) // 2  # 0: outside
     first = (kind > 0) & ((tags % 2 == 1) | np.concatenate(([True], kind[1:] != kind[:-1])))
     begins = np.flatnonzero(first)
-    stops = np.flatnonzero(first | (kind == 0))
-    stops = np.append(stops, len(tags))
-    out = []
-    for a in begins:
-        b = int(stops[np.searchsorted(stops, a, "right")])
-        name = KINDS[kind[a] - 1]
-        if sure[a:b].min() >= SURE or any(name == k and x < b and a < y for k, x, y in found):
-            out.append((name, int(a), b))
-    return out
+    stops = np.append(np.flatnonzero(first | (kind == 0)), len(tags))
+    ends = stops[np.searchsorted(stops, begins, "right")]
+    return [(KINDS[kind[a] - 1], int(a), int(b)) for a, b in zip(begins, ends, strict=True)]
 
 
 def find(texts: Sequence[str], tagger: Tagger) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, all spans) of each text; all spans are by kind as listed, then start."""
     out = []
-    written = [addresses(t) for t in texts]
-    for text, own, whole, more in zip(texts, map(base_spans, texts), written, tagged_spans(texts, written, tagger), strict=True):
-        covered = [(a, b) for _, a, b in own]
+    for text, own, more in zip(texts, map(base_spans, texts), tagged_spans(texts, tagger), strict=True):
         added = []
+        held = sorted((a, b, k) for k, a, b in own)
+        reach = list(accumulate((b for _, b, _ in held), max))
         for kind, a, b in more:
-            while b > a and text[b - 1] in " .,;:":
+            while b > a and text[b - 1] in " .,;:\n":
                 b -= 1
-            while b > a and text[a] == " ":
+            while b > a and text[a] in " \n":
                 a += 1
-            held = next(((x, y) for k, x, y in whole if k == kind and x < b and a < y), None)
-            if held:
-                a, b = held
-            if b > a and (held or passes(kind, text[a:b])) and all(b <= x or a >= y for x, y in covered):
-                added.append((kind, a, b))
-                covered.append((a, b))
-        out.append((own, sorted([*own, *added], key=lambda s: (KINDS.index(s[0]), s[1]))))
+            if b > a and whole(kind, text, a, b) and passes(kind, text[a:b]):
+                touched = held[bisect_right(reach, a) : bisect_left(held, (b,))]
+                touched = [s for s in touched if s[1] > a]
+                if all(kind == k == "email" and a <= x and y <= b and (x, y) != (a, b) for x, y, k in touched):
+                    added.append((kind, a, b))
+        out.append((own, sorted([*own, *added], key=lambda s: (KINDS.index(s[0]), s[1], s[2]))))
     return out
 
 
@@ -338,14 +359,14 @@ def told(spans: Sequence[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-_trained: dict[int, Tagger] = {}
+_read: dict[int, Tagger] = {}
 
 
 def default_tagger() -> Tagger:
-    """The tagger of labelled_examples(), trained once per process."""
-    if 0 not in _trained:
-        _trained[0] = train(labelled_examples())
-    return _trained[0]
+    """The tagger with the weights of WEIGHTS, read once per process."""
+    if 0 not in _read:
+        _read[0] = Tagger.load(WEIGHTS)
+    return _read[0]
 
 
 def groups(texts: list[str], limit: int = 4 << 20) -> Iterator[list[str]]:
@@ -414,3 +435,7 @@ def redact(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
             yield batch
 
     return docs.mapInArrow(run, docs.schema)
+
+
+if __name__ == "__main__":
+    train(labelled_examples(TEXTS)).save(WEIGHTS)
