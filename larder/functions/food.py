@@ -104,6 +104,15 @@ def category_place(label: Column) -> Column:
     return F.array_position(F.array(*[F.lit(c) for c in (*CATEGORIES, OTHER_CATEGORY)]), label)
 
 
+# Categories of a priced list in their order.
+LIST_ORDER = ("Proteins", "Vegetables", "Carbohydrates", "Healthy Fats", "Fruit", "Pantry", "Other")
+
+
+def list_place(label: Column) -> Column:
+    """Place of a category in a priced list, 0 if the list doesn't know it (A5)."""
+    return F.coalesce(F.array_position(F.array(*[F.lit(c) for c in LIST_ORDER]), label), F.lit(0))
+
+
 def piece_grams(name: Column) -> Column:
     """Grams of one piece, null for what isn't known (F21). name is normalised."""
     out = F.lit(None).cast("double")

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from larder.functions.quantity import lookup
+from larder.functions.text import encode_component
 
 # Signs of currencies shown before the amount.
 SIGNS = {"EUR": "€", "GBP": "£", "USD": "$"}
@@ -112,6 +113,25 @@ def with_defaults(own: Column, base: Column, fields: list[str]) -> Column:
     return F.struct(*[F.coalesce(own[f], base[f]).alias(f) for f in fields])
 
 
+# What a recipe record has where its source says nothing, and where its picture is looked for.
+RECIPE_DEFAULTS = {"servings": 4, "difficulty": "easy", "nutrition": {"calories": 480, "protein": 22, "carbs": 55, "fat": 16}}
+PICTURES = "https://source.unsplash.com/featured/800x600/?food,"
+
+
+def recipe_record(id_: Column, title: Column, prep: Column, cook: Column, difficulty: Column, nutrition: Column, allergens: Column, query: Column) -> Column:
+    """struct(id, title, image, servings, minutes, difficulty, nutrition, allergens, source) of a local recipe.
+
+    A missing difficulty, nutrition struct or allergen list has its default; the picture's words are those of the
+    query or, where that is missing or empty, of the title, joined by commas.
+    """
+    words = F.regexp_replace(F.trim(F.regexp_replace(F.lower(F.coalesce(F.nullif(query, F.lit("")), title)), "[^a-z0-9 ]", " ")), " +", ",")
+    facts = F.struct(*[F.lit(v).alias(k) for k, v in RECIPE_DEFAULTS["nutrition"].items()])
+    return F.struct(
+        F.concat(F.lit("local-"), id_).alias("id"), title.alias("title"), F.concat(F.lit(PICTURES), encode_component(words)).alias("image"), F.lit(RECIPE_DEFAULTS["servings"]).alias("servings"), (prep + cook).alias("minutes"),
+        F.coalesce(difficulty, F.lit(RECIPE_DEFAULTS["difficulty"])).alias("difficulty"), F.coalesce(nutrition, facts).alias("nutrition"), F.coalesce(allergens, F.array().cast("array<string>")).alias("allergens"), F.lit("themealdb").alias("source"),
+    )
+
+
 def recipe_search(dish: Column, cuisine: Column, language: Column) -> Column:
     """Words of a search for a recipe, without the parts that are missing or empty."""
     return F.concat_ws(" ", *[F.nullif(F.trim(x), F.lit("")) for x in (dish, cuisine)], F.when(language == "it", "ricetta").otherwise("recipe"))

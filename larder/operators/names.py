@@ -50,6 +50,25 @@ def long_words(name: Column) -> Column:
     return F.filter(F.split(F.lower(F.trim(name)), "[^a-z0-9]+"), lambda t: F.length(t) > 2)
 
 
+def needed(words: Column) -> Column:
+    """How many of a dish's words a name has to hold: 55%, two at least."""
+    return F.greatest(F.lit(2), F.ceil(F.size(words) * 0.55)).cast("int")
+
+
+def sharing(dishes: DataFrame, names: DataFrame) -> DataFrame:
+    """(dish, name): a superset of the pairs in which the name holds as many of the dish's words as needed().
+
+    Of n words with r needed, any n - r + 1 hold one that is shared; a dish looks only for its rarest ones, so a
+    word that most names hold brings them to no dish that has rarer words. dishes: dish, words; names: name, others.
+    """
+    spread = names.select("name", F.explode("others").alias("t"))
+    held = spread.groupBy("t").agg(F.count("*").alias("n"))
+    own = dishes.where(F.size("words") >= needed(F.col("words"))).select("dish", (F.size("words") - needed(F.col("words")) + 1).alias("first"), F.explode(F.array_distinct("words")).alias("t"))
+    rare = own.join(held, "t", "left").groupBy("dish", "first").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "t"))).alias("rare"))
+    keys = rare.select("dish", F.explode(F.slice("rare", F.lit(1), F.col("first"))).alias("r")).select("dish", "r.t")
+    return keys.join(spread, "t").select("dish", "name")
+
+
 def best_recipe(dishes: DataFrame, recipes: DataFrame) -> DataFrame:
     """(dish, recipe, score): the best recipe of each dish that has one.
 
@@ -61,7 +80,7 @@ def best_recipe(dishes: DataFrame, recipes: DataFrame) -> DataFrame:
     n, h = F.lower(F.trim(F.col("dish"))), F.lower(F.trim(F.col("name")))
     a = dishes.select("dish").distinct().withColumn("whole", n).withColumn("words", long_words(F.col("dish")))
     b = recipes.select("name").distinct().withColumn("part", h).withColumn("others", F.array_distinct(long_words(F.col("name"))))
-    by_word = a.select("dish", F.explode(F.array_distinct("words")).alias("t")).join(b.select("name", F.explode("others").alias("t")), "t").select("dish", "name")
+    by_word = sharing(a.select("dish", "words"), b.select("name", "others"))
     holds = containing(a.select("whole"), b.select("part"))
     held = containing(b.select(F.col("part").alias("whole")), a.select(F.col("whole").alias("part"))).toDF("part", "whole")
     by_part = holds.select("whole", "part").union(held.select("whole", "part")).join(a.select("dish", "whole"), "whole").join(b.select("name", "part"), "part").select("dish", "name")
@@ -72,7 +91,7 @@ def best_recipe(dishes: DataFrame, recipes: DataFrame) -> DataFrame:
         F.when(F.col("whole") == F.col("part"), 1000)
         .when(several(F.col("words")) & F.contains("part", F.col("whole")), 700)
         .when((F.size(long_words(F.col("name"))) >= 2) & F.contains("whole", F.col("part")), 650)
-        .when(shared >= F.greatest(F.lit(2), F.ceil(F.size("words") * 0.55)), 50 * shared)
+        .when(shared >= needed(F.col("words")), 50 * shared)
         .otherwise(0)
     )
     scored = met.select("dish", "name", names.alias("points")).join(recipes.withColumnsRenamed({"cuisine": "of_cuisine", "meal": "of_meal"}), "name")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from larder.plans import cook, kitchen, live, market, planning, pricing, recipes, records, shopping, tiers
+from larder.plans import cook, desk, kitchen, live, market, planning, pricing, recipes, records, shopping, tiers
 
-ALL = pricing.QUERIES | planning.QUERIES | shopping.QUERIES | recipes.QUERIES | records.QUERIES | kitchen.QUERIES | market.QUERIES | tiers.QUERIES | live.QUERIES | cook.QUERIES
+ALL = pricing.QUERIES | planning.QUERIES | shopping.QUERIES | recipes.QUERIES | records.QUERIES | kitchen.QUERIES | market.QUERIES | tiers.QUERIES | live.QUERIES | cook.QUERIES | desk.QUERIES
 
 
 def queries() -> dict:

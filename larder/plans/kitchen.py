@@ -69,7 +69,7 @@ CATEGORY_SQL = """CASE WHEN regexp_matches(lower(name), 'chicken|beef|pork|lamb|
 def grocery(of: DataFrame, scale: Column) -> DataFrame:
     """basket, key, name, kind, amount, quantity, category, place of lines (basket, name, text, ord): A4 with F4, F5, F27, P12 and O1.
 
-    place is the row's place in its basket's list: by category, then name, lower case first. Names and texts are read
+    place is the row's place in its basket's list: by category, then by name as people sort it (a root collation: accents beside their letters, lower case first). Names and texts are read
     once each, however many lines hold them; both tables are written on the way, as the optimiser would else move their
     rules down to the lines again.
     """
@@ -78,7 +78,7 @@ def grocery(of: DataFrame, scale: Column) -> DataFrame:
     parsed = of.withColumn("by", F.greatest(F.lit(0.25), scale)).join(names, "name").join(texts, "text").select("basket", "key", "name", "ord", "kind", (F.col("amount") * F.col("by")).alias("amount"), "label")
     labels = kept(names.select("name", food.category(F.col("name")).alias("category"), capitalise(F.col("name")).alias("shown")))
     merged = baskets.merge_lines(parsed).join(labels, "name").withColumn("name", F.col("shown"))
-    return ranking.placed(merged, ["basket"], [F.asc(food.category_place(F.col("category"))), F.asc(F.lower("name")), F.desc("name")], "place")
+    return ranking.placed(merged, ["basket"], [F.asc(food.category_place(F.col("category"))), F.asc(F.collate("name", "UNICODE")), F.asc("key")], "place")
 
 
 def a4_recipe_grocery(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +97,7 @@ shown AS (SELECT basket, key, upper(name[1]) || name[2:] AS name, {CATEGORY_SQL}
   WHEN kind IN ('g', 'ml') THEN (ceil(amount / 50) * 50)::BIGINT || ' ' || kind WHEN kind = 'pcs' THEN trim(greatest(1, ceil(amount))::BIGINT || ' ' || label)
   ELSE trim(regexp_replace((floor(amount * 10 + 0.5) / 10)::DECIMAL(20,1)::VARCHAR, '\\.0$', '') || ' ' || label) END AS quantity FROM sums)"""
 LIST_SQL = """SELECT basket, key, name, quantity, category,
-  row_number() OVER (PARTITION BY basket ORDER BY list_position(['Proteins', 'Vegetables', 'Carbohydrates', 'Healthy Fats'], category), lower(name), name DESC)::INT AS place FROM shown"""
+  row_number() OVER (PARTITION BY basket ORDER BY list_position(['Proteins', 'Vegetables', 'Carbohydrates', 'Healthy Fats'], category), name COLLATE en, key)::INT AS place FROM shown"""
 A4_GROCERY_SQL = f"WITH {LINES_CTE.replace('FROM lineitem', ', 1.0::DOUBLE AS scale FROM lineitem')}, {MERGED_CTE} {LIST_SQL}"
 
 # ---- C12: imported plans ----
