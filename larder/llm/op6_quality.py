@@ -163,7 +163,8 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 30_000) -> DataFr
     among rows whose crc32(doc_id) mod 3 isn't 1; a threshold on the hash, from their count, keeps the
     others on the executors. Several labels of one document count by their mean,
     ties as good; null labels don't count. Without both classes the score is the smoothed share of good.
-    Null and empty texts are scored like others; null ids aren't held out; empty in, empty out.
+    Null and empty texts are scored like others; repeated rows are scored each; further columns are left out;
+    null ids aren't held out; empty in, empty out.
     """
     table = cut(measured(docs), "features").withColumn("held_out", held_out_fold())
     known = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("good"))

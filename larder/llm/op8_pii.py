@@ -404,7 +404,9 @@ def find_personal_data(docs: DataFrame, tagger: Tagger | None = None, key: str =
 
 
 def redact(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
-    """docs with every span in text replaced by its kind in angle brackets; null texts stay null.
+    """docs with every span in text replaced by its kind in angle brackets; null and empty texts stay as they are.
+
+    Repeated rows are cleaned each; all other columns stay, whatever their names; empty in, empty out.
 
     n_chars, where docs has it, becomes the new length of the texts that changed. Where spans of two
     kinds overlap, they go as one, named after the first.
