@@ -56,7 +56,8 @@ def format_chats(turns: DataFrame) -> DataFrame:
     inside formatted. attachments: (number, type, ref, tokens) in order of appearance.
     Null roles and texts count as empty, null parts as none; null turns come first; equal turn numbers
     go by role, then content; rows with a null conv_id are one conversation; unknown part types render
-    as their text. A conversation is one output string, so it must fit into a row.
+    as their text; further columns are left out; empty in, empty out. A conversation is one output string,
+    so it must fit into a row.
     """
     is_attached = lambda p: F.coalesce(p["type"].isin(*KINDS), F.lit(False))
     parts = F.coalesce("parts", F.array().cast(f"array<{PART}>"))
