@@ -19,20 +19,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One row of each group, the first in the table; rows are told apart by their place, so ids may repeat or be null.
 
     Texts without words link with nothing and stay. docs gives its rows in one order each time, as a table
-    read from files does.
+    read from files does. Further columns stay, whatever their names; empty in, empty out.
     """
-    placed = docs.withColumn("__place", F.monotonically_increasing_id())
-    found = op4_jaccard.near_duplicates(placed, key="__place").where("doc_id = component_id").select(F.col("doc_id").alias("__place"))
-    return placed.join(found, "__place", "left_semi").select(*docs.columns)
+    place = "__place"
+    while place in {c.lower() for c in docs.columns}:
+        place += "_"
+    placed = docs.withColumn(place, F.monotonically_increasing_id())
+    found = op4_jaccard.near_duplicates(placed, key=place).where("doc_id = component_id").select(F.col("doc_id").alias(place))
+    return placed.join(found, place, "left_semi").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind; null and empty texts stay as they are."""
+    """All documents, personal data replaced by its kind; null and empty texts and further columns stay as they are, repeated rows are cleaned each; empty in, empty out."""
     return op8_pii.redact(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it; rows of one id, or without one, are taken each by themselves."""
+    """Each row as often as the mix takes it; rows of one id, or without one, are taken each by themselves; null texts have size 0."""
     return op3_mixing.mixed(docs)
 
 
