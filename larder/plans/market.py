@@ -208,11 +208,12 @@ SELECT point_id, place_id, category, row_number() OVER (PARTITION BY point_id OR
 def catalogue_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """key, market, city, price, confidence: the catalogue times each market's baseline, and city prices over it; unknown keys and prices of 0 go."""
     key, listed = F.col("p_partkey"), F.col("p_retailprice") / 100
-    catalogue = table(spark, sf_dir, "part").select(key.alias("key"), F.col("p_name").alias("name"), F.col("p_size"), listed.alias("listed"))
+    part = table(spark, sf_dir, "part")
     market = F.create_map(*[x for k in range(4) for x in (F.lit(f"M{k}"), F.when((key + k) % 25 > 0, round2(listed * (1 + k / 10))).otherwise(0.0))])
-    baseline = table(spark, sf_dir, "part").select(key.alias("key"), F.explode(market).alias("market", "price")).withColumns({"city": F.lit("*"), "confidence": F.lit(0.85)})
-    city = table(spark, sf_dir, "part").where("p_size > 45").select(F.when(key % 10 > 0, key).otherwise(-key).alias("key"), F.lit("M0").alias("market"), round2(listed * 0.9).alias("price"), F.lit("rome").alias("city"), F.lit(0.92).alias("confidence"))
-    rows = baseline.unionByName(city).where("price > 0").join(catalogue.select("key", "name"), "key")
+    baseline = part.select(key.alias("key"), F.col("p_name").alias("name"), F.explode(market).alias("market", "price")).withColumns({"city": F.lit("*"), "confidence": F.lit(0.85)})
+    known = F.when(key % 10 > 0, key)  # the others stand for keys that the catalogue lacks; null meets nothing, where -0 would be a part's own key
+    city = part.where("p_size > 45").select(known.alias("key"), F.col("p_name").alias("name"), F.lit("M0").alias("market"), round2(listed * 0.9).alias("price"), F.lit("rome").alias("city"), F.lit(0.92).alias("confidence"))
+    rows = baseline.unionByName(city).where("price > 0").join(part.select(key.alias("key")), "key", "left_semi")
     return rows.select("key", "name", "market", "city", "price", "confidence")
 
 
