@@ -48,3 +48,22 @@ def test_texts_are_priced_once_for_each_kind(spark):
 @pytest.mark.parametrize("name", ["j3_cascade", "c2_price_baskets", "c3_cheaper_alternatives"])
 def test_only_prices_of_asked_ingredients_are_grouped(name, spark):
     assert "LeftSemi" in plan_of(run(spark, name))
+
+
+def test_a_spend_of_minus_zero_shows_as_in_sql(spark, same, tmp_path):
+    import duckdb
+
+    con = duckdb.connect()
+    for name in ("nation", "region", "supplier"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    people = [(k, k % 5, balance) for k, balance in enumerate((-0.0, 0.0, -0.01, 0.01, 12.5, -0.0, 1000.0))]
+    spark.createDataFrame(people, "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    same(run(spark, "s16_report_rows", tmp_path), con, catalogue.oracle_sql()["s16_report_rows"])
+
+
+def test_plans_are_nested_after_one_shuffle(spark):
+    df = run(spark, "a8_import_stats")
+    df.collect()
+    assert df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
