@@ -9,6 +9,7 @@ from larder.operators import rules
 from larder.plans.carriers import table
 from larder.plans.kitchen import pick
 from larder.sources import documents
+from larder.sources.scratch import spread
 
 # Dishes that are known, in order, and their ingredients.
 KNOWN_DISHES = (
@@ -115,7 +116,8 @@ def plan_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         '{"budgetAnalysis":"ok","estimatedCost":', F.col("o_totalprice").cast("string"), ',"safetyMargin":5,"status":', status, ',"recommendedBudget":', F.when(k % 6 == 0, "null").otherwise("120.5"),
         F.when(k % 8 == 0, "").otherwise(',"minimumBudget":80'), ',"mealPlan":', F.when(k % 9 == 0, '{"day":1}').otherwise(text("[", meal, ",", meal, "]")), ',"groceryList":[', item, '],"savingTips":', F.when(k % 10 == 0, '["a",2]').otherwise("[]"), ',"more":true}',
     )
-    return table(spark, sf_dir, "orders").select(k.alias("id"), F.when(k % 11 == 0, F.left(whole, F.lit(40))).when(k % 13 == 0, F.lit("[1, 2]")).otherwise(whole).alias("document"))
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), "o_orderkey")
+    return orders.select(k.alias("id"), F.when(k % 11 == 0, F.left(whole, F.lit(40))).when(k % 13 == 0, F.lit("[1, 2]")).otherwise(whole).alias("document"))
 
 
 def p16_plan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

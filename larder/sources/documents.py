@@ -65,30 +65,31 @@ def _fault(path: Column, reason: str) -> Column:
 def _faults(at: Column, value: Column, field: Field) -> Column:
     """The faults of one value (null: it is missing) at a path; of its items and their fields too."""
     none = F.array().cast(FAULTS)
+    missing, wrong = none if field.optional else _fault(at, "missing"), _fault(at, f"expected {field.kind}")
+    null = none if field.nullable else wrong
+    if field.kind == "object" or field.kind == "array" and field.items:
+        # read one level deep: its kind shows by whether that works, without a walk through all it holds
+        parts = F.try_variant_get(value, "$", "map<string,variant>" if field.kind == "object" else "array<variant>")
+        inner = _of_object if field.kind == "object" else _of_array
+        tested = lambda got: F.when(got.isNotNull(), inner(at, got, field)).when(value.isNull(), missing).when(F.is_variant_null(value), null).otherwise(wrong)
+        return _let(parts, tested)
     inner = none
-    if field.kind == "object":
-        inner = _of_object(at, value, field.fields)
-    elif field.kind == "array" and field.items:
-        item = Field("", field.items, fields=field.fields)
-        values = F.try_variant_get(value, "$", "array<variant>")
-        inner = F.flatten(F.transform(values, lambda v, i: _faults(F.concat(at, F.lit("["), i.cast("string"), F.lit("]")), v, item)))
-    elif field.among:
+    if field.among:
         inner = F.when(F.try_variant_get(value, "$", "string").isin(*field.among), none).otherwise(_fault(at, "not one of " + ", ".join(field.among)))
     elif field.least is not None:
         inner = F.when(F.try_variant_get(value, "$", "double") >= field.least, none).otherwise(_fault(at, f"below {field.least:g}"))
-    missing, wrong = none if field.optional else _fault(at, "missing"), _fault(at, f"expected {field.kind}")
+    kind = lambda said: reduce(lambda a, b: a | b, (said.startswith(k) for k in _KINDS[field.kind]))
+    return _let(F.schema_of_variant(value), lambda said: F.when(said.isNull(), missing).when(kind(said), inner).when(said == "VOID", null).otherwise(wrong))
 
-    def tested(said: Column) -> Column:
-        """said: the value's kind, null where it is missing."""
-        null = none if field.nullable else wrong
-        return F.when(said.isNull(), missing).when(reduce(lambda a, b: a | b, (said.startswith(k) for k in _KINDS[field.kind])), inner).when(said == "VOID", null).otherwise(wrong)
 
-    return _let(F.schema_of_variant(value), tested)
+def _of_array(at: Column, values: Column, field: Field) -> Column:
+    item = Field("", field.items, fields=field.fields)
+    return F.flatten(F.transform(values, lambda v, i: _faults(F.concat(at, F.lit("["), i.cast("string"), F.lit("]")), v, item)))
 
 
-def _of_object(at: Column, value: Column, fields: Sequence[Field]) -> Column:
-    own = lambda f: _let(F.try_variant_get(value, f"$.{f.name}", "variant"), lambda v: _faults(F.concat(at, F.lit(f".{f.name}")), v, f))
-    return F.flatten(F.array(*[own(f) for f in fields]))
+def _of_object(at: Column, values: Column, field: Field) -> Column:
+    own = lambda f: _let(F.try_element_at(values, F.lit(f.name)), lambda v: _faults(F.concat(at, F.lit(f".{f.name}")), v, f))
+    return F.flatten(F.array(*[own(f) for f in field.fields]))
 
 
 def checked(texts: DataFrame, contract: Sequence[Field], kind: str) -> tuple[DataFrame, DataFrame]:

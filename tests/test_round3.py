@@ -67,3 +67,21 @@ def test_plans_are_nested_after_one_shuffle(spark):
     df = run(spark, "a8_import_stats")
     df.collect()
     assert df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+
+
+def test_options_are_made_after_one_shuffle_without_a_window(spark):
+    plan = plan_of(run(spark, "c11_buy_options"))
+    assert "Window" not in plan and "posexplode(o" in plan
+
+
+def test_documents_are_read_one_level_at_a_time_by_many_tasks(spark):
+    from larder.plans.cook import plan_texts
+    from larder.sources import documents
+
+    texts = [(1, "7"), (2, "null"), (3, "[]"), (4, '{"a": null, "b": [{"c": 1}, null, 3]}'), (5, '{"b": {}}'), (6, None)]
+    contract = (documents.Field("a", "string", optional=True), documents.Field("b", "array", items="object", fields=(documents.Field("c", "number"),)))
+    good, broken = documents.checked(spark.createDataFrame(texts, "id int, document string"), contract, "struct<a: string>")
+    assert good.count() == 0 and sorted(map(tuple, broken.collect())) == [
+        (1, "$", "expected object"), (2, "$", "expected object"), (3, "$", "expected object"), (4, "$.a", "expected string"), (4, "$.b[1]", "expected object"), (4, "$.b[2]", "expected object"), (5, "$.b", "expected array"), (6, "$", "no JSON"),
+    ]
+    assert plan_texts(spark, SF).rdd.getNumPartitions() > 8
